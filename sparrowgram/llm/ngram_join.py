@@ -1,2 +1,318 @@
-def similar_documents(docs):
-    raise NotImplementedError
+"""Similarity join of documents on their word 5-grams by PartEnum signatures (see partenum).
+
+1. Screen. A document all of whose partners are similar shares at least the threshold's part of its shingles with others. Shingles
+   whose hash is low enough are counted over the corpus; a document with too many that nobody else has is linked with none.
+   A document of n shingles sends hashes below share(n) and judges by those below share(n / threshold), which every
+   possible partner has sent. Shingles that several documents of one batch have go out once a batch.
+2. Classes. Documents that are left are grouped by their shingle set; one of each class stands for it.
+3. Signatures. Representatives that share a signature are joined to the least of them, as in a star; no pairs are made. Clusters are
+   the connected components: every similar pair lies in one.
+4. Verification. A cluster is compared set by set inside one task if it is small; else it is split by size band and hash into
+   blocks of bounded bytes and each pair of blocks that can hold similar sets goes to a task of its own. Tasks return sums and
+   spanning edges, never pairs.
+5. Components of the spanning edges, with the members of each class, give the result.
+
+Shingles are known by 64-bit hashes, classes by two such sums and the size.
+
+Defined results: null, empty and blank texts have no shingles, no links and are their own component; texts with fewer than 5 words have one
+shingle, the whole sequence; texts are read whole; empty tables give an empty result; rows that repeat a doc_id are one
+document, whose text is that of the set with the least digest; rows with a null doc_id are left out; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, batch, bounded_batches, cut, narrowed
+from .components import components
+from .partenum import band_ends, mix, shingle_hashes, signatures
+
+U = np.uint64
+CHECKED, UNCHECKED, SEVERAL = 0, 2, 1
+#: Bytes of sets in one block of a large cluster.
+BLOCK_BYTES = 4 << 20
+SETS = "doc_id long, n long, h1 long, h2 long, hashes binary"
+
+
+def share(n: np.ndarray) -> np.ndarray:
+    """The part of the hash range that a document of n shingles sends: more than its judgement needs, less for long ones."""
+    return np.minimum(1.0, 0.25 + 1.7 / np.sqrt(np.maximum(n, 1)))
+
+
+def below(h: np.ndarray, part: float) -> int:
+    return len(h) if part >= 1 else int(np.searchsorted(h, U(int(part * 2.0**64))))
+
+
+def sent(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """key, doc_id, kind: a row for each hash sent (kind CHECKED or UNCHECKED; SEVERAL stands for several documents of a batch), and a row of
+    kind below 0 for each document: its key is its size, and -1 - kind its checked hashes less those shared in its batch."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in bounded_batches(whole, "text")):
+            sets = [shingle_hashes(t.as_py()) for t in b.column(1)]
+            n = np.array([len(h) for h in sets], np.int64)
+            out = [below(h, float(share(np.array(len(h))))) for h in sets]
+            judged = np.array([below(h, float(share(np.array(len(h) * den / num)))) for h in sets], np.int64)
+            ids = b.column(0).to_numpy()
+            key = np.concatenate([h[:k] for h, k in zip(sets, out, strict=True)]) if sets else np.zeros(0, U)
+            doc = np.repeat(np.arange(len(sets)), out)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(out) - out, out)
+            checked = place < judged[doc]
+            order = np.argsort(key, kind="stable")
+            key, doc, checked = key[order], doc[order], checked[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            run_of = np.cumsum(first) - 1
+            size = np.bincount(run_of, minlength=int(first.sum()))
+            several = size[run_of] > 1
+            credit = np.bincount(doc[several & checked], minlength=len(sets))
+            kind = np.where(several, SEVERAL, np.where(checked, CHECKED, UNCHECKED)).astype(np.int32)
+            keep = first
+            yield batch(
+                schema,
+                pa.array(np.concatenate([key[keep].view(np.int64), n])),
+                pa.array(np.concatenate([np.where(several, 0, ids[doc])[keep], ids])),
+                pa.array(np.concatenate([kind[keep], (-1 - (judged - credit)).astype(np.int32)])),
+            )
+
+    return docs.mapInArrow(run, "key long, doc_id long, kind int")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Of sorted rows: doc_id, n (of its own row, else null), kind (1 for a checked hash that others have; a document's own kind)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("kind", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a run that may go on in the next batch, only its first row waits
+        last, waiting, hit = None, None, False
+        for b in batches:
+            key, doc, kind = (b.column(i).to_numpy() for i in range(3))
+            own = kind < 0
+            parts = [(doc[own], key[own], kind[own].astype(np.int64))]
+            key, doc, kind = key[~own], doc[~own], kind[~own]
+            if len(key):
+                first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+                run_of = np.cumsum(first)
+                size = np.bincount(run_of, minlength=int(run_of[-1]) + 1)
+                many = size[run_of] > 1
+                goes_on = run_of == 0
+                many |= goes_on
+                if goes_on.any() and not hit and waiting is not None:
+                    parts.append((np.array([waiting]), None, np.array([1])))
+                k = np.flatnonzero(many & (kind == CHECKED))
+                parts.append((doc[k], None, np.ones(len(k), np.int64)))
+                hit = bool(many[-1])
+                if not hit:
+                    waiting = int(doc[-1]) if kind[-1] == CHECKED else None
+                last = key[-1]
+            docs_ = np.concatenate([p[0] for p in parts])
+            n = pa.concat_arrays([pa.array(p[1], pa.int64()) if p[1] is not None else pa.nulls(len(p[0]), pa.int64()) for p in parts])
+            yield batch(schema, pa.array(docs_.astype(np.int64)), n, pa.array(np.concatenate([p[2] for p in parts])))
+
+    return rows.mapInArrow(run, "doc_id long, n long, kind long")
+
+
+def screened(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n, alone: checked hashes that no other document has."""
+    rows = sent(docs, num, den)
+    spread = F.when(F.col("kind") < 0, F.xxhash64("doc_id")).otherwise(F.col("key"))
+    rows = rows.repartition(spread).sortWithinPartitions("key")
+    return shared(rows).groupBy("doc_id").agg(F.max("n").alias("n"), (-F.sum("kind") - F.count("n")).alias("alone"))
+
+
+def set_rows(docs: DataFrame) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("hashes", pa.binary())])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t in b.column(1):
+            h = shingle_hashes(t.as_py())
+            one, two = (int(mix(h ^ U(s)).sum(dtype=U)) for s in (0x1B873593, 0xCC9E2D51))
+            rows.append((len(h), *np.array([one, two], U).view(np.int64).tolist(), h.tobytes()))
+        return batch(schema, b.column(0), *map(list, zip(*rows, strict=True)))
+
+    return arrow_map(docs, run, SETS)
+
+
+def stars(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: representatives that share a signature, each joined to the least of its signature."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ids, size = [], [], 0
+            for doc, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = signatures(np.frombuffer(h.as_buffer(), U), num, den)
+                keys.append(s)
+                ids.append(np.full(len(s), doc, np.int64))
+                size += len(s)
+                if size > 1 << 20:
+                    yield batch(schema, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)))
+                    keys, ids, size = [], [], 0
+            if keys:
+                yield batch(schema, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, 0
+        for b in batches:
+            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            least = np.where(at >= 0, doc[np.maximum(at, 0)], head)
+            last, head = key[-1], int(least[-1])
+            k = np.flatnonzero(least != doc)
+            if len(k):
+                pairs = np.unique(np.stack([least[k], doc[k]]), axis=1)
+                yield batch(out, pa.array(pairs[0]), pa.array(pairs[1]))
+
+    rows = sets.select("doc_id", "hashes").mapInArrow(make, "key long, doc_id long")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by products of blocks of columns."""
+    n = len(sets)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    col = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+    many = np.bincount(col)[col] > 1
+    row, col = row[many], col[many]
+    out = np.zeros((n, n), np.float32)
+    if len(col):
+        col = np.cumsum(np.concatenate([[0], (col[1:] != col[:-1]).astype(np.int64)]))
+        for a in range(0, int(col[-1]) + 1, 4096):
+            i, j = np.searchsorted(col, [a, a + 4096])
+            m = np.zeros((n, min(4096, int(col[-1]) + 1 - a)), np.float32)
+            m[row[i:j], col[i:j] - a] = 1
+            out += m @ m.T
+    return out
+
+
+def verified(ids: list[int], copies: list[int], sides: list[int], sets: list[np.ndarray], within: bool, num: int, den: int) -> tuple[list, list]:
+    """[(id, copies linked)] and [(id, id)], a spanning forest of the links. With two sides and not within, only links across count."""
+    n = len(ids)
+    size = np.array([len(s) for s in sets], np.int64)
+    common = overlaps(sets).astype(np.int64)
+    link = den * common >= num * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(link, False)
+    if not within:
+        s = np.array(sides)
+        link &= s[:, None] != s[None, :]
+    sums = link @ np.array(copies, np.int64)
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges = []
+    for i in range(n):
+        for j in np.flatnonzero(link[i, :i]).tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                edges.append((ids[i], ids[j]))
+    return [(i, int(k)) for i, k in zip(ids, sums, strict=True) if k], edges
+
+
+def compared(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members: cluster, doc_id, n, copies, hashes. Returns u, v, links: rows with links have the sum for u, others are spanning edges."""
+    ends = band_ends(num, den)
+    band = F.lit(0)
+    for i, e in enumerate(ends[:60]):
+        band = F.when(F.col("n") > e, i + 1).otherwise(band)
+    m = members.withColumn("band", band)
+    size = m.groupBy("cluster", "band").agg((F.sum("n") * 8).alias("bytes"))
+    total = size.groupBy("cluster").agg(F.sum("bytes").alias("all_bytes"))
+    size = size.join(total, "cluster").select("cluster", "band", "all_bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    size = cut(size, "cluster-sizes")
+    small = size.where(F.col("all_bytes") <= BLOCK_BYTES).select("cluster", "band")
+    large = size.where(F.col("all_bytes") > BLOCK_BYTES)
+    one = m.join(small, ["cluster", "band"]).select("cluster", F.lit(-1).alias("b1"), F.lit(0).alias("k1"), F.lit(-1).alias("b2"), F.lit(0).alias("k2"), F.lit(0).alias("side"), "doc_id", "copies", "hashes")
+    beside = large.select("cluster", "band", "blocks")
+    up = beside.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    down = beside.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
+    b = m.join(beside, ["cluster", "band"]).join(up, ["cluster", "band"], "left").join(down, ["cluster", "band"], "left")
+    b = b.withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    key = lambda b1, k1, b2, k2, side: F.struct(b1.alias("b1"), k1.alias("k1"), b2.alias("b2"), k2.alias("k2"), side.cast("int").alias("side"))
+    here, k = F.col("band"), F.col("k")
+    none = F.expr("CAST(array() AS array<int>)")
+    upto = lambda c: F.when(F.col(c).isNotNull(), F.sequence(F.lit(0), F.col(c) - 1)).otherwise(none)
+    goes = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: key(here, F.least(k, x), here, F.greatest(k, x), k > x)),
+        F.transform(upto("above"), lambda x: key(here, k, here + 1, x, F.lit(0))),
+        F.transform(upto("under"), lambda x: key(here - 1, x, here, k, F.lit(1))),
+    )
+    many = b.withColumn("to", F.explode(goes)).select("cluster", "to.b1", "to.k1", "to.b2", "to.k2", "to.side", "doc_id", "copies", "hashes")
+    group = ("cluster", "b1", "k1", "b2", "k2")
+    rows = one.unionByName(many).repartition(*group).sortWithinPartitions(*group, "doc_id")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch | None:
+            if len(held[0]) < 2:
+                return None
+            within = now[1:3] == now[3:5]
+            sums, edges = verified(*held, within, num, den)
+            u = [i for i, _ in sums] + [i for i, _ in edges]
+            return batch(schema, u, [None] * len(sums) + [j for _, j in edges], [k for _, k in sums] + [None] * len(edges)) if u else None
+
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+            sides, ids, copies = (b.column(i).to_pylist() for i in (5, 6, 7))
+            for i, x in enumerate(keys):
+                if x != now:
+                    if now is not None and (got := done()) is not None:
+                        yield got
+                    now, held = x, ([], [], [], [])
+                held[0].append(ids[i])
+                held[1].append(copies[i])
+                held[2].append(sides[i])
+                held[3].append(np.frombuffer(b.column(8)[i].as_py(), U))
+        if now is not None and (got := done()) is not None:
+            yield got
+
+    return rows.mapInArrow(run, "u long, v long, links long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id for each document; similar: den * |A & B| >= num * |A | B|."""
+    d = narrowed(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull())
+    stats = cut(screened(d, num, den), "screened")
+    left = stats.where((F.col("n") > 0) & (F.col("alone") * den <= F.col("n") * (den - num))).select("doc_id")
+    sets = cut(set_rows(d.join(left, "doc_id", "left_semi")), "sets")
+    whole = sets.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
+    classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    total = stats.count()
+    hot = classes.where(F.col("copies") * 1000 > total)  # fewer than 1000
+    key = ["h1", "h2", "n"]
+    member = whole.join(F.broadcast(hot), key).unionByName(whole.join(F.broadcast(hot), key, "left_anti").join(classes, key)).select("doc_id", "rep", "copies")
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *key, "copies"), ["doc_id", *key]).dropDuplicates(["doc_id"])
+    reps = cut(reps.select("doc_id", "n", "copies", "hashes"), "representatives")
+    clusters = components(stars(reps, num, den)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    found = cut(compared(reps.join(clusters, "doc_id"), num, den), "links")
+    links = found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    joined = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "component")
+    of_rep = cut(classes.select("rep", "copies").join(links, "rep", "left").join(joined, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"), (F.col("copies") * 1000 > total).alias("hot")), "class-links")
+    hot_rep = of_rep.where("hot").drop("hot")
+    member = member.select("doc_id", "rep")
+    per_doc = member.join(F.broadcast(hot_rep), "rep").unionByName(member.join(F.broadcast(hot_rep), "rep", "left_anti").join(of_rep.drop("hot"), "rep")).drop("rep")
+    return stats.join(per_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the document with the least id; rows with a null id stay."""
+    gone = similar_documents(docs, id_col, text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti")
