@@ -17,6 +17,7 @@ empty results; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -27,52 +28,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, cut, narrowed, partitions
+from .token_counts import byte_signs
 
-MEMO = 500_000
+MEMO = 1_000_000
 MOST_BUCKETS = 256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class PieceTokenizer(dict):
-    """Packed ids by piece of the pattern: each new piece goes through the tokenizers library once."""
+    """Packed ids by piece of the pattern: each new piece goes through the library's merges once."""
 
     def __init__(self, path: str):
         import re
 
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        library = Tokenizer.from_file(path)
+        self.merge = library.model.tokenize
+        self.signs = byte_signs()
+        self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
         self.odd = re.compile(r"[\x1c-\x1f]")
 
-    def packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
     def __missing__(self, piece: str) -> bytes:
-        ids = self.packed(self.library.encode(piece, add_special_tokens=False).ids)
+        signs = "".join(map(self.signs.__getitem__, piece.encode()))
+        ids = array("I", [t.id for t in self.merge(signs)]).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
-    def learn(self, pieces: list[str]) -> None:
-        """The new ones among pieces, in one call of the library."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self[p] = self.packed(e.ids)
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         out = []
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.special:
-                out.append(self.packed([self.special[part]]))
+                out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 words = (self.ascii if part.isascii() and not self.odd.search(part) else self.pattern).findall(part)
                 if len(self) > MEMO:
