@@ -83,4 +83,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    # hint: one plan at every size
+    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")

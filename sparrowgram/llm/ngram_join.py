@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, bounded_batches, cut, narrowed
+from .common import batch, bounded_batches, cut, narrowed
 from .components import components
 from .partenum import band_ends, mix, shingle_hashes, signatures
 
@@ -118,25 +118,33 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def screened(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, n, alone: checked hashes that no other document has."""
+    """doc_id, n, alone: checked hashes that no other document has, repeated: whether several rows have the doc_id."""
     rows = sent(docs, num, den)
     spread = F.when(F.col("kind") < 0, F.xxhash64("doc_id")).otherwise(F.col("key"))
     rows = rows.repartition(spread).sortWithinPartitions("key")
-    return shared(rows).groupBy("doc_id").agg(F.max("n").alias("n"), (-F.sum("kind") - F.count("n")).alias("alone"))
+    return shared(rows).groupBy("doc_id").agg(F.max("n").alias("n"), (-F.sum("kind") - F.count("n")).alias("alone"), (F.count("n") > 1).alias("repeated"))
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, repeated, with the rows of a doc_id in one partition. Its sets, equal ones of a doc_id once."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("hashes", pa.binary())])
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t in b.column(1):
-            h = shingle_hashes(t.as_py())
-            one, two = (int(mix(h ^ U(s)).sum(dtype=U)) for s in (0x1B873593, 0xCC9E2D51))
-            rows.append((len(h), *np.array([one, two], U).view(np.int64).tolist(), h.tobytes()))
-        return batch(schema, b.column(0), *map(list, zip(*rows, strict=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            rows = []
+            for doc, t, repeated in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                h = shingle_hashes(t.as_py())
+                one, two = np.array([int(mix(h ^ U(s)).sum(dtype=U)) for s in (0x1B873593, 0xCC9E2D51)], U).view(np.int64).tolist()
+                if repeated:
+                    if (doc, one, two, len(h)) in seen:
+                        continue
+                    seen.add((doc, one, two, len(h)))
+                rows.append((doc, len(h), one, two, h.tobytes()))
+            if rows:
+                yield batch(schema, *map(list, zip(*rows, strict=True)))
 
-    return arrow_map(docs, run, SETS)
+    return docs.mapInArrow(run, SETS)
 
 
 def stars(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,8 +233,9 @@ def verified(ids: list[int], copies: list[int], sides: list[int], sets: list[np.
     return [(i, int(k)) for i, k in zip(ids, sums, strict=True) if k], edges
 
 
-def compared(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: cluster, doc_id, n, copies, hashes. Returns u, v, links: rows with links have the sum for u, others are spanning edges."""
+def compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """members: cluster, doc_id, n, copies; sets: doc_id, hashes. Returns u, v, links: rows with links have the sum for u, others are
+    spanning edges. Places are found on the narrow rows; sets join them once."""
     ends = band_ends(num, den)
     band = F.lit(0)
     for i, e in enumerate(ends[:60]):
@@ -234,11 +243,9 @@ def compared(members: DataFrame, num: int, den: int) -> DataFrame:
     m = members.withColumn("band", band)
     size = m.groupBy("cluster", "band").agg((F.sum("n") * 8).alias("bytes"))
     total = size.groupBy("cluster").agg(F.sum("bytes").alias("all_bytes"))
-    size = size.join(total, "cluster").select("cluster", "band", "all_bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    size = cut(size, "cluster-sizes")
-    small = size.where(F.col("all_bytes") <= BLOCK_BYTES).select("cluster", "band")
+    size = cut(size.join(total, "cluster").select("cluster", "band", "all_bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "cluster-sizes")
     large = size.where(F.col("all_bytes") > BLOCK_BYTES)
-    one = m.join(small, ["cluster", "band"]).select("cluster", F.lit(-1).alias("b1"), F.lit(0).alias("k1"), F.lit(-1).alias("b2"), F.lit(0).alias("k2"), F.lit(0).alias("side"), "doc_id", "copies", "hashes")
+    one = m.join(large.select("cluster").distinct(), "cluster", "left_anti").select("cluster", F.lit(-1).alias("b1"), F.lit(0).alias("k1"), F.lit(-1).alias("b2"), F.lit(0).alias("k2"), F.lit(0).alias("side"), "doc_id", "copies")
     beside = large.select("cluster", "band", "blocks")
     up = beside.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     down = beside.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
@@ -253,9 +260,11 @@ def compared(members: DataFrame, num: int, den: int) -> DataFrame:
         F.transform(upto("above"), lambda x: key(here, k, here + 1, x, F.lit(0))),
         F.transform(upto("under"), lambda x: key(here - 1, x, here, k, F.lit(1))),
     )
-    many = b.withColumn("to", F.explode(goes)).select("cluster", "to.b1", "to.k1", "to.b2", "to.k2", "to.side", "doc_id", "copies", "hashes")
+    many = b.withColumn("to", F.explode(goes)).select("cluster", "to.b1", "to.k1", "to.b2", "to.k2", "to.side", "doc_id", "copies")
     group = ("cluster", "b1", "k1", "b2", "k2")
-    rows = one.unionByName(many).repartition(*group).sortWithinPartitions(*group, "doc_id")
+    places = one.unionByName(many)
+    rows = sets.select("doc_id", "hashes").join(places.hint("shuffle_hash"), "doc_id").select(*group, "side", "doc_id", "copies", "hashes")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "doc_id")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,18 +300,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles, n_similar, component_id for each document; similar: den * |A & B| >= num * |A | B|."""
     d = narrowed(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull())
     stats = cut(screened(d, num, den), "screened")
-    left = stats.where((F.col("n") > 0) & (F.col("alone") * den <= F.col("n") * (den - num))).select("doc_id")
-    sets = cut(set_rows(d.join(left, "doc_id", "left_semi")), "sets")
+    left = stats.where((F.col("n") > 0) & (F.col("alone") * den <= F.col("n") * (den - num))).select("doc_id", "repeated")
+    # hints: one plan at every size, with the rows of a doc_id together
+    sets = cut(set_rows(d.join(left.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "repeated")), "sets")
     whole = sets.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
     classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     total = stats.count()
     hot = classes.where(F.col("copies") * 1000 > total)  # fewer than 1000
     key = ["h1", "h2", "n"]
     member = whole.join(F.broadcast(hot), key).unionByName(whole.join(F.broadcast(hot), key, "left_anti").join(classes, key)).select("doc_id", "rep", "copies")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *key, "copies"), ["doc_id", *key]).dropDuplicates(["doc_id"])
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *key, "copies").hint("shuffle_hash"), ["doc_id", *key])
     reps = cut(reps.select("doc_id", "n", "copies", "hashes"), "representatives")
     clusters = components(stars(reps, num, den)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    found = cut(compared(reps.join(clusters, "doc_id"), num, den), "links")
+    members = cut(reps.select("doc_id", "n", "copies").join(clusters, "doc_id"), "clusters")
+    found = cut(compared(members, reps, num, den), "links")
     links = found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "component")
     of_rep = cut(classes.select("rep", "copies").join(links, "rep", "left").join(joined, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"), (F.col("copies") * 1000 > total).alias("hot")), "class-links")
@@ -314,5 +325,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the document with the least id; rows with a null id stay."""
-    gone = similar_documents(docs, id_col, text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = similar_documents(docs, id_col, text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["gone_id"], "left_anti")
