@@ -18,7 +18,7 @@ def files(spark: SparkSession, root: str, endings: tuple[str, ...] = (), depth:
         r = r.option("pathGlobFilter", "*.{" + ",".join(endings) + "}")
     base = root.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace("path", rf"^(?:file:/*)?/?{re.escape(base.lstrip('/'))}/", "")
-    d = r.load(root).select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    d = r.load(root).select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
     d = d.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
     if depth:
         d = d.where(F.size(F.split("path", "/")) <= depth)

@@ -1,0 +1,51 @@
+import json
+
+import pytest
+
+from sparrowgram.plans import tools
+from sparrowgram.sinks import render
+
+
+@pytest.fixture(scope="module")
+def ix(spark):
+    f = spark.createDataFrame([("src/a.py", "from src.b import helper\ndef top():\n    helper()\n"), ("src/b.py", "def helper():\n    pass\n"), ("src/test_b.py", "from src.b import helper\ndef test_helper():\n    helper()\n")], "path string, content string")
+    return tools.Index(spark, f)
+
+
+CALLS = {
+    "read_context": {}, "search_signatures": {"query": "HELP"}, "get_map": {}, "create_checkpoint": {}, "get_routing": {}, "explain_file": {"path": "src/a.py"}, "list_modules": {}, "query_context": {"query": "helper"}, "get_method_impact": {"symbol": "helper"},
+    "get_impact": {"path": "src/b.py"}, "get_lines": {"path": "src/a.py", "start": 2, "end": 1}, "read_memory": {}, "get_callee_signatures": {"names": ["helper", "helpr"]}, "notify_file_created": {"path": "n.py", "content": "def new(): pass"}, "notify_symbol_added": {"path": "n.py", "signature": "def more()"},
+    "notify_file_deleted": {"path": "gone.py"}, "get_diff_context": {"paths": ["src/b.py"]}, "get_architecture_overview": {}, "verify_suggestion": {"text": "call `helpr(x)` in src/b.py"}, "squeeze_output": {"text": '{"a": [1, 2, 3, 4]}'},
+}
+
+
+@pytest.mark.parametrize("name", CALLS)
+def test_every_tool_answers(ix, name):
+    out = json.loads(tools.dispatch(ix, json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": CALLS[name]}})))
+    assert "result" in out, out
+
+
+def test_answers(ix):
+    assert len(tools.TOOLS) == 20 == len(CALLS)
+    assert tools.search_signatures(ix, "HELPER")[0]["path"] == "src/b.py"
+    assert {r["node"] for r in tools.get_impact(ix, "src/b.py")} == {"src/a.py", "src/test_b.py"}
+    assert tools.verify_suggestion(ix, "call `helpr(x)`")[0]["suggestion"] == "helper"
+    assert [r["line"] for r in tools.get_lines(ix, "src/a.py", 2, 1)] == [1, 2]
+    assert json.loads(tools.dispatch(ix, '{"id": 1, "method": "nope"}'))["error"]["code"] == -32601
+    assert json.loads(tools.dispatch(ix, '{"id": 1, "method": "tools/call", "params": {"name": "get_lines", "arguments": {}}}'))["error"]["code"] == -32603
+
+
+def test_render(spark, tmp_path):
+    p = str(tmp_path / "c.md")
+    render.write_after_marker(p, "x")
+    open(p, "a").close()
+    with open(p) as f:
+        text = f.read()
+    with open(p, "w") as f:
+        f.write("mine\n\n" + text)
+    assert render.write_after_marker(p, "y") == f"mine\n\n{render.MARKER}\n\ny\n"
+    assert render.adapt("unknown", "x") == "" and render.adapt("plain", "x") == "x"
+    assert render.canonical({"b": 1, "a": 2})[0] == '{"a":2,"b":1}'
+    assert render.human(1_500_000) == "1.5M" and len(render.sparkline([1, 2, 3])) == 3
+    assert render.atoms(spark.createDataFrame([("# t\n## One\nx\n## Two\ny",)], "text string")).count() == 2
+    assert "| 1 | a |" in render.rank_table(spark.createDataFrame([("a", 1.0, "high")], "path string, score double, confidence string"))
