@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-TTL_MS = 4 * 3600 * 1000
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -45,27 +39,12 @@ def tumbling(log: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataF
     return log.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "op").agg(F.count(F.lit(1)).alias("runs"), F.sum("saved").alias("saved")).select(F.col("w.start").alias("bucket"), "op", "runs", "saved")
 
 
-def sessions(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """session_id, intent, last_query, n of a stream of (session_id, ts, intent, query); a session that is silent for the time to live is closed and
-    forgotten."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, intent, query, seen = state.get if state.exists else (0, "", "", 0)
-        for f in frames:
-            f = f.sort_values("ts")
-            n += len(f)
-            last = f.iloc[-1]
-            now = int(last["ts"].value // 1_000_000)
-            if now >= seen:
-                intent, query, seen = last["intent"] or "", last["query"] or "", now
-        state.update((n, intent, query, seen))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"session_id": [key[0]], "intent": [intent], "last_query": [query], "n": [n]})
-
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, intent string, last_query string, n long", "n long, intent string, query string, seen long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def sessions(events: DataFrame, ttl: str = "4 hours", late: str = "1 hour") -> DataFrame:
+    """session_id, ended, intent, last_query, n of (session_id, ts, intent, query), batch or stream: a session that is silent for the time to live
+    is closed, and its state is dropped once the watermark passes; the next event opens another."""
+    e = events.withWatermark("ts", late) if events.isStreaming else events
+    g = e.groupBy(F.session_window("ts", ttl).alias("w"), "session_id").agg(F.max_by("intent", "ts").alias("intent"), F.max_by("query", "ts").alias("last_query"), F.count(F.lit(1)).alias("n"))
+    return g.select("session_id", F.col("w.end").alias("ended"), "intent", "last_query", "n")
 
 
 def session_boost(ranked: DataFrame, session: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_verify(spark):
     name = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
     i = verify.issues(c, "id", spark.createDataFrame([("src/auth.py",)], "path string"), name("login"), name("test"), name("numpy"))
     got = {(r.type, r.value, r.suggestion) for r in i.collect()}
-    assert ("fake-symbol", "logni", "login") in got and ("fake-file", "src/missing.py", None) in got and ("fake-script", "build", None) in got and ("fake-import", "requests", None) in got and len(got) == 4
+    assert ("fake-symbol", "logni", "login") in got and ("fake-file", "src/missing.py", "src/auth.py") in got and ("fake-script", "build", None) in got and ("fake-import", "requests", None) in got and len(got) == 4
     assert verify.summary(i, "id").first().fake_file == 1
 
 
@@ -179,12 +179,16 @@ def test_index_follows_changes(spark, tmp_path):
 
 def test_sessions(spark, tmp_path):
     os.makedirs(tmp_path / "in")
-    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"session_id": s, "ts": t, "intent": i, "query": i}) for s, t, i in (("s", "2024-01-01T00:00:00Z", "debug"), ("s", "2024-01-01T01:00:00Z", "test"), ("u", "2024-01-01T00:00:00Z", "review"))))
-    stream = spark.readStream.schema("session_id string, ts timestamp, intent string, query string").json(str(tmp_path / "in"))
-    q = stateful.sessions(stream).writeStream.outputMode("update").format("memory").queryName("sess").option("checkpointLocation", str(tmp_path / "check")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in spark.table("sess").collect()} == {("s", "test", "test", 2), ("u", "review", "review", 1)}
+    rows = (("s", "2024-01-01T00:00:00Z", "debug"), ("s", "2024-01-01T01:00:00Z", "test"), ("u", "2024-01-01T00:00:00Z", "review"), ("s", "2024-01-01T09:00:00Z", "plan"))
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"session_id": s, "ts": t, "intent": i, "query": i}) for s, t, i in rows))
+    schema = "session_id string, ts timestamp, intent string, query string"
+    want = {("s", "test", 2), ("u", "review", 1), ("s", "plan", 1)}
+    got = stateful.sessions(spark.read.schema(schema).json(str(tmp_path / "in")))
+    assert {(r.session_id, r.intent, r.n) for r in got.collect()} == want
+    stream = stateful.sessions(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("append").format("memory").queryName("sess").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {(r.session_id, r.intent, r.n) for r in spark.table("sess").collect()} == want - {("s", "plan", 1)}
 
 
 def test_weights(spark):
