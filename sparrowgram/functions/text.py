@@ -160,7 +160,7 @@ def _whole(names: str) -> str:
 RISKS = [
     ("generated", r"(^|/)(build|dist|node_modules|out|vendor)/|\.(bundle|generated|min)\.|\.(_pb|pb)\.|_pb2\.py\z"),
     ("test", r"(^|/)(__tests__|specs?|tests?)/|\.(spec|test)\.[a-z]+\z|(^|/)test_[^/]+\.py\z|_test\.(go|py|rb)\z"),
-    ("migration", r"(?i)(^|/)(alembic/versions|migrations?|prisma/migrations)(/|\z)|(^|/)db/migrate/|(^|/)V\d+(_\d+)*__[^/]+\.(java|sql)\z|(^|/)\d{8,}[_-][^/]+\.(js|py|rb|sql|ts)\z|[._-]migrations?[._-]"),
+    ("migration", r"(?i)(^|/)(alembic/versions|migrations?|prisma/migrations)(/|\z)|(^|/)db/migrate/|(^|/)V[0-9]+(_[0-9]+)*__[^/]+[.](java|sql)\z|(^|/)[0-9]{8,}[-_][^/]+[.](js|py|rb|sql|ts)\z|[._-]migrations?[._-]"),
     ("payment", _whole("billing|braintree|charge|checkout|invoice|invoicing|payments?|payout|paypal|refund|stripe|subscription")),
     ("auth", _whole("acl|auth|authn|authz|credentials?|jwt|login|logout|oauth|passwd|password|permissions?|rbac|session|signin|signup")),
     ("security", _whole("cipher|crypto|decrypt|encrypt|keystore|secrets?|signing|token|vault")),
@@ -212,16 +212,16 @@ def routing_tier(path: Column, sigs: Column) -> Column:
 
 #: In order; the first that matches names the redaction.
 SECRETS = [
-    ("AWS Access Key", "AKIA[0-9A-Z]{16}"),
-    ("AWS Secret Key", r"(?i)(SecretAccessKey|aws_secret|secret_access_key)\s*[:=]\s*['\"]?[0-9a-zA-Z/+]{40}"),
+    ("AWS Access Key", "AKIA[A-Z0-9]{16}"),
+    ("AWS Secret Key", r"(?i)(SecretAccessKey|aws_secret|secret_access_key)\s*[=:]\s*[\"']?[+/A-Za-z0-9]{40}"),
     ("GCP API Key", r"AIza[0-9A-Za-z_-]{35}"),
     ("GitHub Token", "gh[opsur]_[A-Za-z0-9_]{36,}"),
     ("JWT Token", r"eyJ[\w-]+\.[\w-]+\.[\w-]+"),
     ("DB Connection String", r"(?i)(mongodb|mysql|postgres|postgresql|redis)://[^:]+:[^@]+@"),
     ("SSH Private Key", "-----BEGIN ((DSA|EC|OPENSSH|RSA) )?PRIVATE KEY-----"),
-    ("Stripe Key", "sk_(live|test)_[0-9a-zA-Z]{24,}"),
-    ("Twilio Key", "SK[0-9a-fA-F]{32}"),
-    ("Generic Secret", r"(?i)(access_token|api_key|apikey|auth_token|passwd|password|secret)\s*[:=]\s*['\"][^'\"]{8,}['\"]"),
+    ("Stripe Key", "sk_(test|live)_[A-Za-z0-9]{24,}"),
+    ("Twilio Key", "SK[A-Fa-f0-9]{32}"),
+    ("Generic Secret", r"(?i)(access_token|api_key|apikey|auth_token|passwd|password|secret)\s*[=:]\s*[\"'][^\"']{8,}[\"']"),
 ]
 
 

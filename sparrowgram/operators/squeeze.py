@@ -9,15 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SPOT, HMS, YMD = r"(?::\d+){2}", r"\d{1,2}(?::\d\d){2}", r"\d{4}(?:-\d\d){2}"
+AT, FRACTION = r"^\s*at\s+", r"(?:[,.]\d+)?"
 FRAMES = [
-    r"^\s*at\s+.+\(.+:\d+:\d+\)\s*$", r"^\s*at\s+.+:\d+:\d+\s*$", r"^\s*at\s+[\w$.<>]+\(.+\.\w+:\d+\)",
-    r'^\s*File\s+".+",\s+line\s+\d+', r"^\s+\w+.*\([^)]*\.(go|rs):\d+\)", r"^\s*#\d+\s+0x[0-9a-f]+",
+    AT + rf".+\(.+{SPOT}\)\s*$", AT + rf".+{SPOT}\s*$", AT + r"[<>.$\w]+\(.+[.]\w+:\d+\)",
+    r'^\s*File[\t ]+".+",[\t ]+line[\t ]+\d+', r"^\s+\w.*\([^)]*[.](rs|go):\d+\)", r"^\s*#\d+[\t ]+0x[\da-f]+",
 ]
-HEADERS = r"Traceback \(most recent call last\)|Exception in thread|\bat Object\.<anonymous>|thread '.*' panicked at|(?m)^panic:|goroutine \d+ \["
-CLOCK = r"\b\d{1,2}:\d{2}:\d{2}\b|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
-PROGRESS = r"\d{1,3}%|\bDownloading\b|\bnpm (WARN|http|notice)\b|##\[(command|endgroup|group)\]|\[\d+/\d+\]|[▕█━⠿]|\bETA\b|\r\z"
-CLOCK_PREFIX = r"^\s*(?:\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?Z?\]?\s*|\[?\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\]?\s*)+"
-NOISE = r"(?:^|\s)(?:\d{1,3}%|Compressing objects|Downloading|Receiving objects|Resolving deltas|npm (?:WARN|http|notice|sill|verb)|##\[(?:command|endgroup|group|section)\]|\[\d+/\d+\]|ETA[: ]|[█━▕⣿])"
+HEADERS = "|".join([r"Traceback [(]most recent call last[)]", "Exception in thread", r"\bat Object[.]<anonymous>", "thread '.*' panicked at", "(?m)^panic:", r"goroutine \d+ \["])
+CLOCK = rf"\b{HMS}\b|{YMD}[T ]{HMS}"
+PROGRESS = "|".join([r"\d{1,3}%", r"\b(?:ETA|Downloading)\b", r"\bnpm (?:http|notice|WARN)\b", r"##\[(?:command|group|endgroup)\]", r"\[\d+/\d+\]", "[━█▕⠿]", r"\r\z"])
+CLOCK_PREFIX = rf"^(?:\s*\[?(?:{YMD}[T ])?{HMS}{FRACTION}Z?\]?)+\s*"
+STEPS = "Compressing objects|Receiving objects|Resolving deltas|Downloading"
+NOISE = rf"(?:^|\s)(?:{STEPS}|\d{{1,3}}%|npm (?:http|notice|sill|verb|WARN)|##\[(?:command|endgroup|group|section)\]|\[\d+/\d+\]|ETA[ :]|[⣿▕━█])"
 ERROR = r"(?i)\b(?:err!|err_|error|exception|fail(?:ed|ure)?|fatal|panic|traceback|e[a-z]{3,})\b|[✗❌]"
 ERROR_STRICT = r"(?i)\b(?:err!|error|exception|fail(?:ed|ure)?|fatal|panic|traceback)\b"
 VENDOR = r"(?:^|/)(?:\.cargo|\.venv|build|dist|external|go/pkg/mod|node_modules|site-packages|third_party|vendor|venv)/"
@@ -40,7 +43,7 @@ def classified(docs: DataFrame, key: str, text: Column) -> DataFrame:
     trimmed = F.trim(F.col("t"))
     parsed = trimmed.rlike(r"\A[\[{]") & F.expr("try_parse_json(trim(t)) IS NOT NULL")
     tl = F.split(trimmed, "\n")
-    kv = F.size(F.filter(tl, lambda x: x.rlike(r'^\s*"[^"]+"\s*:\s*.+|^\s*[}\]],?\s*$'))) / F.size(tl)
+    kv = F.size(F.filter(tl, lambda x: x.rlike(r'^\s*"[^"]+"\s*:.*\S|^\s*[\]}],?\s*$'))) / F.size(tl)
     d = d.select(key, (F.trim("t") == "").alias("blank"), frames.alias("fr"), header.alias("hd"), n.alias("n"), F.greatest(logish, repeats).alias("ci"), parsed.alias("js"), F.size(tl).alias("tn"), kv.alias("kv"))
     st, ci = F.col("hd") | (F.col("fr") >= 2), (F.col("n") >= 8) & (F.col("ci") >= 0.4)
     js = F.col("js") | ((F.col("tn") >= 4) & (F.col("kv") >= 0.6))
@@ -94,7 +97,7 @@ def log_text(text: str, around: int = 2) -> str:
 def frames(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, pos, fn, file, line, vendor for the stack frames of each text; of equal file and line the first."""
     d = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "raw"))
-    forms = [(r"^\s*at\s+(.+?)\s+\((.+?):(\d+):\d+\)", 1, 2, 3), (r"^\s*at\s+(.+?):(\d+):\d+\s*$", 0, 1, 2), (r"^\s*at\s+([\w$.<>]+)\((.+?):(\d+)\)", 1, 2, 3), (r'^\s*File\s+"(.+?)",\s+line\s+(\d+)(?:,\s+in\s+(.+))?', 3, 1, 2), (r"^\s*(.+\.(?:go|rs)):(\d+)", 0, 1, 2)]
+    forms = [(AT + rf"(.+?)\s+\((.+?):(\d+):\d+\)", 1, 2, 3), (AT + r"(.+?):(\d+):\d+\s*$", 0, 1, 2), (AT + r"([<>.$\w]+)\((.+?):(\d+)\)", 1, 2, 3), (r'^\s*File[\t ]+"(.+?)",[\t ]+line[\t ]+(\d+)(?:,[\t ]+in[\t ]+(.+))?', 3, 1, 2), (r"^\s*(.+[.](?:rs|go)):(\d+)", 0, 1, 2)]
     out = None
     for p, fn, file, line in forms:
         got = F.struct((F.regexp_extract("raw", p, fn) if fn else F.lit("")).alias("fn"), F.regexp_extract("raw", p, file).alias("file"), F.regexp_extract("raw", p, line).cast("int").alias("line"))

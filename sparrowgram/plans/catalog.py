@@ -30,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# SQL of the text functions -------------------------------------------------------------------------------------------
+# SQL of the text functions
 
 
 def sub(e: str, *steps: tuple[str, str]) -> str:
@@ -188,7 +188,7 @@ def html_signatures(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("path").cast("long").alias("page_id"), "sig")
 
 
-# graphs --------------------------------------------------------------------------------------------------------------
+# graphs
 TRADE_SQL = "edge AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
@@ -236,7 +236,7 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return graph.blast_radius(e, graph.nodes_of(e).withColumnRenamed("node", "seed"))
 
 
-# usage ---------------------------------------------------------------------------------------------------------------
+# usage
 USAGE_SQL = "u AS (SELECT ts, event_type AS op, user_id, floor(value)::BIGINT AS baseline, floor(value / 3)::BIGINT AS actual, greatest(0, floor(value)::BIGINT - floor(value / 3)::BIGINT) AS saved FROM events)"
 SUMS_SQL = "count(*) AS runs, sum(baseline)::BIGINT AS baseline, sum(actual)::BIGINT AS actual, sum(saved)::BIGINT AS saved"
 PCT = "CASE WHEN {1} > 0 THEN least(100.0, greatest(0.0, floor({0} * 100.0 / {1} * 10 + 0.5) / 10)) ELSE 0.0 END"
@@ -306,7 +306,7 @@ def json_props_profile(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.get_json_object("props", "$.k").cast("double")), 6).alias("mean_k"))
 
 
-# quality -------------------------------------------------------------------------------------------------------------
+# quality
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), e AS (SELECT source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 t AS (SELECT * FROM r WHERE rank <= 5), h AS (SELECT source, min(rank) AS first, count(*) AS found FROM t JOIN e USING (source, doc_id) GROUP BY source), n AS (SELECT source, count(*) AS returned FROM t GROUP BY source),
 a AS (SELECT DISTINCT source FROM e), j AS (SELECT a.source, first, coalesce(found, 0) AS found, coalesce(returned, 0) AS returned FROM a LEFT JOIN n USING (source) LEFT JOIN h USING (source))
@@ -325,7 +325,7 @@ def rank_confidence(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.confident(s, "source").select("doc_id", "confidence")
 
 
-# verification --------------------------------------------------------------------------------------------------------
+# verification
 _names = f"names AS (SELECT DISTINCT unnest(regexp_extract_all(sig, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM {corpus.LINES_SQL})"
 
 
@@ -388,7 +388,7 @@ def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     return evidence.greedy(best, "source", F.col("r"), "tokens", "doc_id", 9000)
 
 
-# texts ---------------------------------------------------------------------------------------------------------------
+# texts
 MARK = "(Apache|GNU|MIT) "
 
 
