@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,29 +72,34 @@ def encoder(path: str):
     return t
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[bool]:
+def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Of tokens sorted by offset: whether each meets a span. Two binary searches a span."""
-    mask = [False] * len(offsets)
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    for a, b in spans:
-        first, last = bisect_right(ends, a), bisect_left(starts, b)
-        mask[first:last] = [True] * (last - first)
+    mask = np.zeros(len(starts), bool)
+    if spans:
+        a, b = np.asarray(spans).T
+        for first, last in zip(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left"), strict=True):
+            mask[first:last] = True
     return mask
 
 
-def read_back(text: str, starts, ends, mask) -> tuple[list[tuple[str, str]], str]:
+def read_back(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], str]:
     """Turns, and the text under the mask, of one output row."""
     turns = [(unescape(a), unescape(b)) for a, b in TURN.findall(text)]
-    out, k, n = [], 0, len(mask)
-    while k < n:
-        if not mask[k]:
-            k += 1
-            continue
-        first = k
-        while k < n and mask[k]:
-            k += 1
-        out.append(unescape(text[starts[first] : ends[k - 1]]))
-    return turns, "".join(out)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return turns, "".join(unescape(text[starts[i] : ends[j - 1]]) for i, j in zip(edges[::2], edges[1::2], strict=True))
+
+
+def listed(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts), kind))
+
+
+def sliced(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without a Python value for each item."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def stream(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
@@ -110,16 +116,22 @@ def format_conversations(turns: DataFrame, path: str, trained: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, rows, size = encoder(path), [], 0
+
+        def out() -> pa.RecordBatch:
+            conv, k, texts, ids, starts, ends, masks = zip(*rows, strict=True)
+            return batch(schema, list(conv), list(k), list(texts), listed(ids, pa.int32()), listed(starts, pa.int32()), listed(ends, pa.int32()), listed(masks, pa.bool_()))
+
         for (conv_id, k), group in groupby(stream(batches, "conv_id", "block", "role", "text"), key=lambda r: r[:2]):
             whole, spans = render([r[2:] for r in group], trained)
             got = e.encode(whole, add_special_tokens=False)
-            rows.append((conv_id, k, whole, got.ids, [a for a, _ in got.offsets], [b for _, b in got.offsets], loss_mask(got.offsets, spans)))
+            starts, ends = np.asarray(got.offsets, np.int32).reshape(-1, 2).T
+            rows.append((conv_id, k, whole, np.asarray(got.ids, np.int32), starts, ends, loss_mask(starts, ends, spans)))
             size += len(whole)
             if size > 1 << 20:
-                yield batch(schema, *map(list, zip(*rows, strict=True)))
+                yield out()
                 rows, size = [], 0
         if rows:
-            yield batch(schema, *map(list, zip(*rows, strict=True)))
+            yield out()
 
     return t.mapInArrow(run, ROWS)
 
@@ -131,7 +143,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for conv_id, group in groupby(stream(batches, "conv_id", "text", "starts", "ends", "mask"), key=lambda r: r[0]):
+        parts = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), *map(sliced, (b.column(i) for i in (3, 4, 5))), strict=True))
+        for conv_id, group in groupby(parts, key=lambda r: r[0]):
             n = loss_chars = chars = 0
             of_turns, of_loss = hashlib.sha256(), hashlib.sha256()
             for _, text, starts, ends, mask in group:
