@@ -94,8 +94,9 @@ def fit(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS, rounds
     langs = sorted(k for k, v in samples.items() if v)
     if not langs:
         return None
-    every = np.asarray([r for k in langs for r in samples[k]], np.float32)
-    idf = (np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))) + 0.1).astype(np.float32)
+    texts = sum(len(samples[k]) for k in langs)
+    seen = sum((np.asarray(samples[k]) > 0).sum(axis=0) for k in langs)  # a language at a time: the driver holds no second copy of all
+    idf = (np.log((1 + texts) / (1 + seen)) + 0.1).astype(np.float32)
     model = Model(langs, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
     rows, of = [], []
     for i, k in enumerate(langs):
