@@ -7,8 +7,9 @@ For a node with C signs of text, LC of them in links, T tags below it and LT lin
 so that text with few tags scores high and text in links is punished. A node's sum is that of its children's densities. The
 node with the largest sum is the centre of the text; the least density on its path up to the body is the threshold,
 and of the nodes that reach it the one with the largest sum, or its ancestor that holds the whole article, is
-the main text. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are
-left out, by tag, by role and by the words of their class or id.
+the main text; without article or main, together with its siblings that reach the threshold. Menus, footers, asides,
+scripts and styles are left out by tag or role. The words of a class or id (header, sidebar, notice, advert, reader
+comment) and the tags header and form are evidence only: see unwanted().
 
 Blocks are joined in page order by one space, white space inside a block becomes one space.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -37,43 +39,59 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "option", "optgroup", "legend"}
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-DROP = frozenset("nav footer aside form script style noscript template head title iframe object embed svg canvas button select textarea input menu dialog noembed noframes xmp audio video map".split())
+DROP = frozenset("nav footer aside script style noscript template head title iframe object embed svg canvas button select textarea input menu dialog noembed noframes xmp audio video map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners sidebar sidebars sidebox aside nav navbar navigation menu menus breadcrumb breadcrumbs footer foot header masthead topbar "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond reply replies widget widgets pagination pager toolbar skip disclaimer paywall toc".split()
 )
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Words of reader comments: evidence at any size.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: A class with one of these says what a page has or how it looks (has-sidebar, share-enabled), not what a node is.
+STATE = frozenset("has have with without no not is enabled disabled on off open opened closed show shown hide".split())
+#: Classes of content, where no other word of the same class is in WORDS.
+CONTENT = frozenset("content article post entry story main body text".split())
+#: Words that mark more than this share of a page's text are no evidence there.
+MARKED = 0.25
+#: What may stand in a head without ending it.
+METADATA = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "c", "t", "lc", "lt", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "drop", "words", "c", "t", "lc", "lt", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, words: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.drop, self.words = tag, parent, drop, words
         self.items: list[Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
 
 
-def dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in DROP or tag == "header" and not inside_article:
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+def judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, frozenset[str]]:
+    """Whether tag, role or style drop a node, and the words that are evidence against it."""
+    if tag in DROP:
+        return True, frozenset()
+    words = {tag} if tag == "form" or tag == "header" and not inside_article else set()
+    if tag in ("html", "body") or not attributes or "=" not in attributes and "hidden" not in attributes:
+        return False, frozenset(words)
+    content = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not WORDS.isdisjoint(re.split(r"[^a-z]+", spaced)):
-                return True
+            return True, frozenset()
+        if name == "role" and value.lower() == "form":
+            words.add("form")
+        if name in ("class", "id") and tag not in ("article", "main") and tag not in HEADINGS:
+            for one in value.split():
+                parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()))
+                if STATE.isdisjoint(parts):
+                    words |= parts & WORDS
+                    content |= WORDS.isdisjoint(parts) and not CONTENT.isdisjoint(parts)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, frozenset()
+    return False, frozenset(words | {""} if content and words else words)
 
 
 def tree(page: str) -> Node:
@@ -84,6 +102,8 @@ def tree(page: str) -> Node:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
+            if node.tag == "head" and not text.isspace():
+                node = node.parent
             node.items.append(unescape(text))
         if not m:
             break
@@ -106,6 +126,16 @@ def tree(page: str) -> Node:
             elif tag == "br":
                 node.items.append(Node("br", node, False))
             continue
+        if tag == "body":
+            x = node
+            while x is not None and x.tag not in ("head", "body"):
+                x = x.parent
+            if x is not None and x.tag == "body":
+                continue
+            if x is not None:
+                node = x.parent
+        elif node.tag == "head" and tag not in METADATA:
+            node = node.parent
         if tag in CLOSES_P:
             x = node
             while x is not None and (x.tag in INLINE or x.tag == "p"):
@@ -125,7 +155,8 @@ def tree(page: str) -> Node:
             while x is not None:
                 inside |= x.tag in ("article", "main")
                 x = x.parent
-        new = Node(tag, node, node.drop or dropped(tag, m[3], inside))
+        drop, words = judged(tag, m[3], inside)
+        new = Node(tag, node, node.drop or drop, words)
         node.items.append(new)
         articles += tag == "article"
         if tag in RAW:
@@ -150,6 +181,8 @@ def measure(root: Node) -> list[Node]:
     while stack:
         x = stack.pop()
         order.append(x)
+        x.c = x.t = x.lc = x.lt = 0
+        x.density = x.sum = 0.0
         stack.extend(reversed([i for i in x.items if isinstance(i, Node) and not i.drop]))
     for x in reversed(order):
         for i in x.items:
@@ -172,11 +205,64 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node | None:
+def any_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def unwanted(order: list[Node]) -> list[Node]:
+    """Nodes to leave out by their words. Never one that holds an article, main, most of the text or all first headings. Of
+    others, those mostly of links, and those with a word whose nodes together hold at most MARKED of the text, unless
+    a class of content speaks for them; comments at any size. Beside an article that has text, all but those with more
+    than four times that text."""
+    marked = [x for x in order if x.words]
+    if not marked:
+        return []
+    body = next((x for x in order if x.tag == "body"), order[0])
+    total, kept, first, within = max(1, body.c), set(), Counter(), Counter()
+    for x in order:
+        if x.tag in ("article", "main", "h1"):
+            y = x
+            while y is not None:
+                if x.tag == "h1":
+                    first[y] += 1
+                else:
+                    kept.add(y)
+                y = y.parent
+    # the outermost articles
+    whole = sum(x.c for x in order if x.tag in ("article", "main") and not any_article(x.parent))
+    of_page = first[order[0]]
+    for x in marked:
+        seen, y = set(), x.parent
+        while y is not None:
+            seen |= y.words
+            y = y.parent
+        for w in x.words - seen:
+            within[w] += x.c
+    out = []
+    for x in marked:
+        links = 2 * x.lc > x.c
+        comments = not COMMENTS.isdisjoint(x.words)
+        beside = whole and not any_article(x) and (comments or x.c <= 4 * whole)
+        if x in kept or 2 * x.c > total and not beside or of_page and first[x] == of_page and not links:
+            continue
+        few = "" not in x.words and any(within[w] <= MARKED * total for w in x.words)
+        if links or few or beside or comments and "" not in x.words:
+            out.append(x)
+    return out
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The parts of the main text in page order."""
     order = measure(root)
+    if out := unwanted(order):
+        for x in out:
+            x.drop = True
+        order = measure(root)
     best = max(order, key=lambda x: x.sum, default=None)
     if best is None or not root.c:
-        return None
+        return []
     threshold, x = best.density, best
     while x is not None and x.tag not in ("body", "html", "#root"):
         threshold = min(threshold, x.density)
@@ -190,12 +276,24 @@ def main_node(root: Node) -> Node | None:
             whole = x
         x = x.parent
     if whole is not None:
-        return whole
+        return [whole]
     # headings and sparse paragraphs beside the densest part belong to it: up to the last ancestor that isn't the body
     while best.parent is not None and best.parent.tag not in ("body", "html", "#root") and best.parent.lc <= 0.5 * best.parent.c:
         best = best.parent
     # paragraphs right in the body
-    return body if best.parent is body and best.tag in BLOCK and best.tag not in ("div", "section", "table", "td") else best
+    if best.parent is body and best.tag in BLOCK and best.tag not in ("div", "section", "table", "td"):
+        return [body]
+    if best.parent is None:
+        return [best]
+    threshold = min(threshold, body.density)
+    titles = set()
+    for y in order:
+        if y.tag == "h1":
+            while y is not None:
+                titles.add(y)
+                y = y.parent
+    beside = lambda y: y.c and 2 * y.lc <= y.c and (y.density >= threshold or y.tag in HEADINGS or y in titles)
+    return [y for y in best.parent.items if isinstance(y, Node) and not y.drop and (y is best or beside(y))]
 
 
 def blocks(node: Node) -> list[str]:
@@ -231,8 +329,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    node = main_node(tree(page))
-    return " ".join(blocks(node)) if node is not None else ""
+    return " ".join(x for node in main_nodes(tree(page)) for x in blocks(node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -235,6 +235,37 @@ def test_main_text(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+PROSE = ["The river rose in the night and the lower fields were under water by dawn.", "Nobody had seen it so high since the old bridge fell, eighty years before.", "By noon the road to the mill was gone and boats went from door to door."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='content has-sidebar'><h1>Flood</h1>{}</div></body>",
+        "<body><div class='sidebar-layout'><article><h1>Flood</h1>{}</article></div></body>",
+        "<body><div class='post-content share-enabled'><h1>Flood</h1>{}</div></body>",
+        "<body><div class=post><div class='entry-header'><h1 class='entry-header'>Flood</h1></div><div class=text>{}</div></div></body>",
+        "<body><div class=post><header class='entry-header'><h1>Flood</h1></header><div>{}</div></div></body>",
+        "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><body><h1>Flood</h1>{}</html>",
+        "<!DOCTYPE html><title>T</title><h1>Flood</h1>{}",
+        "<html><head><title>T</title><h1>Flood</h1>{}</html>",
+        "<body><form id=aspnetForm action=/><div><h1>Flood</h1>{}</div></form></body>",
+    ],
+)
+def test_words_of_a_wrapper_lose_no_text(page):
+    assert html_text.main_text(page.format("".join(f"<p>{x}</p>" for x in PROSE))) == " ".join(["Flood", *PROSE])
+
+
+def test_siblings_and_words():
+    many = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container"><p>{x}</p></div></div>' for x in PROSE * 3)
+    assert html_text.main_text(f"<body>{many}</body>") == " ".join(PROSE * 3)
+    parts = "".join("<div>" + f"<p>{x}</p>" * 4 + "</div>" for x in PROSE)
+    noise = "<div class=share>Share it</div><div class=nav><a href=/>Home</a> <a href=/x>More</a></div><div class=comments><p>me too</p></div><form><p>mail</p></form><div><a href=/1>One more story</a> <a href=/2>Two more stories</a></div>"
+    assert html_text.main_text(f"<body><h1>Flood</h1>{parts}{noise}</body>") == " ".join(["Flood", *(x for x in PROSE for _ in range(4))])
+    thread = "<div id=comments>" + "<p>I do not believe a word of it, and nobody who lives there does.</p>" * 20 + "</div>"
+    assert html_text.main_text(f"<body><article><p>{PROSE[0]}</p></article>{thread}</body>") == PROSE[0]
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
