@@ -3,8 +3,11 @@
 A text is a vector of letter n-grams (1 to 3, within words and at their borders; lower-cased), hashed into BUCKETS places,
 weighted by (1 + ln tf) * idf and scaled to length one. Each language has several centroids, found by spherical k-means among
 its training texts, so that its kinds of text each have one. A text takes the language of the centroid with the largest
-cosine. It is rejected where that cosine is below REJECT times the least cosine of any training text, a distance far
-beyond that of any known text, as short clean texts lie farther out than long ones.
+cosine. It is rejected where that cosine is below the floor of that language and of its length: the quantile REJECT of
+the cosines of training texts, and of pieces of 1 to 32 words of them, that are of this length (by powers of two of the
+n-grams) and nearest to this language. So short texts, which lie farther out, have a low floor, and texts of
+languages not learned, hex and base64 dumps and random letters fall below. Texts of 2 ** LENGTHS n-grams or more take the
+floor of the length before, as a high one would reject long repetitions of a known word. At a few letters nothing tells languages apart, and some foreign words stay.
 
 Training reads only text and language of the rows that `learn` keeps. It takes at most PER_LANG texts a language, those with the
 least hash of their id, so what reaches the driver is bounded by PER_LANG * BUCKETS numbers a language.
@@ -16,8 +19,11 @@ whole texts are read; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,10 @@ BUCKETS = 1 << 13
 PER_LANG = 600
 CENTROIDS = 4
 CHUNK = 1 << 20
-REJECT = 0.25
+REJECT = 0.01
+LENGTHS = 9
+#: A language with fewer training texts of a length takes that length's floor over all languages.
+ENOUGH = 50
 
 
 @lru_cache(maxsize=1)
@@ -69,13 +78,26 @@ def counts(text: str | None) -> np.ndarray | None:
     return total
 
 
+def pieces(text: str) -> list[str]:
+    """Runs of 1, 2, 4, 8, 16 and 32 words out of a text, each from a place that its hash gives; of a script without blanks, of signs."""
+    words, blank = text.split(), " "
+    if len(text) > 20 * len(words):
+        words, blank = list(text), ""
+    at = zlib.crc32(text.encode("utf-8", "replace"))
+    return [blank.join(words[(i := at % (len(words) - k + 1)) : i + k]) for k in (1, 2, 4, 8, 16, 32) if len(words) > k]
+
+
+def length(row: np.ndarray) -> int:
+    return min(int(row.sum()).bit_length(), LENGTHS)
+
+
 @dataclass
 class Model:
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     of: np.ndarray  # the language of each row
-    floor: float
+    floor: np.ndarray  # by language and length
 
     def vectors(self, rows: list[np.ndarray]) -> np.ndarray:
         m = np.asarray(rows, np.float32)
@@ -88,16 +110,44 @@ class Model:
         best = cos.argmax(axis=1)
         return self.of[best], cos[np.arange(len(best)), best]
 
+    def known(self, rows: list[np.ndarray], lang: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """Whether each row reaches the floor of its language and length."""
+        return cos >= self.floor[lang, [length(x) for x in rows]]
+
+
+def floors(model: Model, samples: Iterable[np.ndarray]) -> np.ndarray:
+    """The quantile REJECT of cosines by nearest language and length. A length that no sample has takes that of the next shorter."""
+    found, rows = [], []
+
+    def flush() -> None:
+        if rows:
+            found.extend(zip(*model.predict(rows), (int(x.sum()).bit_length() for x in rows), strict=True))
+        rows.clear()
+
+    for x in samples:
+        rows.append(x)
+        if len(rows) == 128:
+            flush()
+    flush()
+    lang, cos, n = (np.array(x) for x in zip(*found, strict=True))
+    out = np.zeros((len(model.langs), LENGTHS + 1))
+    for b in range(1, LENGTHS + 1):
+        for i in range(len(model.langs)):
+            own = (n == b) & (lang == i)
+            own = own if own.sum() >= ENOUGH else n == b
+            out[i, b] = np.quantile(cos[own], REJECT) if own.any() else out[i, b - 1]
+    return out
+
 
-def fit(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS, rounds: int = 12) -> Model | None:
-    """From n-gram counts by language."""
+def fit(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS, rounds: int = 12, short: Iterable[np.ndarray] = ()) -> Model | None:
+    """From n-gram counts by language; short has those of pieces, for the floors only."""
     langs = sorted(k for k, v in samples.items() if v)
     if not langs:
         return None
     texts = sum(len(samples[k]) for k in langs)
     seen = sum((np.asarray(samples[k]) > 0).sum(axis=0) for k in langs)  # a language at a time: the driver holds no second copy of all
     idf = (np.log((1 + texts) / (1 + seen)) + 0.1).astype(np.float32)
-    model = Model(langs, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
+    model = Model(langs, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros((len(langs), LENGTHS + 1)))
     rows, of = [], []
     for i, k in enumerate(langs):
         v = model.vectors(samples[k])
@@ -111,8 +161,7 @@ def fit(samples: dict[str, list[np.ndarray]], centroids: int = CENTROIDS, rounds
         rows.append(c)
         of += [i] * len(c)
     model.centroids, model.of = np.vstack(rows), np.array(of)
-    cos = np.concatenate([(model.vectors(samples[k]) @ model.centroids.T).max(axis=1) for k in langs])
-    model.floor = REJECT * float(cos.min())
+    model.floor = floors(model, chain((x for k in langs for x in samples[k]), short))
     return model
 
 
@@ -127,22 +176,32 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # ids first, without the texts: two narrow columns are read
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).drop("n")
-    schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
+    schema = pa.schema([("lang", pa.string()), ("piece", pa.bool_()), ("at", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(k, c) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (c := counts(t.as_py())) is not None]
-        at = [np.flatnonzero(c).astype(np.int16) for _, c in rows]
-        return batch(schema, [k for k, _ in rows], at, [c[i].astype(np.int32) for (_, c), i in zip(rows, at, strict=True)])
+        rows = [(k, i > 0, c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in enumerate([t, *pieces(t or "")]) if (c := counts(x)) is not None]
+        at = [np.flatnonzero(c).astype(np.int16) for *_, c in rows]
+        return batch(schema, [k for k, *_ in rows], [p for _, p, _ in rows], at, [c[i].astype(np.int32) for (*_, c), i in zip(rows, at, strict=True)])
 
     texts = d.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")  # per_lang rows a language
-    samples: dict[str, list[np.ndarray]] = {}
-    for r in arrow_map(texts, run, "lang string, at array<short>, n array<int>").toArrow().to_pylist():
+    got = arrow_map(texts, run, "lang string, piece boolean, at array<short>, n array<int>").toArrow()
+
+    def dense(at: pa.Scalar, n: pa.Scalar) -> np.ndarray:
         c = np.zeros(BUCKETS, np.int32)
-        c[r["at"]] = r["n"]
-        samples.setdefault(r["lang"], []).append(c)
+        c[at.values.to_numpy()] = n.values.to_numpy()
+        return c
+
+    samples: dict[str, list[np.ndarray]] = {}
+    short = []  # stay sparse
+    for k, piece, at, n in zip(got.column("lang").to_pylist(), got.column("piece").to_pylist(), got.column("at"), got.column("n"), strict=True):
+        if piece:
+            short.append((at, n))
+        else:
+            samples.setdefault(k, []).append(dense(at, n))
     for v in samples.values():  # whatever order the tasks ended in
         v.sort(key=lambda c: c.tobytes())
-    return fit(samples)
+    short.sort(key=lambda x: (x[0].values.to_numpy().tobytes(), x[1].values.to_numpy().tobytes()))
+    return fit(samples, short=(dense(*x) for x in short))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,8 +217,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         def flush() -> None:
             if rows and m is not None:
                 k, cos = m.predict(rows)
-                for i, j, c in zip(at, k, cos, strict=True):
-                    langs[i], score[i], rejected[i] = m.langs[j], min(1.0, max(0.0, float(c))), c < m.floor
+                for i, j, c, known in zip(at, k, cos, m.known(rows, k, cos), strict=True):
+                    langs[i], score[i], rejected[i] = m.langs[j], min(1.0, max(0.0, float(c))), not known
             rows.clear()
             at.clear()
 
@@ -187,8 +246,8 @@ def keep_known(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
         for a in range(0, len(texts), 128):
             part = [(i, c) for i, t in enumerate(texts.iloc[a : a + 128], a) if (c := counts(t)) is not None]
             if part and m is not None:
-                _, cos = m.predict([c for _, c in part])
-                out[[i for i, _ in part]] = cos >= m.floor
+                rows = [c for _, c in part]
+                out[[i for i, _ in part]] = m.known(rows, *m.predict(rows))
         return pd.Series(out)
 
     return docs.where(known(F.col(text_col)))

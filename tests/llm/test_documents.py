@@ -280,6 +280,26 @@ def test_language_id(spark, odd, empty):
     assert none is None and {r.lang_pred for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_unlearned_languages_and_dumps_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs)
+    foreign = [
+        "O rato roeu a roupa do rei de Roma e a rainha ficou muito zangada com todos os ratos do palácio.",
+        "De snelle bruine vos springt over de luie hond en rent daarna het donkere bos in om te slapen.",
+        "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae.",
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee sitten pimeään metsään nukkumaan yöksi.",
+        "Den snabba bruna räven hoppar över den lata hunden och springer sedan in i den mörka skogen.",
+        "00000010 4c 8b 5d f0 e8 a1 bc de ff 00 3a c9 d2 0b 77 aa fe ed be ef " * 3,
+        "TWFuIGlzIGRpc3Rpbmd1aXNoZWQsIG5vdCBvbmx5IGJ5IGhpcyByZWFzb24sIGJ1dCBieSB0aGlz",
+        "qqqq zzzz",
+    ]
+    d = spark.createDataFrame([(i, t * n) for i, t in enumerate(foreign) for n in (1, 20)], "doc_id long, text string")
+    assert language_id.keep_known(d, model).count() == 0
+    assert all(r.rejected for r in language_id.predict(d, model).collect())
+    held = docs.where(language_id.held_out(docs.doc_id)).where("text RLIKE '[A-Za-z]{2}'")
+    assert language_id.keep_known(held, model).count() >= 0.98 * held.count()
+
+
 def test_long_text_counts_in_parts(monkeypatch):
     t = "Größe, naïve œuvre! " * 500
     whole = language_id.counts(t)
