@@ -13,14 +13,14 @@ A digest that stands for several texts keeps them apart: its classes carry their
 on the text as well. With SHA-256 that table is empty and the step is left out.
 
 Defined results: null text is the empty text; an empty table gives an empty result; of rows that repeat a
-doc_id all count, and each is a row of the result; a null doc_id loses to any other; further columns are ignored.
+doc_id all count, and each is a row of the groups (keep_largest takes one row a class); a null doc_id loses to any other; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, narrowed
@@ -81,7 +81,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # hint: one plan at every size
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each class of equal texts, with all its columns: that with the largest doc_id, a null one last; of rows
+    that repeat it any one. The row limit of the window works within each task before the shuffle as well, so a hot text
+    sends one row a task."""
+    names = docs.columns
+    text = normal_text(F.col(text_col))
+    w = Window.partitionBy(sha(text), text).orderBy(F.col(id_col).desc_nulls_last(), text_col)
+    return docs.withColumn("_dedup_rank", F.row_number().over(w)).where("_dedup_rank = 1").select(*(f"`{c}`" for c in names))

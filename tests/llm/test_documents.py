@@ -153,6 +153,15 @@ def test_exact_groups(spark, odd, empty, weak):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_one_row_of_each_text(spark):
+    """Rows delivered twice, ids with several texts, and rows without an id."""
+    rows = [(1, "a", 0), (1, "A", 0), (1, "a", 0), (2, "b", 0), (2, "c", 0), (9, "b", 0), (None, "d", 0), (None, "d", 0), (None, "b", 0), (None, None, 0), (3, "", 0)] + [(7, "hot", 0)] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)
+    got = exact_dedup.keep_largest(d)
+    assert got.columns == d.columns
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in got.collect()) == sorted([("1", "a"), ("2", "c"), ("9", "b"), ("None", "d"), ("3", ""), ("7", "hot")])
+
+
 def test_exact_hash(spark, odd):
     from pyspark.sql import functions as F
 
