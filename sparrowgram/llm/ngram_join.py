@@ -300,15 +300,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles, n_similar, component_id for each document; similar: den * |A & B| >= num * |A | B|."""
     d = narrowed(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull())
     stats = cut(screened(d, num, den), "screened")
-    left = stats.where((F.col("n") > 0) & (F.col("alone") * den <= F.col("n") * (den - num))).select("doc_id", "repeated")
+    # alone is summed over all rows of a doc_id, so it says nothing of one set where the id is repeated
+    left = stats.where((F.col("n") > 0) & (F.col("repeated") | (F.col("alone") * den <= F.col("n") * (den - num)))).select("doc_id", "repeated")
     # hints: one plan at every size, with the rows of a doc_id together
     sets = cut(set_rows(d.join(left.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "repeated")), "sets")
-    whole = sets.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
+    whole = sets.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
     classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     total = stats.count()
     hot = classes.where(F.col("copies") * 1000 > total)  # fewer than 1000
     key = ["h1", "h2", "n"]
-    member = whole.join(F.broadcast(hot), key).unionByName(whole.join(F.broadcast(hot), key, "left_anti").join(classes, key)).select("doc_id", "rep", "copies")
+    member = whole.join(F.broadcast(hot), key).unionByName(whole.join(F.broadcast(hot), key, "left_anti").join(classes, key)).select("doc_id", "rep", "copies", F.col("n").alias("chosen"))
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *key, "copies").hint("shuffle_hash"), ["doc_id", *key])
     reps = cut(reps.select("doc_id", "n", "copies", "hashes"), "representatives")
     clusters = components(stars(reps, num, den)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
@@ -318,9 +319,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "component")
     of_rep = cut(classes.select("rep", "copies").join(links, "rep", "left").join(joined, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"), (F.col("copies") * 1000 > total).alias("hot")), "class-links")
     hot_rep = of_rep.where("hot").drop("hot")
-    member = member.select("doc_id", "rep")
+    member = member.select("doc_id", "rep", "chosen")
     per_doc = member.join(F.broadcast(hot_rep), "rep").unionByName(member.join(F.broadcast(hot_rep), "rep", "left_anti").join(of_rep.drop("hot"), "rep")).drop("rep")
-    return stats.join(per_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return stats.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("chosen", "n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
