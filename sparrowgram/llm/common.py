@@ -7,6 +7,7 @@ whatever their names, can't clash with columns made here.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,20 +30,27 @@ def narrowed(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster
+    does not, as each executor would then write to its own disk."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def drop(spark: SparkSession, at: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _clean() -> None:
     for spark, at in _made:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+            drop(spark, at)
         except Exception:  # the session has ended: the folder's owner clears it
             return
 
@@ -53,13 +61,24 @@ atexit.register(_clean)
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read back.
 
-    The written table outlives any executor. It is removed when the driver ends.
+    The written table outlives any executor. It is removed when the driver ends, or before by spent().
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, at))
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._cut_at = at
+    return back
+
+
+def spent(*tables: DataFrame) -> None:
+    """Tables made by cut() whose last reader is done."""
+    for t in tables:
+        at = getattr(t, "_cut_at", None)
+        if at is not None and (t.sparkSession, at) in _made:
+            _made.remove((t.sparkSession, at))
+            drop(t.sparkSession, at)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -99,4 +118,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["F", "arrow_map", "batch", "bounded_batches", "cut", "narrowed", "partitions", "shared_dir", "table"]
+__all__ = ["F", "arrow_map", "batch", "bounded_batches", "cut", "narrowed", "partitions", "shared_dir", "spent", "table"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spent
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
         parent = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent")), "parents")
         while True:  # parents never rise, so following them ends
             above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            parent = cut(parent.join(above, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+            last, parent = parent, cut(parent.join(above, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+            spent(last)
             if parent.where("moved").isEmpty():
                 break
-            parent = parent.drop("moved")
         root = parent.select("node", F.col("parent").alias("root"))
         u, v = root.toDF("u", "ru"), root.toDF("v", "rv")
-        e = cut(e.join(u, "u").join(v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        last, e = e, cut(e.join(u, "u").join(v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        spent(last)
         if known is None:
             known = root.select("node", F.col("root").alias("component"))
         else:
             step = root.select(F.col("node").alias("component"), "root")
-            known = cut(known.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+            last, known = known, cut(known.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+            spent(last, parent)
     return known if known is not None else e.select(F.col("u").alias("node"), F.col("v").alias("component"))

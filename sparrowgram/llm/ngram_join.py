@@ -5,12 +5,15 @@
    A document of n shingles sends hashes below share(n) and judges by those below share(n / threshold), which every
    possible partner has sent. Shingles that several documents of one batch have go out once a batch.
 2. Classes. Documents that are left are grouped by their shingle set; one of each class stands for it.
-3. Signatures. Representatives that share a signature are joined to the least of them, as in a star; no pairs are made. Clusters are
-   the connected components: every similar pair lies in one.
-4. Verification. A cluster is compared set by set inside one task if it is small; else it is split by size band and hash into
-   blocks of bounded bytes and each pair of blocks that can hold similar sets goes to a task of its own. Tasks return sums and
-   spanning edges, never pairs.
-5. Components of the spanning edges, with the members of each class, give the result.
+3. Signatures. Representatives that share a signature are joined to the least of them, as in a star; no pairs are made. Of a signature
+   that many have, each task sends on one row. Clusters are the connected components: every similar pair lies in one.
+4. Refinement. The sets of a large cluster make signatures again, under another scattering of the domain. Similar sets share one of those as
+   well, so the components within the cluster still hold every pair, while sets that only met by chance part. This goes on until a
+   cluster is small or keeps more than half of its sets.
+5. Verification. A cluster is compared set by set inside one task if it is small; else it is split by size band and hash into
+   blocks of bounded bytes and of a bounded number of sets, and each pair of blocks that can hold similar sets goes to a task of its
+   own. So no task holds a matrix of more than 2 * BLOCK_SETS rows. Tasks return sums and spanning edges, never pairs.
+6. Components of the spanning edges, with the members of each class, give the result.
 
 Shingles are known by 64-bit hashes, classes by two such sums and the size.
 
@@ -22,20 +25,23 @@ document, whose text is that of the set with the least digest; rows with a null
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, cut, narrowed
+from .common import batch, bounded_batches, cut, narrowed, spent
 from .components import components
 from .partenum import band_ends, mix, shingle_hashes, signatures
 
 U = np.uint64
+MASK = (1 << 64) - 1
 CHECKED, UNCHECKED, SEVERAL = 0, 2, 1
-#: Bytes of sets in one block of a large cluster.
+#: Bytes of sets in one block of a large cluster, and their number.
 BLOCK_BYTES = 4 << 20
+BLOCK_SETS = 1024
 SETS = "doc_id long, n long, h1 long, h2 long, hashes binary"
 
 
@@ -147,44 +153,91 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SETS)
 
 
-def stars(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """u, v: representatives that share a signature, each joined to the least of its signature."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+def stars(sets: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:
+    """u, v: representatives that share a signature, each joined to the least of its signature. sets: doc_id, hashes and, for a level above
+    0, cluster: then the sets are scattered anew for that level and only those of one cluster share signatures."""
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def combined(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        """A row for each signature with its least document, and rows with v that already are edges: a hot signature sends one row a task."""
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        k = np.flatnonzero(least != doc)
+        u, v = np.unique(np.stack([least[k], doc[k]]), axis=1) if len(k) else (least[:0], doc[:0])
+        spread = mix(u.view(U) ^ mix(v.view(U))).view(np.int64)
+        none = np.zeros(int(first.sum()), np.int64)
+        mask = np.concatenate([np.ones(len(none), bool), np.zeros(len(v), bool)])
+        return batch(schema, pa.array(np.concatenate([key[first], spread])), pa.array(np.concatenate([doc[first], u])), pa.array(np.concatenate([none, v]), mask=mask))
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, size = [], [], 0
         for b in batches:
-            keys, ids, size = [], [], 0
-            for doc, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = signatures(np.frombuffer(h.as_buffer(), U), num, den)
+            clusters = b.column(2).to_numpy() if level else None
+            for i, (doc, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                h = np.frombuffer(h.as_buffer(), U)
+                s = signatures(h if not level else np.sort(mix(h + U(level * 0x632BE59BD9B4E019 & MASK))), num, den)
+                if level:
+                    s = mix(s ^ mix(clusters[i : i + 1].view(U)))
                 keys.append(s)
                 ids.append(np.full(len(s), doc, np.int64))
                 size += len(s)
                 if size > 1 << 20:
-                    yield batch(schema, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)))
+                    yield combined(np.concatenate(keys).view(np.int64), np.concatenate(ids))
                     keys, ids, size = [], [], 0
-            if keys:
-                yield batch(schema, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)))
+        if keys:
+            yield combined(np.concatenate(keys).view(np.int64), np.concatenate(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, head = None, 0
         for b in batches:
+            edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
             key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            least = np.where(at >= 0, doc[np.maximum(at, 0)], head)
-            last, head = key[-1], int(least[-1])
-            k = np.flatnonzero(least != doc)
-            if len(k):
-                pairs = np.unique(np.stack([least[k], doc[k]]), axis=1)
+            parts = [np.stack([doc[edge], b.column(2).drop_null().to_numpy()])]
+            key, doc = key[~edge], doc[~edge]
+            if len(key):
+                first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+                at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+                least = np.where(at >= 0, doc[np.maximum(at, 0)], head)
+                last, head = key[-1], int(least[-1])
+                k = np.flatnonzero(least != doc)
+                parts.append(np.stack([least[k], doc[k]]))
+            pairs = np.concatenate(parts, axis=1)
+            if pairs.shape[1]:
+                pairs = np.unique(pairs, axis=1)
                 yield batch(out, pa.array(pairs[0]), pa.array(pairs[1]))
 
-    rows = sets.select("doc_id", "hashes").mapInArrow(make, "key long, doc_id long")
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+    rows = sets.select("doc_id", "hashes", *(["cluster"] if level else [])).mapInArrow(make, "key long, u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key", "u").mapInArrow(run, "u long, v long")
+
+
+def refined(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """members (cluster, doc_id, n, copies) with large clusters parted by further signatures. A set that meets no other under them has no
+    similar set and is left out."""
+    small, level, was = [], 0, None
+    names = ("cluster", "doc_id", "n", "copies")
+    while True:
+        size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), (F.sum("n") * 8).alias("bytes"))
+        if was is not None:
+            size = size.join(was, "cluster")
+        large = (F.col("sets") > 2 * BLOCK_SETS) | (F.col("bytes") > BLOCK_BYTES)
+        size = cut(size.withColumn("open", large if was is None else large & (F.col("sets") * 2 <= F.col("was"))), "cluster-sizes")
+        open_ = size.where("open").select("cluster", F.col("sets").alias("was"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, [*small, members.select(*names)])
+        small.append(members.join(open_, "cluster", "left_anti").select(*names))
+        members = members.drop("was").join(open_, "cluster")
+        level += 1
+        again = members.select("doc_id", "cluster").join(sets.select("doc_id", "hashes").hint("shuffle_hash"), "doc_id")
+        parts = components(stars(again, num, den, level)).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+        members = cut(members.join(parts, "doc_id").select(F.col("part").alias("cluster"), "doc_id", "n", "copies", "was"), "clusters")
+        was = members.select("cluster", "was").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted sets, by products of blocks of columns."""
+    """Sizes of all intersections of sorted sets, by products of blocks of columns; at most 2 * BLOCK_SETS sets come here."""
     n = len(sets)
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -196,9 +249,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, n), np.float32)
     if len(col):
         col = np.cumsum(np.concatenate([[0], (col[1:] != col[:-1]).astype(np.int64)]))
-        for a in range(0, int(col[-1]) + 1, 4096):
-            i, j = np.searchsorted(col, [a, a + 4096])
-            m = np.zeros((n, min(4096, int(col[-1]) + 1 - a)), np.float32)
+        step = max(256, (1 << 22) // n)
+        for a in range(0, int(col[-1]) + 1, step):
+            i, j = np.searchsorted(col, [a, a + step])
+            m = np.zeros((n, min(step, int(col[-1]) + 1 - a)), np.float32)
             m[row[i:j], col[i:j] - a] = 1
             out += m @ m.T
     return out
@@ -208,13 +262,9 @@ def verified(ids: list[int], copies: list[int], sides: list[int], sets: list[np.
     """[(id, copies linked)] and [(id, id)], a spanning forest of the links. With two sides and not within, only links across count."""
     n = len(ids)
     size = np.array([len(s) for s in sets], np.int64)
-    common = overlaps(sets).astype(np.int64)
-    link = den * common >= num * (size[:, None] + size[None, :] - common)
-    np.fill_diagonal(link, False)
-    if not within:
-        s = np.array(sides)
-        link &= s[:, None] != s[None, :]
-    sums = link @ np.array(copies, np.int64)
+    both = overlaps(sets)
+    copies, side = np.array(copies, np.int64), np.array(sides)
+    sums = np.zeros(n, np.int64)
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -224,12 +274,20 @@ def verified(ids: list[int], copies: list[int], sides: list[int], sets: list[np.
         return x
 
     edges = []
-    for i in range(n):
-        for j in np.flatnonzero(link[i, :i]).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[a] = b
-                edges.append((ids[i], ids[j]))
+    for a in range(0, n, 256):  # a strip of rows at a time
+        b = min(n, a + 256)
+        common = both[a:b].astype(np.int64)
+        link = den * common >= num * (size[a:b, None] + size[None, :] - common)
+        link[np.arange(b - a), np.arange(a, b)] = False
+        if not within:
+            link &= side[a:b, None] != side[None, :]
+        sums[a:b] = link @ copies
+        for i in range(a, b):
+            for j in np.flatnonzero(link[i - a, :i]).tolist():
+                x, y = find(i), find(j)
+                if x != y:
+                    root[x] = y
+                    edges.append((ids[i], ids[j]))
     return [(i, int(k)) for i, k in zip(ids, sums, strict=True) if k], edges
 
 
@@ -241,12 +299,12 @@ def compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     for i, e in enumerate(ends[:60]):
         band = F.when(F.col("n") > e, i + 1).otherwise(band)
     m = members.withColumn("band", band)
-    size = m.groupBy("cluster", "band").agg((F.sum("n") * 8).alias("bytes"))
-    total = size.groupBy("cluster").agg(F.sum("bytes").alias("all_bytes"))
-    size = cut(size.join(total, "cluster").select("cluster", "band", "all_bytes", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "cluster-sizes")
-    large = size.where(F.col("all_bytes") > BLOCK_BYTES)
+    size = m.groupBy("cluster", "band").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("sets"))
+    total = size.groupBy("cluster").agg(((F.sum("bytes") > BLOCK_BYTES) | (F.sum("sets") > 2 * BLOCK_SETS)).alias("large"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+    large = cut(size.join(total.where("large"), "cluster").select("cluster", "band", blocks.alias("blocks")), "cluster-blocks")
     one = m.join(large.select("cluster").distinct(), "cluster", "left_anti").select("cluster", F.lit(-1).alias("b1"), F.lit(0).alias("k1"), F.lit(-1).alias("b2"), F.lit(0).alias("k2"), F.lit(0).alias("side"), "doc_id", "copies")
-    beside = large.select("cluster", "band", "blocks")
+    beside = large
     up = beside.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     down = beside.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
     b = m.join(beside, ["cluster", "band"]).join(up, ["cluster", "band"], "left").join(down, ["cluster", "band"], "left")
@@ -313,8 +371,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *key, "copies").hint("shuffle_hash"), ["doc_id", *key])
     reps = cut(reps.select("doc_id", "n", "copies", "hashes"), "representatives")
     clusters = components(stars(reps, num, den)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = cut(reps.select("doc_id", "n", "copies").join(clusters, "doc_id"), "clusters")
+    members = refined(cut(reps.select("doc_id", "n", "copies").join(clusters, "doc_id"), "clusters"), reps, num, den)
     found = cut(compared(members, reps, num, den), "links")
+    spent(reps)
     links = found.where("links IS NOT NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "component")
     of_rep = cut(classes.select("rep", "copies").join(links, "rep", "left").join(joined, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"), (F.col("copies") * 1000 > total).alias("hot")), "class-links")
@@ -325,6 +384,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the document with the least id; rows with a null id stay."""
-    gone = similar_documents(docs, id_col, text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["gone_id"], "left_anti")
+    """The rows of docs that stay, with all their columns: of each component the document with the least id.
+
+    Ids that several rows share, and null ids, don't tell documents apart. Each text of such an id is a document of its own, with a number made
+    of id and text in place of the id; of equal rows of it one stays."""
+    one = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where(F.col(id_col).isNull() | (F.col("rows") > 1)).select(F.col(id_col).alias("odd_id"))
+    if one.isEmpty():
+        gone = similar_documents(docs, id_col, text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["gone_id"], "left_anti")
+    names = docs.columns
+    one = cut(one, "repeated-ids")
+    same = docs[id_col].eqNullSafe(one["odd_id"])
+    number = F.xxhash64(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    odd = docs.join(one, same, "left_semi").withColumn("_join_number", number)
+    odd = odd.withColumn("_join_rank", F.row_number().over(Window.partitionBy("_join_number").orderBy(F.lit(0)))).where("_join_rank = 1").drop("_join_rank")
+    rows = cut(docs.join(one, same, "left_anti").withColumn("_join_number", F.col(id_col).cast("long")).unionByName(odd), "numbered")
+    gone = similar_documents(rows, "_join_number", text_col, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    return rows.join(gone.hint("shuffle_hash"), rows["_join_number"] == gone["gone_id"], "left_anti").select(*(f"`{c}`" for c in names))

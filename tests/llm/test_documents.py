@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers as P
@@ -85,15 +86,46 @@ def near_copies(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [4 << 20, 3000])
-def test_similar_documents(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, most", [(4 << 20, 1024), (3000, 1024), (4 << 20, 2)])
+def test_similar_documents(spark, block, most, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", most)
     rows = near_copies()
     d = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, n int, rep string").repartition(3)
     got = {r[0]: tuple(r[1:]) for r in ngram_join.similar_documents(d).collect()}
     assert got == brute_similar(rows)
 
 
+def test_a_template_forms_no_large_matrix(spark, monkeypatch):
+    """Nine words, the last one's own: candidates by thousands, links only where a text is a copy or nearly one."""
+    most, real = [], ngram_join.stars
+    monkeypatch.setattr(ngram_join, "stars", lambda sets, num, den, level=0: most.append(level) or real(sets, num, den, level))
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 50)
+    rows = [(i, f"click here to view the full profile of user{i}") for i in range(3000)] + [(9000 + i, f"click here to view the full profile of user{i}") for i in range(0, 3000, 100)]
+    rows += [(20_000 + i, "a b c d e f g h i j k l m n o p q r s t u v " + f"w{i}") for i in range(400)]  # all similar to each other: 18 of 20 shingles
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_similar, r.component_id) for r in ngram_join.similar_documents(d).collect()}
+    for i, _ in rows:
+        twin = i < 9000 and i % 100 == 0 or 9000 <= i < 20_000
+        assert got[i] == ((399, 20_000) if i >= 20_000 else (1, i - 9000 if i >= 9000 else i) if twin else (0, i))
+    assert max(most) >= 2
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Ids that rows share, and null ids, are told apart by their texts."""
+    near = " ".join(f"n{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(3, near, "a"), (5, near + " x", "b"), (5, other, "c"), (None, "p q r s t u", "d"), (None, "p q r s t u", "e"), (None, None, "f"), (8, "p q r s t u", "g"), (9, "", "h"), (2, "alone it is, this one text here", "i")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone_id string").repartition(3)
+    got = ngram_join.keep_one(d)
+    assert got.columns == d.columns
+    texts = [r.text for r in got.collect()]
+    assert sum(t in (near, near + " x") for t in texts) == 1 and texts.count("p q r s t u") == 1 and texts.count(other) == 1
+    assert texts.count(None) == 1 and texts.count("") == 1 and len(texts) == 6
+    plain = ngram_join.keep_one(d.where("doc_id <> 5"))
+    assert sorted(r.doc_id for r in plain.collect()) == [2, 3, 8, 9]
+
+
 def test_similar_documents_edges(spark, empty):
     assert ngram_join.similar_documents(empty).count() == 0
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e F")], "doc_id long, text string")
@@ -168,8 +200,16 @@ def test_exact_groups(spark, odd, empty, weak):
     groups = defaultdict(list)
     for i, t in rows:
         groups[low(t)].append(i)
+    rows += [(2000, "copy"), (2000, "Copy"), (2000, "other"), (1999, "copy"), (4, "copy"), (4, "copy")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for i, t in rows[-6:]:
+        groups[low(t)].append(i)
     got = sorted(tuple(r)[:4] for r in exact_dedup.exact_groups(d, **extra).collect())
-    assert got == sorted((i, max(groups[low(t)]), len(groups[low(t)]), i == max(groups[low(t)])) for i, t in rows)
+    seen, want = set(), []
+    for i, t in rows:  # of rows that repeat both id and text, one is kept
+        want.append((i, max(groups[low(t)]), len(groups[low(t)]), i == max(groups[low(t)]) and (i, low(t)) not in seen))
+        seen.add((i, low(t)))
+    assert got == sorted(want)
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
@@ -285,6 +325,105 @@ def test_words_of_a_wrapper_lose_no_text(page):
     assert html_text.main_text(page.format("".join(f"<p>{x}</p>" for x in PROSE))) == " ".join(["Flood", *PROSE])
 
 
+@pytest.mark.parametrize("page", ["<a " * 700_000, '<a "' * 200_000 + "<a '" * 200_000 + ">", "<div>" * 8000 + "</span>" * 8000, "<b>" + "<div>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<hr>" * 20_000, "<div>" * 20_000 + "<h1>x</h1>" * 20_000, "<div class=ad>" * 20_000 + "x", "<script>" + "</script " * 200_000, "<div>" * 20_000 + "<li>" * 20_000, "<!--" * 300_000])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
+class PlainDom(HTMLParser):
+    """Text and tags of a well-formed page: [tag, parent, signs, tags, link signs, link tags, children]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.now = ["#root", None, 0, 0, 0, 0, []]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        x = self.now  # a paragraph ends where a block begins
+        while tag in html_text.CLOSES_P and x is not None and (x[0] in html_text.INLINE or x[0] == "p"):
+            if x[0] == "p":
+                self.now = x[1]
+                break
+            x = x[1]
+        new = [tag, self.now, 0, 0, 0, 0, []]
+        self.now[6].append(new)
+        x = self.now
+        while x is not None:
+            x[3] += 1
+            x[5] += tag == "a"
+            x = x[1]
+        new[5] += tag == "a"
+        if tag not in html_text.VOID:
+            self.now = new
+
+    def handle_endtag(self, tag):
+        x = self.now
+        while x is not None and x[0] != tag:
+            x = x[1]
+        if x is not None and tag not in html_text.VOID:
+            self.now = x[1]
+
+    def handle_data(self, data):
+        n, x, link = len("".join(data.split())), self.now, False
+        if any(t in ("script", "style", "title") for t in self.tags()):
+            return
+        while x is not None:
+            link |= x[0] == "a"
+            x[2] += n
+            x[4] += n * link
+            x = x[1]
+
+    def tags(self):
+        x = self.now
+        while x is not None:
+            yield x[0]
+            x = x[1]
+
+
+def test_densities_like_a_plain_tree(spark):
+    """Counts, densities and the best node of the driver's pages, by html.parser and the formula written out again."""
+    import math
+
+    from unittest import mock
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html][:120]
+    nothing = mock.patch.object(html_text, "judged", lambda tag, attributes, inside: (tag in ("script", "style", "title"), frozenset()))
+    for page in pages:
+        dom = PlainDom(page)
+        flat, stack = [], [dom.root]
+        while stack:
+            x = stack.pop()
+            flat.append(x)
+            stack.extend(reversed([y for y in x[6] if y[0] not in ("script", "style", "title")]))
+        with nothing:
+            order = html_text.measure(html_text.tree(page))
+        assert [(x.tag, x.c, x.lc) for x in order] == [(x[0], x[2], x[4]) for x in flat]
+        body = next(x for x in flat if x[0] == "body")
+
+        def density(x, body=body):
+            if not x[2]:
+                return 0.0
+            hidden = sum(1 for y in flat_below(x) if y[0] in ("script", "style", "title"))
+            t, lc, lt = max(1, x[3] - hidden), max(1, x[4]), max(1, x[5])
+            base = math.log(x[2] / max(1, x[2] - x[4]) * x[4] + body[4] / max(1, body[2]) * x[2] + math.e)
+            up = math.log(max(1.0, x[2] / lc * t / lt))
+            return x[2] / t * max(0.0, up / math.log(base) if base > 1.000001 else up)
+
+        def flat_below(x):
+            for y in x[6]:
+                yield y
+                yield from flat_below(y)
+
+        want = [sum(density(y) for y in x[6] if y[0] not in ("script", "style", "title")) for x in flat]
+        assert np.allclose([x.sum for x in order], want)
+        assert max(range(len(order)), key=lambda i: order[i].sum) == max(range(len(flat)), key=lambda i: want[i])
+
+
 def test_siblings_and_words():
     many = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container"><p>{x}</p></div></div>' for x in PROSE * 3)
     assert html_text.main_text(f"<body>{many}</body>") == " ".join(PROSE * 3)
@@ -309,6 +448,55 @@ def test_language_id(spark, odd, empty):
     assert none is None and {r.lang_pred for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_training_texts_have_a_bound(spark, monkeypatch):
+    """Rows that repeat an id count once, whatever their number."""
+    rows = [(7, f"some words {i}", "en") for i in range(3000)] + [(100 + i, f"other words {i}", "en") for i in range(40)] + [(100 + i, f"mots {i}", "fr") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen, real = {}, language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda samples, **k: seen.update({a: len(b) for a, b in samples.items()}) or real(samples, **k))
+    language_id.learn(d, per_lang=10)
+    assert set(seen) == {"en", "fr"} and all(0 < n <= 10 for n in seen.values())
+
+
+def bucket(*signs: str) -> int:
+    """The place of an n-gram, in plain integers."""
+    n, c = len(signs), [0 if s == "\0" else ord(s) for s in signs]
+    h = c[-1] * 0x9E3779B97F4A7C15
+    if n == 2:
+        h += c[0] * 0xC2B2AE3D27D4EB4F
+    elif n == 3:
+        h += ((c[0] * 0x165667B19E3779F9 % 2**64) ^ c[1]) * 0xC2B2AE3D27D4EB4F
+    h = (h + n) % 2**64
+    return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 51
+
+
+def cosine(a: dict, b: dict) -> float:
+    return sum(v * b.get(k, 0.0) for k, v in a.items())
+
+
+def test_language_like_plain_dictionaries(spark):
+    """Vectors, cosines, nearest centroid and floors, in dictionaries of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = language_id.learn(docs)
+    centroids = [(m.langs[k], {i: float(x) for i, x in enumerate(c) if x}) for k, c in zip(m.of, m.centroids, strict=True)]
+    rows = docs.collect()[::4]
+    got = {r.doc_id: r for r in language_id.predict(docs, m).collect()}
+    for r in rows:
+        grams = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split():
+            w = "\0" + w + "\0"
+            grams.update(bucket(*w[i - n : i]) for n in (1, 2, 3) for i in range(n, len(w) + 1) if n > 1 or w[i - 1] != "\0")
+        if not grams:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        v = {k: (1 + np.log(n)) * float(m.idf[k]) for k, n in grams.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = [(cosine({k: x / size for k, x in v.items()}, c), k) for k, c in centroids]
+        best = max(x for x, _ in cos)
+        assert abs(got[r.doc_id].score - best) < 1e-4
+        assert any(k == got[r.doc_id].lang_pred and x > best - 1e-4 for x, k in cos)
+
+
 def test_unlearned_languages_and_dumps_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
