@@ -13,7 +13,7 @@ A digest that stands for several texts keeps them apart: its classes carry their
 on the text as well. With SHA-256 that table is empty and the step is left out.
 
 Defined results: null text is the empty text; an empty table gives an empty result; of rows that repeat a
-doc_id all count, and each is a row of the groups (keep_largest takes one row a class); a null doc_id loses to any other; further columns are ignored.
+doc_id all count, and each is a row of the groups, but of equal ones only one is kept; a null doc_id loses to any other; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.withColumn("digest", digest(F.col("text")))
     ids = cut(d.select("doc_id", "digest"), "dedup-ids")
     total = ids.count()
+    ids = numbered(ids)
     hot = ids.groupBy("digest").count().where(F.col("count") * HOT > total).select("digest", F.lit(True).alias("hot"))
     salted = (
         d.join(F.broadcast(hot), "digest", "left")
@@ -69,15 +70,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         apart = d.join(twins, "digest", "left_semi")
         classes = apart.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         exact = apart.join(classes, ["digest", "text"])
+        # equal rows among these few: a rank is enough
+        again = Window.partitionBy("digest", "text", "doc_id").orderBy("keep_id")
+        exact = exact.withColumn("first", F.row_number().over(again) == 1)
     hot_classes = F.broadcast(hot_classes)
     parts = [ids.join(hot_classes, "digest"), ids.join(F.broadcast(hot), "digest", "left_anti").join(cold_classes, "digest")]
-    names = ("doc_id", "keep_id", "group_size", "digest")
+    names = ("doc_id", "keep_id", "group_size", "digest", "first")
     out = None
     for part in [*parts, exact]:
         if part is not None:
             part = part.select(*names)
             out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest")
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """ids (doc_id, digest), a written table, with first: false for all but one of equal rows. These are alike in every column, so they are
+    counted, and made again from their number, however many they are."""
+    short = F.xxhash64("digest").alias("short")
+    many = ids.groupBy("doc_id", short).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "short")
+    many = cut(many, "dedup-repeated")
+    if many.isEmpty():
+        return ids.withColumn("first", F.lit(True))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.digest") == F.col("b.short"))
+    one = ids.alias("a").join(many.alias("b"), same, "left_anti").select("doc_id", "digest", F.lit(True).alias("first"))
+    rows = ids.alias("a").join(many.alias("b"), same, "left_semi").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    chunk = F.lit(1 << 16)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / chunk))))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.col("part") * chunk, F.least((F.col("part") + 1) * chunk, F.col("rows")) - 1)))
+    return one.unionByName(rows.select("doc_id", "digest", (F.col("at") == 0).alias("first")))
 
 
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
