@@ -10,7 +10,7 @@ languages not learned, hex and base64 dumps and random letters fall below. Texts
 floor of the length before, as a high one would reject long repetitions of a known word. At a few letters nothing tells languages apart, and some foreign words stay.
 
 Training reads only text and language of the rows that `learn` keeps. It takes at most PER_LANG texts a language, those with the
-least hash of their id, so what reaches the driver is bounded by PER_LANG * BUCKETS numbers a language.
+least hash of their id, one row of each id, so what reaches the driver is bounded by PER_LANG * BUCKETS numbers a language.
 
 Defined results: null texts and texts without letters are `und`, score 0, rejected; empty tables give empty results; with no
 training text every row is `und`; ties go to the language that comes first in the alphabet; repeated rows each get a row;
@@ -175,7 +175,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     d = narrowed(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # ids first, without the texts: two narrow columns are read
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).drop("n")
+    chosen = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
     schema = pa.schema([("lang", pa.string()), ("piece", pa.bool_()), ("at", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,7 +183,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         at = [np.flatnonzero(c).astype(np.int16) for *_, c in rows]
         return batch(schema, [k for k, *_ in rows], [p for _, p, _ in rows], at, [c[i].astype(np.int32) for (*_, c), i in zip(rows, at, strict=True)])
 
-    texts = d.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")  # per_lang rows a language
+    texts = d.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # per_lang ids a language
+    # one row of each id, else repeated rows would have no bound; the limit works within each task before the shuffle as well
+    one = Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text"), "text")
+    texts = texts.withColumn("n", F.row_number().over(one)).where("n = 1").select("lang", "text")
     got = arrow_map(texts, run, "lang string, piece boolean, at array<short>, n array<int>").toArrow()
 
     def dense(at: pa.Scalar, n: pa.Scalar) -> np.ndarray:
