@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +31,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, batch, narrowed
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag without `<` or `>` inside quotes: it fails no later than the next of them, so a page is scanned in linear time.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^<>"']*(?:(?:"[^"<>]*"|'[^'<>]*')[^<>"']*)*)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARKS = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -94,87 +98,132 @@ def judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, froze
     return False, frozenset(words | {""} if content and words else words)
 
 
+class TagEnds:
+    """Where a tag ends: at the first `>` outside quotes. Found for all places of a page in one pass from its end."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in MARKS.finditer(page)]
+        n = len(self.at)
+        self.end = [-1] * (n + 1)
+        following = {'"': n, "'": n}
+        for i in range(n - 1, -1, -1):
+            c = page[self.at[i]]
+            if c == ">":
+                self.end[i] = self.at[i]
+            else:
+                self.end[i] = self.end[min(following[c] + 1, n)]
+                following[c] = i
+
+    def after(self, i: int) -> int:
+        return self.end[bisect_left(self.at, i)]
+
+
+class Open:
+    """The open elements, with the depths of those of each tag, so that no start or end tag walks the whole path."""
+
+    def __init__(self, root: Node):
+        self.path, self.where, self.blocks, self.plain = [], defaultdict(list), [-1], []
+        self.push(root)
+
+    def push(self, x: Node) -> None:
+        d = len(self.path)
+        self.path.append(x)
+        self.where[x.tag].append(d)
+        if x.tag in BLOCK:
+            self.blocks.append(d)
+        if x.tag not in INLINE and x.tag != "p":
+            self.plain.append(d)
+
+    def keep(self, depth: int) -> None:
+        """Closes all but the first `depth` elements."""
+        while len(self.path) > depth:
+            x = self.path.pop()
+            self.where[x.tag].pop()
+            if self.blocks[-1] == len(self.path):
+                self.blocks.pop()
+            if self.plain[-1] == len(self.path):
+                self.plain.pop()
+
+    def last(self, *tags: str) -> int:
+        """The depth of the innermost open element of these tags, or -1."""
+        return max(w[-1] if (w := self.where[t]) else -1 for t in tags)
+
+
 def tree(page: str) -> Node:
     root = Node("#root", None, False)
-    node, at, n = root, 0, len(page)
-    articles = 0
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            if node.tag == "head" and not text.isspace():
-                node = node.parent
-            node.items.append(unescape(text))
-        if not m:
+    now = Open(root)
+    at = scan = 0
+    ends: TagEnds | None = None
+
+    def text(end: int) -> None:
+        if end > at:
+            t = page[at:end]
+            if now.path[-1].tag == "head" and not t.isspace():
+                now.keep(len(now.path) - 1)
+            now.path[-1].items.append(unescape(t))
+
+    while True:
+        i = page.find("<", scan)
+        if i < 0:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if page.startswith(("<!", "<?"), i):
+            text(i)
+            mark = "-->" if page.startswith("<!--", i) else ">"
+            end = page.find(mark, i + 4 if mark == "-->" else i)
+            at = scan = end + len(mark) if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        if m[1]:
-            x: Node | None = node
-            while x is not None and x.tag != tag:
-                if x.tag in ("article", "td", "table") and tag in INLINE:
-                    x = None
-                    break
-                x = x.parent
-            if x is not None and x is not root:
-                if tag in INLINE and x is not node and any_block(node, x):
-                    continue
-                node = x.parent
+        if m := TAG.match(page, i):
+            closing, tag, attributes, end = m[1], m[2].lower(), m[3], m.end()
+        elif m := NAME.match(page, i):
+            ends = ends or TagEnds(page)
+            end = ends.after(m.end()) + 1
+            closing, tag, attributes = m[1], m[2].lower(), page[m.end() : end - 1] if end else ""
+        else:
+            end = 0
+        if not end:  # no tag: the sign is text
+            scan = i + 1
+            continue
+        text(i)
+        at = scan = end
+        if closing:
+            d = now.last(tag)
+            if tag in INLINE and now.last("article", "td", "table") > d:
+                d = -1
+            if d > 0:
+                if tag not in INLINE or now.blocks[-1] <= d:
+                    now.keep(d)
             elif tag == "br":
-                node.items.append(Node("br", node, False))
+                now.path[-1].items.append(Node("br", now.path[-1], False))
             continue
         if tag == "body":
-            x = node
-            while x is not None and x.tag not in ("head", "body"):
-                x = x.parent
-            if x is not None and x.tag == "body":
+            body, head = now.last("body"), now.last("head")
+            if body > head:
                 continue
-            if x is not None:
-                node = x.parent
-        elif node.tag == "head" and tag not in METADATA:
-            node = node.parent
-        if tag in CLOSES_P:
-            x = node
-            while x is not None and (x.tag in INLINE or x.tag == "p"):
-                if x.tag == "p":
-                    node = x.parent
-                    break
-                x = x.parent
+            if head >= 0:
+                now.keep(head)
+        elif now.path[-1].tag == "head" and tag not in METADATA:
+            now.keep(len(now.path) - 1)
+        if tag in CLOSES_P and (d := now.last("p")) > now.plain[-1]:
+            now.keep(d)
         if tag in ENDS:
             ended, barrier = ENDS[tag]
-            x = node
-            while x is not None and x.tag not in barrier:
-                if x.tag in ended:
-                    node = x.parent
-                x = x.parent
-        inside, x = False, node
-        if tag == "header":
-            while x is not None:
-                inside |= x.tag in ("article", "main")
-                x = x.parent
-        drop, words = judged(tag, m[3], inside)
+            wall = now.last(*barrier)
+            if open_ := [w[k] for e in ended if (k := bisect_right(w := now.where[e], wall)) < len(w)]:
+                now.keep(min(open_))
+        node = now.path[-1]
+        drop, words = judged(tag, attributes, tag == "header" and now.last("article", "main") >= 0)
         new = Node(tag, node, node.drop or drop, words)
         node.items.append(new)
-        articles += tag == "article"
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
-        elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK - {"br", "hr"}:
-            node = new
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", m.end()) if m else -1
+            at = scan = end + 1 if end >= 0 else len(page)
+        elif tag not in VOID and not attributes.endswith("/") or tag in BLOCK - {"br", "hr"}:
+            now.push(new)
+    text(len(page))
     return root
 
 
-def any_block(node: Node, top: Node) -> bool:
-    while node is not top:
-        if node.tag in BLOCK:
-            return True
-        node = node.parent
-    return False
-
-
 def measure(root: Node) -> list[Node]:
     """Counts and densities; the nodes in page order. Without recursion: a page may nest without end."""
     order, stack = [], [root]
@@ -205,10 +254,15 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def any_article(node: Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    return node is not None
+def holders(order: list[Node], *tags: str) -> set[Node]:
+    """The nodes of these tags and all that hold one."""
+    out: set[Node] = set()
+    for x in order:
+        if x.tag in tags:
+            while x is not None and x not in out:
+                out.add(x)
+                x = x.parent
+    return out
 
 
 def unwanted(order: list[Node]) -> list[Node]:
@@ -220,31 +274,28 @@ def unwanted(order: list[Node]) -> list[Node]:
     if not marked:
         return []
     body = next((x for x in order if x.tag == "body"), order[0])
-    total, kept, first, within = max(1, body.c), set(), Counter(), Counter()
-    for x in order:
-        if x.tag in ("article", "main", "h1"):
-            y = x
-            while y is not None:
-                if x.tag == "h1":
-                    first[y] += 1
-                else:
-                    kept.add(y)
-                y = y.parent
-    # the outermost articles
-    whole = sum(x.c for x in order if x.tag in ("article", "main") and not any_article(x.parent))
-    of_page = first[order[0]]
+    total, kept = max(1, body.c), holders(order, "article", "main")
+    first = dict.fromkeys(order, 0)
+    inside, above = {None: False}, {None: frozenset()}
+    whole = 0
+    for x in order:  # what holds a node comes before it
+        outer = inside[x.parent]
+        inside[x] = outer or x.tag in ("article", "main")
+        whole += x.c if inside[x] and not outer else 0  # the outermost articles
+        above[x] = above[x.parent] | x.parent.words if x.parent is not None and not x.parent.words <= above[x.parent] else above[x.parent]
+    for x in reversed(order):
+        first[x] += x.tag == "h1"
+        if x.parent is not None:
+            first[x.parent] += first[x]
+    of_page, within = first[order[0]], defaultdict(int)
     for x in marked:
-        seen, y = set(), x.parent
-        while y is not None:
-            seen |= y.words
-            y = y.parent
-        for w in x.words - seen:
+        for w in x.words - above[x]:
             within[w] += x.c
     out = []
     for x in marked:
         links = 2 * x.lc > x.c
         comments = not COMMENTS.isdisjoint(x.words)
-        beside = whole and not any_article(x) and (comments or x.c <= 4 * whole)
+        beside = whole and not inside[x] and (comments or x.c <= 4 * whole)
         if x in kept or 2 * x.c > total and not beside or of_page and first[x] == of_page and not links:
             continue
         few = "" not in x.words and any(within[w] <= MARKED * total for w in x.words)
@@ -286,12 +337,7 @@ def main_nodes(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     threshold = min(threshold, body.density)
-    titles = set()
-    for y in order:
-        if y.tag == "h1":
-            while y is not None:
-                titles.add(y)
-                y = y.parent
+    titles = holders(order, "h1")
     beside = lambda y: y.c and 2 * y.lc <= y.c and (y.density >= threshold or y.tag in HEADINGS or y in titles)
     return [y for y in best.parent.items if isinstance(y, Node) and not y.drop and (y is best or beside(y))]
 
