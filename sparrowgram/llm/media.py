@@ -2,11 +2,13 @@
 
 A file's image directories are walked from the first to the last; each becomes a page. Strips or tiles are decoded from
 none, PackBits, LZW or deflate; horizontal differencing (8, 16 and 32 bit samples) and the floating-point predictor
-are undone. Both byte orders, BigTIFF and planar layouts are read. A directory that points back to one already
-walked ends the walk.
+are undone. Samples of 1, 2 and 4 bits come as one byte each. Both byte orders, both bit orders, BigTIFF and planar layouts are read. A
+directory that points back to one already walked ends the walk.
 
-Defined results: null or unreadable bytes give no page and an error row when `errors` is set; empty tables give empty results;
-repeated rows each give their pages; further columns are ignored.
+Defined results: a page that can't be read gives an error row, unless `errors` is unset, and the walk goes on with the next; null or empty bytes, and
+bytes that hold no directory, give one error row; sizes that are zero, or that no file of this length can hold, are
+faults and nothing is allocated for them; empty tables give empty results; repeated rows each give their pages; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, batch, narrowed
 
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
+FILL_ORDER = 266
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: No codec here makes more bytes of one: the longest LZW string has 3838 bytes and takes 12 bits at most.
+MOST_FROM_ONE = 4096
+FAULTS = (ValueError, KeyError, TypeError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
 KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
@@ -63,8 +69,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widening one code early."""
+def lzw_decode(data: bytes, size: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widening one code early; ends when `size` bytes are there."""
+    left = size
     start = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, held, bits, last, out = list(start), 9, 0, 0, b"", []
     for byte in data:
@@ -86,6 +93,9 @@ def lzw_decode(data: bytes) -> bytes:
             table.append(last + now[:1])
         out.append(now)
         last = now
+        left -= len(now)
+        if left <= 0:
+            break
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
     return b"".join(out)
@@ -134,11 +144,11 @@ def decode_block(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == PACKBITS:
         return unpack_bits(data)[:size]
     if compression == LZW:
-        return lzw_decode(data)[:size]
+        return lzw_decode(data, size)[:size]
     raise ValueError(f"compression {compression} isn't read")
 
 
@@ -197,30 +207,80 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(order + ("Q" if big else "I"), data, at + n * step)
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    for index, (order, tags) in enumerate(directories(data)):
-        one = lambda t, default=None: tags.get(t, (default,))[0]  # noqa: B023, E731
-        w, h, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
-        compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-        if bits not in (8, 16, 32, 64):
-            raise ValueError(f"samples of {bits} bits aren't read")
-        kind = np.dtype(f"{'f' if one(FORMAT, 1) == 3 else 'i' if one(FORMAT, 1) == 2 else 'u'}{bits // 8}").newbyteorder(order)
-        deep = 1 if planar == 2 else samples
-        tiled = TILES in tags
-        bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(one(ROWS, h), h))
-        at, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags.get(STRIP_BYTES, (len(data),)))
-        across, down = -(-w // bw), -(-h // bh)
-        out = np.zeros((h, w, samples), kind.newbyteorder("="))
-        for k, (a, n) in enumerate(zip(at, sizes, strict=True)):
-            plane, k = divmod(k, across * down)
-            y, x = k // across * bh, k % across * bw
-            rows = bh if tiled else min(bh, h - y)
-            raw = decode_block(data[a : a + n], compression, rows * bw * deep * kind.itemsize)
+def small_samples(raw: bytes, rows: int, n: int, bits: int) -> np.ndarray:
+    """uint8 (rows, n) of samples of 1, 2 or 4 bits, most significant first; each row begins at a byte."""
+    width = -(-n * bits // 8)
+    b = np.frombuffer(raw, np.uint8, rows * width).reshape(rows, width)
+    parts = [b >> np.uint8(8 - bits * (i + 1)) & np.uint8((1 << bits) - 1) for i in range(8 // bits)]
+    return np.stack(parts, axis=2).reshape(rows, -1)[:, :n]
+
+
+def page_of(data: bytes, order: str, tags: dict[int, tuple], index: int) -> Page:
+    one = lambda t, default=None: tags.get(t, (default,))[0]
+    w, h, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise ValueError(f"samples of {bits} bits aren't read")
+    if bits < 8 and predictor != 1:
+        raise ValueError(f"predictor {predictor} on samples of {bits} bits isn't read")
+    kind = np.dtype(np.uint8) if bits < 8 else np.dtype(f"{'f' if one(FORMAT, 1) == 3 else 'i' if one(FORMAT, 1) == 2 else 'u'}{bits // 8}").newbyteorder(order)
+    deep = 1 if planar == 2 else samples
+    tiled = TILES in tags
+    bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(one(ROWS, h), h))
+    at, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags.get(STRIP_BYTES, (len(data),)))
+    if min(w, h, samples, bw, bh) < 1:
+        raise ValueError("a size is zero")
+    across, down = -(-w // bw), -(-h // bh)
+    row = -(-bw * deep * bits // 8)
+    if len(at) != across * down * (samples // deep) or len(sizes) != len(at):
+        raise ValueError("strips or tiles are missing")
+    if bh * row > MOST_FROM_ONE * (len(data) + 1) or h * row > MOST_FROM_ONE * (len(data) + 1):
+        raise ValueError("the file is too short for the sizes that it names")
+    out = np.zeros((h, w, samples), kind.newbyteorder("="))
+    for k, (a, n) in enumerate(zip(at, sizes, strict=True)):
+        plane, k = divmod(k, across * down)
+        y, x = k // across * bh, k % across * bw
+        rows = bh if tiled else min(bh, h - y)
+        part = data[a : a + n]
+        if one(FILL_ORDER, 1) == 2:
+            part = np.packbits(np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")).tobytes()
+        raw = decode_block(part, compression, rows * row)
+        if bits < 8:
+            block = small_samples(raw, rows, bw * deep, bits).reshape(rows, bw, deep)
+        else:
             block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep)
             block = undo_predictor(block.astype(kind.newbyteorder("=")) if predictor == 2 else block, predictor, order)
-            part = block[: h - y, : w - x]
-            out[y : y + part.shape[0], x : x + part.shape[1], plane if planar == 2 else slice(None)] = part[:, :, 0] if planar == 2 else part
-        yield Page(index, w, h, compression, out)
+        part = block[: h - y, : w - x]
+        out[y : y + part.shape[0], x : x + part.shape[1], plane if planar == 2 else slice(None)] = part[:, :, 0] if planar == 2 else part
+    return Page(index, w, h, compression, out)
+
+
+def walk(data: bytes) -> Iterator[tuple[int, Page | Exception]]:
+    """Each page by its number, or why it can't be read."""
+    index, found = 0, directories(data)
+    while True:
+        try:
+            order, tags = next(found)
+        except StopIteration:
+            if not index:
+                yield 0, ValueError("no directory")
+            return
+        except FAULTS as e:  # where the next directory is stays unknown
+            yield index, e
+            return
+        try:
+            yield index, page_of(data, order, tags, index)
+        except FAULTS as e:
+            yield index, e
+        index += 1
+
+
+def pages(data: bytes) -> Iterator[Page]:
+    """The pages; raises at the first that can't be read."""
+    for _, p in walk(data):
+        if isinstance(p, Exception):
+            raise p
+        yield p
 
 
 def write_tiff(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows: int = 64, tile: int = 0, order: str = "<") -> bytes:
@@ -302,20 +362,25 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(narrowed(docs, doc_id=id_col, text=text_col), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def tiff_pages(files: DataFrame, id_col: str, data_col: str, errors: bool = False) -> DataFrame:
-    """One row per page: id, page, width, height, compression, data (samples, row by row), error. A file that can't be read gives
-    the pages before the fault; with errors, also a row that says why."""
+def tiff_pages(files: DataFrame, id_col: str, data_col: str, errors: bool = True) -> DataFrame:
+    """One row per page: id, page, width, height, compression, data (samples, row by row), error. A page that can't be read has only id, page and
+    why in error; without errors it is left out."""
     schema = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            try:
-                for p in pages(data.as_py() or b""):
-                    rows.append((i, p.index, p.width, p.height, p.compression, p.samples.tobytes(), None))
-            except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
-                if errors:
-                    rows.append((i, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-        return batch(schema, *(list(c) for c in (zip(*rows, strict=True) if rows else [[]] * 7)))
-
-    return arrow_map(narrowed(files, id=id_col, data=data_col), run, "id long, page int, width int, height int, compression int, data binary, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for b in batches:
+            for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for k, p in walk(data.as_py() or b""):
+                    if isinstance(p, Page):
+                        rows.append((i, k, p.width, p.height, p.compression, p.samples.tobytes(), None))
+                        size += p.samples.nbytes
+                    elif errors:
+                        rows.append((i, k, None, None, None, None, f"{type(p).__name__}: {p}"))
+                    if size > 16 << 20 or len(rows) > 4096:
+                        yield batch(schema, *map(list, zip(*rows, strict=True)))
+                        rows, size = [], 0
+        if rows:
+            yield batch(schema, *map(list, zip(*rows, strict=True)))
+
+    return narrowed(files, id=id_col, data=data_col).mapInArrow(run, "id long, page int, width int, height int, compression int, data binary, error string")

@@ -244,11 +244,98 @@ def test_tiff_codecs():
     assert media.lzw_decode(media.lzw_encode(x)) == x and media.unpack_bits(media.pack_bits(x)) == x
 
 
+def tiff_bytes(directories, order="<", big=False):
+    """A file of directories {tag: (kind, values)}; strips or tiles are given as bytes under tag 273 or 324, in place of their offsets."""
+    import struct
+
+    off = "Q" if big else "I"
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + ("HHHQ" if big else "HI"), *((43, 8, 0, 0) if big else (42, 0))))
+    link = 8 if big else 4
+    for tags in directories:
+        tags, kinds = dict(tags), {1: "B", 3: "H", 4: "I", 16: "Q"}
+        for t, sizes in ((273, 279), (324, 325)):
+            if t in tags:
+                places = []
+                for block in tags[t]:
+                    places.append(len(out))
+                    out += block
+                tags[sizes] = tags.get(sizes, (4, [len(x) for x in tags[t]]))
+                tags[t] = (16 if big else 4, places)
+        entries = []
+        for t, (kind, values) in sorted(tags.items()):
+            raw = struct.pack(f"{order}{len(values)}{kinds[kind]}", *values)
+            if len(raw) > (8 if big else 4):
+                place = len(out)
+                out += raw
+                raw = struct.pack(order + off, place)
+            entries.append(struct.pack(order + "HH" + off, t, kind, len(values)) + raw.ljust(8 if big else 4, b"\0"))
+        struct.pack_into(order + off, out, link, len(out))
+        out += struct.pack(order + ("Q" if big else "H"), len(entries)) + b"".join(entries)
+        link = len(out)
+        out += bytes(8 if big else 4)
+    return bytes(out)
+
+
+def one_page(w, h, bits, blocks, compression=1, **more):
+    return {256: (4, [w]), 257: (4, [h]), 258: (3, bits if isinstance(bits, list) else [bits]), 259: (3, [compression]), 277: (3, [1]), 278: (4, [h]), 273: blocks} | {int(k[1:]): v for k, v in more.items()}
+
+
+def test_tiff_of_few_bits():
+    r = np.random.default_rng(3)
+    for bits in (1, 2, 4):
+        for order in "<>":
+            for w in (1, 7, 16, 19):
+                a = r.integers(0, 1 << bits, (5, w)).astype(np.uint8)
+                rows = [np.packbits(np.unpackbits(x[:, None], axis=1)[:, 8 - bits :].reshape(-1)).tobytes() for x in a]
+                for compression, coded in ((1, b"".join(rows)), (32773, b"".join(map(media.pack_bits, rows))), (5, media.lzw_encode(b"".join(rows)))):
+                    (p,) = media.pages(tiff_bytes([one_page(w, 5, bits, [coded], compression)], order))
+                    assert (p.samples[:, :, 0] == a).all()
+                turned = np.packbits(np.unpackbits(np.frombuffer(b"".join(rows), np.uint8), bitorder="little")).tobytes()
+                (p,) = media.pages(tiff_bytes([one_page(w, 5, bits, [turned], t266=(3, [2]))], order))
+                assert (p.samples[:, :, 0] == a).all()
+
+
+def test_tiff_layouts():
+    """BigTIFF, planes apart, the floating-point predictor, old deflate, tiles; bytes made here, not by the writer."""
+    r = np.random.default_rng(4)
+    a = r.integers(0, 255, (6, 5, 3)).astype(np.uint8)
+    for big in (False, True):
+        for order in "<>":
+            planes = [a[:, :, k].tobytes() for k in range(3)]
+            (p,) = media.pages(tiff_bytes([one_page(5, 6, [8, 8, 8], planes, t277=(3, [3]), t284=(3, [2]))], order, big))
+            assert (p.samples == a).all()
+            (p,) = media.pages(tiff_bytes([one_page(5, 6, [8, 8, 8], [zlib.compress(a.tobytes())], 32946, t277=(3, [3]))], order, big))
+            assert (p.samples == a).all()
+            f = r.normal(size=(4, 3)).astype(">f4")
+            raw = np.frombuffer(f.tobytes(), np.uint8).reshape(4, 3, 4).transpose(0, 2, 1).reshape(4, 12)
+            coded = np.diff(raw, axis=1, prepend=np.zeros((4, 1), np.uint8)).astype(np.uint8).tobytes()
+            (p,) = media.pages(tiff_bytes([one_page(3, 4, 32, [coded], t339=(3, [3]), t317=(3, [3]))], order, big))
+            assert (p.samples[:, :, 0] == f.astype(np.float32)).all()
+
+
+def test_tiff_faults(spark):
+    good = one_page(3, 2, 8, [bytes(6)])
+    bad = [one_page(0, 2, 8, [bytes(6)]), one_page(3, 0, 8, [bytes(6)]), good | {278: (4, [0])}, one_page(1 << 31, 1 << 31, 8, [bytes(6)]), one_page(3, 2, 8, [b"\1"], 8), one_page(3, 2, 7, [bytes(6)]), one_page(3, 2, 8, [bytes(2)]), one_page(3, 2, 8, [bytes(6)], 99), {256: (4, [3])}, good | {277: (3, [0])}]
+    files = [(i, tiff_bytes([good, b, good])) for i, b in enumerate(bad)]
+    d = spark.createDataFrame(files, "id long, data binary")
+    rows = media.tiff_pages(d, "id", "data").collect()
+    assert Counter((r.id, r.page, r.error is None) for r in rows) == Counter((i, k, k != 1) for i in range(len(bad)) for k in range(3))
+    assert media.tiff_pages(d, "id", "data", errors=False).count() == 2 * len(bad)
+    assert media.tiff_pages(d.limit(0), "id", "data").count() == 0
+    r = random.Random(5)
+    whole = media.write_tiff([np.arange(600, dtype=np.uint8).reshape(20, 30)] * 2, media.LZW, 2, 8)
+    for _ in range(300):
+        b = bytearray(whole)
+        for _ in range(r.randint(1, 6)):
+            b[r.randrange(len(b))] = r.randrange(256)
+        list(media.walk(bytes(b[: r.randrange(len(b))] if r.random() < 0.3 else b)))
+
+
 def test_tiff_rows(spark):
     good = media.write_tiff([np.zeros((2, 3), np.uint8)] * 2)
     d = spark.createDataFrame([(1, good), (2, None), (3, b"II*\0junk"), (1, good)], "id long, data binary")
-    assert Counter((r.id, r.page) for r in media.tiff_pages(d, "id", "data").collect()) == Counter({(1, 0): 2, (1, 1): 2})
-    assert {r.id for r in media.tiff_pages(d, "id", "data", errors=True).where("error IS NOT NULL").collect()} == {2, 3}
+    assert Counter((r.id, r.page) for r in media.tiff_pages(d, "id", "data", errors=False).collect()) == Counter({(1, 0): 2, (1, 1): 2})
+    assert {r.id for r in media.tiff_pages(d, "id", "data").where("error IS NOT NULL").collect()} == {2, 3}
 
 
 def test_text_pages(odd, empty):
@@ -262,6 +349,12 @@ def test_text_pages(odd, empty):
     assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == sorted(want)
     for r in got:
         by[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
+    for r, t in zip(got, (x.text for x in odd.collect()), strict=True):
+        v = list(media.payload_of(t)[1])
+        mean = sum(v) / len(v)
+        shares = Counter(x // 16 for x in v)
+        want_feature = f"{mean:.4f};{(sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5:.4f};" + ",".join(f"{shares[k] / len(v):.4f}" for k in range(16))
+        assert all(abs(float(x) - float(y)) < 2e-4 for x, y in zip(r.feature.replace(";", ",").split(","), want_feature.replace(";", ",").split(","), strict=True))
     assert all(len(v) == 1 for v in by.values())
     assert media.text_pages(empty).count() == 0
 
