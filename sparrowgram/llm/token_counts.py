@@ -5,11 +5,15 @@ that pair. So each prefix has one valid last token, and
     count[i] = count[i - len(t)] + 1
 for the token t that ends at i and is valid after the last token of the prefix before it. The table built in one
 pass answers how long a text is, where a budget of tokens cuts it, and how many tokens any prefix has, without
-encoding again.
+encoding again: token_counts takes all its columns from that table.
 
 The vocabulary marks word ends, so two rows are kept for a piece: the last token where the word goes on, and the
-count where the word ends at i. Pieces (runs of letters, single digits, runs of other signs) are independent, and so are
-stretches between white space; the total of a piece is found once a worker and kept in a bounded memo.
+count where the word ends at i. Pieces (runs of letters, single digits, runs of other signs) are independent; the steps from
+prefix to prefix of a piece are found once a worker and kept in a bounded memo, and the table of a text is the running sum of
+the steps of its pieces. Signs that normalising joins, adds or reorders are counted prefix by prefix, from the last place
+that they can't reach; such a place comes before a plain sign of another kind than the one before it.
+
+The normaliser and the splitting pattern of the vocabulary file are checked: others than those built in here raise an error.
 
 Defined results: null is the empty text with 0 tokens; empty tables give empty results; repeated rows each get a
 row; whole texts are counted, however long; further columns are ignored.
@@ -20,11 +24,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,7 +38,14 @@ from .common import arrow_map, batch, narrowed
 from .merge_pairs import Neighbours
 
 END = "</w>"
-MEMO = 600_000
+MEMO = 500_000
+#: Longer pieces are counted by themselves.
+SHARED = 64
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: What the vocabulary file must say: other rules would give other counts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_signs() -> dict[int, str]:
@@ -42,12 +55,15 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def reach(tokens: set[str]) -> dict[str, int]:
-    """By the two signs that tokens end in: the length of the longest."""
-    out: dict[str, int] = {}
+def reach(tokens: set[str]) -> dict[str, tuple[int, ...]]:
+    """By the two signs that tokens end in: their lengths, the longest first, and 1."""
+    out: dict[str, set[int]] = {}
     for t in tokens:
-        out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
-    return out
+        out.setdefault(t[-2:], {1}).add(len(t))
+    return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
+
+
+ONE = (1,)
 
 
 class PrefixTable:
@@ -56,6 +72,7 @@ class PrefixTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        check_rules(model, path)
         self.special = [t["content"] for t in model["added_tokens"]]
         self.rank: dict[tuple[str, str], int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
@@ -68,22 +85,27 @@ class PrefixTable:
             self.parts.setdefault(t, (a, b))
             self.final.add(t[: -len(END)]) if t.endswith(END) else self.inner.add(t)
         self.inner_reach, self.final_reach = reach(self.inner), reach(self.final)
+        self.longest = max(map(len, self.inner | self.final), default=1)
         self.signs = byte_signs()
         self.apart = Neighbours(lambda a, b: self.rank.get((a, b)), self.parts.get).apart
-        words = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-        self.pieces = regex.compile(words)
-        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        self.pieces = regex.compile(WORDS)
+        self.ascii_pieces = re.compile(ASCII_WORDS, re.ASCII)
+        # all signs of a text: pieces and the white space between
+        self.all = regex.compile(rf"\s+|{WORDS}")
+        self.ascii_all = re.compile(rf"\s+|{ASCII_WORDS}", re.ASCII)
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
-        self.odd = regex.compile(r"[\p{M}\x1c-\x1f]|" + "|".join(map(regex.escape, self.special)))
-        self.rows: dict[str, tuple[str, int]] = {}
+        self.rows: dict[str, tuple[str, int, int]] = {}
         self.memo: Memo = Memo(self)
+        self.steps: Steps = Steps(self)
 
     def chain(self, s: str) -> tuple[list[str], list[int]]:
         """Of each prefix of s, as the beginning of a longer word: its last token and its number of tokens."""
         inner, apart, reach = self.inner, self.apart, self.inner_reach
         last, count = [""], [0]
         for i in range(1, len(s) + 1):
-            for m in range(min(i, reach.get(s[i - 2 : i], 1)) if i > 1 else 1, 0, -1):
+            for m in reach.get(s[i - 2 : i], ONE) if i > 1 else ONE:
+                if m > i:
+                    continue
                 t = s[i - m : i]
                 if (m == 1 or t in inner) and (m == i or apart(last[i - m], t)):
                     last.append(t)
@@ -94,7 +116,9 @@ class PrefixTable:
     def ended(self, s: str, i: int, last: list[str], count: list[int]) -> int:
         """Tokens of the word s[:i]; last and count reach to i - 1 at least."""
         final, apart = self.final, self.apart
-        for m in range(min(i, self.final_reach.get(s[i - 2 : i], 1)) if i > 1 else 1, 0, -1):
+        for m in self.final_reach.get(s[i - 2 : i], ONE) if i > 1 else ONE:
+            if m > i:
+                continue
             t = s[i - m : i]
             if (m == 1 or t in final) and (m == i or apart(last[i - m], t + END)):
                 return count[i - m] + 1
@@ -105,52 +129,67 @@ class PrefixTable:
 
     def prefixes(self, piece: str) -> list[int]:
         """Of one piece: [tokens of the word piece[:i] for i in 1..len]."""
+        if len(piece) <= SHARED:
+            if piece.isascii():
+                self.row(piece)
+                rows = self.rows
+                return [rows[piece[:i]][2] for i in range(1, len(piece) + 1)]
+            s = self.sign_string(piece)
+            self.row(s)
+            return [self.rows[s[:i]][2] for i in accumulate(len(c.encode()) for c in piece)]
         s = self.sign_string(piece)
         last, count = self.chain(s)
-        ends, at = [], 0
-        for c in piece:
-            at += len(c.encode())
-            ends.append(self.ended(s, at, last, count))
-        return ends
-
-    def row(self, s: str) -> tuple[str, int]:
-        """Last token and number of tokens of s as the beginning of a longer word; words that begin alike share rows."""
-        got = self.rows.get(s)
-        if got is None:
-            n = len(s)
-            if n == 1:
-                return (s, 1)
-            inner, apart = self.inner, self.apart
-            for m in range(min(n, self.inner_reach.get(s[-2:], 1)), 0, -1):
-                t = s[n - m :]
-                if m == 1 or t in inner:
-                    if m == n:
-                        got = (t, 1)
+        return [self.ended(s, i, last, count) for i in accumulate(len(c.encode()) for c in piece)]
+
+    def row(self, s: str) -> tuple[str, int, int]:
+        """Of s: the last token and the number of tokens as the beginning of a longer word, and the number of tokens as a word. Words that
+        begin alike share the rows of their prefixes, and with a row those of all its prefixes are kept."""
+        rows = self.rows
+        got = rows.get(s)
+        if got is not None:
+            return got
+        if len(rows) > MEMO:
+            rows.clear()
+        k = len(s) - 1
+        while k and s[:k] not in rows:
+            k -= 1
+        inner, final, apart, inner_reach, final_reach = self.inner, self.final, self.apart, self.inner_reach, self.final_reach
+        for i in range(k + 1, len(s) + 1):
+            ending = s[i - 2 : i] if i > 1 else s[:1]
+            for m in inner_reach.get(ending, ONE):
+                if m > i:
+                    continue
+                last = s[i - m : i]
+                if m == 1 or last in inner:
+                    if m == i:
+                        n = 1
+                        break
+                    before = rows[s[: i - m]]
+                    if apart(before[0], last):
+                        n = before[1] + 1
                         break
-                    last, k = self.row(s[: n - m])
-                    if apart(last, t):
-                        got = (t, k + 1)
+            for m in final_reach.get(ending, ONE):
+                if m > i:
+                    continue
+                t = s[i - m : i]
+                if m == 1 or t in final:
+                    if m == i:
+                        e = 1
+                        break
+                    before = rows[s[: i - m]]
+                    if apart(before[0], t + END):
+                        e = before[1] + 1
                         break
-            if len(self.rows) > MEMO:
-                self.rows.clear()
-            self.rows[s] = got
+            rows[s[:i]] = got = (last, n, e)
         return got
 
     def piece_count(self, piece: str) -> int:
         s = piece if piece.isascii() else self.sign_string(piece)
-        n = len(s)
-        final, apart, row = self.final, self.apart, self.row
-        if s in final or n == 1:
+        if s in self.final or len(s) == 1:
             return 1
-        if n > 40:
-            return self.ended(s, n, *self.chain(s[:-1]))
-        for m in range(min(n - 1, self.final_reach.get(s[-2:], 1)), 0, -1):
-            t = s[n - m :]
-            if m == 1 or t in final:
-                last, k = row(s[: n - m])
-                if apart(last, t + END):
-                    return k + 1
-        raise ValueError(s)
+        if len(s) > SHARED:
+            return self.ended(s, len(s), *self.chain(s[:-1]))
+        return self.row(s)[2]
 
     def whole(self, stretch: str) -> int:
         """Tokens of a text by its pieces; any text, special strings included."""
@@ -167,40 +206,156 @@ class PrefixTable:
                 n, at = n + 1, m.end()
         return n
 
-    def stretch_prefixes(self, stretch: str) -> list[int]:
-        """[tokens of stretch[:i] for i in 1..len], of a stretch without white space."""
-        if self.odd.search(stretch) or not unicodedata.is_normalized("NFC", stretch) or len(low := stretch.lower()) != len(stretch) or "Σ" in stretch:
-            # signs that may join what stands before them: each prefix by itself, after the last sign that can't be reached
-            return [self.whole(stretch[:i]) for i in range(1, len(stretch) + 1)]
-        out: list[int] = []
-        base = 0
-        for m in self.pieces.finditer(low):
-            p = m[0]
-            row = self.prefixes(p)
-            if p[0] == "'" and len(p) > 1 and p[1].isalpha():  # cut short it is a sign and a letter
-                row = [self.whole(p[:i]) for i in range(1, len(p))] + row[-1:]
-            out += [base + x for x in row]
-            base += row[-1]
+    def piece_steps(self, piece: str) -> list[int]:
+        """Of one lower-cased piece or run of white space: the tokens that each sign adds to the prefix before it, if the word ends there; may be negative."""
+        if self.pieces.match(piece) is None:  # white space
+            return [0] * len(piece)
+        row = self.prefixes(piece)
+        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short it is a sign and a letter
+            row = [self.whole(piece[:i]) for i in range(1, len(piece))] + row[-1:]
+        return [b - a for a, b in zip([0, *row], row)]
+
+    def plain_steps(self, text: str) -> bytes | np.ndarray:
+        """Of a text that lower-casing and NFC leave sign for sign: the step of each sign."""
+        low = text.lower()
+        found = self.ascii_all.findall(low) if low.isascii() else self.all.findall(low)
+        try:
+            steps = b"".join(map(self.steps.__getitem__, found))
+        except OverflowError:  # a step that no byte holds
+            steps = np.array([x for f in found for x in self.piece_steps(f)], np.int64)
+        return steps
+
+    def odd_steps(self, segment: str) -> np.ndarray:
+        """Of a text that nothing before or after can reach, with signs that normalising joins or adds. A prefix that ends before a sign that
+        joins nothing is, normalised, a prefix of the whole; of others only what stands after the last such place is normalised
+        by itself and put after the rows that are there."""
+        if len(segment) <= SHARED:
+            return np.diff([0, *(self.whole(segment[:i]) for i in range(1, len(segment) + 1))])
+        normal = lambda t: unicodedata.normalize("NFC", t).lower()
+        closed = [i for i, c in enumerate(segment) if not i or not unicodedata.category(c).startswith("M") and not 0x1160 <= ord(c) < 0x1200]
+        clusters = [normal(segment[i:j]) for i, j in zip(closed, [*closed[1:], len(segment)], strict=True)]
+        low = "".join(clusters)
+        pieces = [(m.start(), m[0]) for m in self.pieces.finditer(low)]
+        upto = np.concatenate([[0], np.cumsum([x for m in self.all.findall(low) for x in self.piece_steps(m)])])
+        starts, chains = [a for a, _ in pieces], {}
+        out, at = [], 0
+        for i, j, cluster in zip(closed, [*closed[1:], len(segment)], clusters, strict=True):
+            k = bisect_left(starts, at) - 1
+            if k > 0 and pieces[k - 1] == (starts[k] - 1, "'") and at - starts[k] < 3:
+                k -= 1  # a sign and letters may still become a contraction
+            head = low[starts[k] : at] if k >= 0 else ""
+            before = int(upto[starts[k]]) if k >= 0 else 0
+            for end in range(i + 1, j):
+                tail = normal(segment[i:end])
+                if len(head) <= SHARED:
+                    out.append(before + self.whole(head + tail))
+                    continue
+                first, *rest = self.pieces.findall((head[-1] if head[-1].isalpha() else "!") + tail)
+                if k not in chains:
+                    s = self.sign_string(pieces[k][1])
+                    chains = {k: (s, *self.chain(s))}  # of the latest long piece only
+                out.append(before + self.longer(*chains[k], len(self.sign_string(head)), self.sign_string(first[1:])) + sum(map(self.memo.__getitem__, rest)))
+            at += len(cluster)
+            out.append(int(upto[at]))
+        return np.diff([0, *out])
+
+    def longer(self, s: str, last: list[str], count: list[int], q: int, more: str) -> int:
+        """Tokens of the word s[:q] + more, from the rows of s."""
+        if not more:
+            return self.ended(s, q, last, count)
+        base = max(0, q - self.longest)
+        near = s[base:q] + more
+        last, count = last[base : q + 1], count[base : q + 1]
+        for i in range(q + 1 - base, len(near) + 1):
+            if i == len(near):
+                break
+            for m in self.inner_reach.get(near[i - 2 : i], ONE) if i > 1 else ONE:
+                t = near[i - m : i]
+                if m <= i and (m == 1 or t in self.inner) and (m == i and not base or self.apart(last[i - m], t)):
+                    last.append(t)
+                    count.append(count[i - m] + 1)
+                    break
+        i = len(near)
+        for m in self.final_reach.get(near[i - 2 : i], ONE) if i > 1 else ONE:
+            t = near[i - m : i]
+            if m <= i and (m == 1 or t in self.final) and (m == i and not base or self.apart(last[i - m], t + END)):
+                return count[i - m] + 1
+        raise ValueError(near)
+
+    def part_steps(self, part: str) -> np.ndarray:
+        """Of a text without special strings: the step of each sign."""
+        out = np.zeros(len(part), np.int64)
+        if part.isascii():
+            got = self.plain_steps(part)
+        else:
+            part = part.replace("Σ", "σ")  # as the library does, wherever it stands
+            if unicodedata.is_normalized("NFC", part) and len(part.lower()) == len(part):
+                got = self.plain_steps(part)
+            else:
+                at = 0
+                for segment in self.segments(part):
+                    end = at + len(segment)
+                    if segment.isascii() or unicodedata.is_normalized("NFC", segment) and len(segment.lower()) == len(segment):
+                        got = self.plain_steps(segment)
+                        got = np.frombuffer(got, np.int8) if isinstance(got, bytes) else got
+                        out[at:end] = got
+                    else:
+                        out[at:end] = self.odd_steps(segment)
+                    at = end
+                return out
+        out[:] = np.frombuffer(got, np.int8) if isinstance(got, bytes) else got
         return out
 
+    def segments(self, text: str) -> list[str]:
+        """A text cut where pieces part for good: at white space, and between plain signs of two pieces."""
+        out, at = [], 0
+        for m in self.pieces.finditer(text):
+            i = m.start()
+            if i > at and (text[i - 1].isspace() or plain(text[i - 1])) and plain(text[i]):
+                out.append(text[at:i])
+                at = i
+        return [*out, text[at:]]
+
     def count(self, text: str | None) -> int:
         return self.whole(text) if text else 0
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """int32[len + 1]: tokens of text[:i]."""
         text = text or ""
+        if "<|" not in text:
+            steps = [self.part_steps(text)] if text else []
+        else:
+            steps, at = [], 0
+            for m in self.marks.finditer(text):
+                part, special = text[at : m.start()], m[0]
+                steps.append(self.part_steps(part))
+                # until the special string is whole it goes on from the last piece before it
+                tail = ([""] + [x for x in self.segments(part) if x])[-1]
+                grown = [self.whole(tail), *(self.whole(tail + special[:i]) for i in range(1, len(special))), self.whole(tail) + 1]
+                steps.append(np.diff(grown))
+                at = m.end()
+            steps.append(self.part_steps(text[at:]))
         out = np.zeros(len(text) + 1, np.int32)
-        base = 0
-        # a special string holds no white space, so stretches stay independent
-        for m in regex.finditer(r"\S+", text):
-            row = self.stretch_prefixes(m[0])
-            a, b = m.span()
-            out[a + 1 : b + 1] = base + np.asarray(row)
-            base += row[-1]
-            out[b + 1 :] = base
+        if steps:
+            np.cumsum(np.concatenate(steps) if len(steps) > 1 else steps[0], out=out[1:])
         return out
 
 
+@lru_cache(maxsize=1 << 16)
+def plain(c: str) -> bool:
+    """Whether a sign stays one sign of its kind whatever stands before or after it."""
+    return len(c.lower()) == 1 and not unicodedata.category(c).startswith("M") and not 0x1100 <= ord(c) < 0x1200 and unicodedata.is_normalized("NFC", c) and c != "'"
+
+
+def check_rules(model: dict, path: str) -> None:
+    normalizer, splitter = model.get("normalizer") or {}, model.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    splits = splitter.get("pretokenizers", [splitter])
+    regexes = [x["pattern"].get("Regex") for x in splits if x.get("type") == "Split"]
+    if steps != NORMALIZER or regexes != [SPLIT] or [x.get("type") for x in splits] != ["Split", "ByteLevel"] or model["model"].get("end_of_word_suffix") != END:
+        raise ValueError(f"{path}: this normaliser or splitting pattern isn't supported")
+
+
 class Memo(dict):
     """Tokens by piece, bounded."""
 
@@ -216,6 +371,24 @@ class Memo(dict):
         return n
 
 
+class Steps(dict):
+    """By piece: the steps of its signs, a signed byte each; bounded."""
+
+    def __init__(self, table: PrefixTable):
+        self.table = table
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        steps = self.table.piece_steps(piece)
+        if min(steps) < -128 or max(steps) > 127:
+            raise OverflowError(piece[:40])
+        out = bytes([x & 255 for x in steps])
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
+
+
 @lru_cache(maxsize=4)
 def prefix_table(path: str) -> PrefixTable:
     return PrefixTable(path)
@@ -226,31 +399,34 @@ class Prefixes:
 
     def __init__(self, counts: np.ndarray):
         self.counts = np.asarray(counts)
-        #: the least count of any prefix of at least i code points: never falls, so it can be searched
-        self.least = np.minimum.accumulate(self.counts[::-1])[::-1]
 
     def tokens(self, i: int) -> int:
         return int(self.counts[i])
 
     def longest(self, budget: int) -> int:
-        """Code points of the longest prefix of at most `budget` tokens."""
-        return bisect_right(self.least, budget) - 1
+        """Code points of the longest prefix of at most `budget` tokens. Counts may fall where a sign completes a token, so it's the last of all."""
+        if self.counts[-1] <= budget:
+            return len(self.counts) - 1
+        return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+    """doc_id, n_bytes, n_tokens, over_limit, cut for each row of docs, all from the prefix counts of the text; cut: the code points of its
+    longest prefix of at most limit tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("cut", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        count = prefix_table(path).count
+        t = prefix_table(path)
         texts = b.column(1)
-        n = [count(t.as_py()) for t in texts]
-        size = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-        return batch(schema, b.column(0), size, n, [x > limit for x in n])
-
-    import pyarrow.compute  # noqa: F401
-
-    return arrow_map(narrowed(docs, doc_id=id_col, text=text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        n, cut = [], []
+        for x in texts:
+            p = Prefixes(t.prefix_counts(x.as_py()))
+            n.append(p.tokens(-1))
+            cut.append(p.longest(limit))
+        size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        return batch(schema, b.column(0), size, n, [x > limit for x in n], cut)
+
+    return arrow_map(narrowed(docs, doc_id=id_col, text=text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut long")
 
 
 def prefix_counts(docs: DataFrame, path: str, budgets: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

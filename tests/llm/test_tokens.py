@@ -39,8 +39,44 @@ def test_every_prefix_count_is_exact(text):
         assert p.longest(budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+@pytest.mark.parametrize("text", ["e\u0301a\u0300o" * 40, "Ｉİ" * 50 + "x1", "가각" * 30 + "\u1100\u1161\u11a8" * 30, "!\u0301?" * 50, "it's e\u0301" + "'re\u0301" * 40, "a1" * 50 + "e\u0301" * 50 + "!1" * 40, "क\u093c" * 40 + "\u0958" * 5, "\u0301" * 80, "e\u0301" + "\u0323\u0301" * 40])
+def test_prefixes_of_long_odd_stretches(text, libraries):
+    want = [len(libraries[0].encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert token_counts.prefix_table(WORD).prefix_counts(text).tolist() == want
+
+
+def test_long_odd_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("e\u0301" * 20_000, "İ" * 5000, "กิ" * 20_000, "ab" * 50_000, "'s" * 20_000, "<|endoftext|>" * 5000, "!<|" * 20_000):
+        token_counts.prefix_table(WORD).prefix_counts(text)
+    assert time.process_time() - began < 60
+
+
+def test_other_rules_are_refused(tmp_path):
+    import json
+
+    model = json.load(open(WORD))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "t.json").write_text(json.dumps(model | change))
+        with pytest.raises(ValueError):
+            token_counts.PrefixTable(str(tmp_path / "t.json"))
+    model = json.load(open(BYTE))
+    (tmp_path / "b.json").write_text(json.dumps(model | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}))
+    with pytest.raises(ValueError):
+        packing.PieceTokenizer(str(tmp_path / "b.json"))
+
+
 def test_token_counts(odd, empty, libraries):
     got = token_counts.token_counts(odd, WORD, 2048).collect()
+    t = token_counts.prefix_table(WORD)
+    by = {}
+    for r in odd.collect():
+        by[r.doc_id] = r.text or ""
+    for r in got:
+        assert r.cut == token_counts.Prefixes(t.prefix_counts(by[r.doc_id])).longest(2048) and len(libraries[0].encode(by[r.doc_id][: r.cut], add_special_tokens=False).ids) <= 2048
+        assert r.over_limit == (r.cut < len(by[r.doc_id]))
     want = sorted((r.doc_id, len((r.text or "").encode()), len(libraries[0].encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
