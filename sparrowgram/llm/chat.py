@@ -8,9 +8,13 @@ search: a token bears loss where it meets the text of a turn of a trained role.
 The three marks are special tokens, so no token crosses the border of a text. Inside roles and texts every `<` that only
 backslashes part from a `|` gets one more backslash, which unescape() takes away again; so no mark can arise from a text.
 
-Turns of a conversation are sorted by turn, then role, then text. Conversations are cut into blocks of BLOCK turn numbers, each a row
-of its own: as marks part tokens, the blocks' tokens in order are those of the whole. A conversation that holds a third of
-all rows thus spreads over many tasks, and rows are read as a sorted stream, never gathered.
+Encoding is that of the library with the marks as special tokens: a piece of the splitting pattern goes through the library's merges
+when it is first met, and its ids and the steps of its offsets are kept.
+
+Turns of a conversation are sorted by turn, then role, then text. A conversation is one row, rendered and encoded whole, unless its turn
+numbers reach over several blocks of BLOCK (or are null or negative): then each block is a row, with offsets from its own start. As marks part
+tokens, the blocks' tokens in order are those of the whole. So a conversation that holds a third of all rows spreads over many tasks, and no row
+grows without bound.
 
 Defined results: null role or text is empty; a null turn comes first; rows with a null conv_id are one conversation; repeated rows are
 turns of their own; very long texts are encoded whole; empty tables give empty results; further columns are ignored.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -27,13 +32,15 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, narrowed
+from .common import batch, cut, narrowed
+from .packing import MEMO, tokenizer
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-BLOCK = 64
+BLOCK = 4096
 TRAINED = ("assistant",)
 ESCAPE, UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
@@ -60,16 +67,51 @@ def render(turns: list[tuple[str, str]], trained: tuple[str, ...] = TRAINED) ->
     return "".join(out), spans
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    import os
+class OffsetTokenizer(dict):
+    """By piece: its ids, and for each token the signs of the text that begin and that end in it, packed."""
+
+    def __init__(self, path: str):
+        self.base = tokenizer(path)
+        # the library numbers new special tokens after all others
+        first = 1 + max([*self.base.special.values(), self.base.last_id])
+        self.special = self.base.special | {m: first + i for i, m in enumerate((START, SEP, END))}
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+
+    def __missing__(self, piece: str) -> tuple[bytes, bytes, bytes]:
+        base = self.base
+        tokens = base.merge("".join(map(base.signs.__getitem__, piece.encode())))
+        ids, size = array("i", [t.id for t in tokens]), [len(t.value) for t in tokens]
+        if len(piece) == sum(size):
+            begun = done = array("i", size)
+        else:
+            ends = np.cumsum(size)
+            first = np.cumsum([len(c.encode()) for c in piece])  # where each sign ends
+            done = np.searchsorted(first, ends, "right")
+            begun = np.searchsorted(first, ends - 1, "right") + 1
+            begun, done = (array("i", np.diff(x, prepend=0).tolist()) for x in (begun, done))
+        got = ids.tobytes(), begun.tobytes(), done.tobytes()
+        if len(piece) <= 64:
+            self[piece] = got
+        return got
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts, ends; offsets are code points of text."""
+        found = []
+        if len(self) > MEMO:
+            self.clear()
+        for part in self.marks.split(text):
+            if part in self.special:
+                n = array("i", [len(part)]).tobytes()
+                found.append((array("i", [self.special[part]]).tobytes(), n, n))
+            elif part:
+                found += map(self.__getitem__, self.base.pieces(part))
+        ids, begun, done = (np.frombuffer(b"".join(x), np.int32) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
+        return ids, np.cumsum(done, dtype=np.int32) - done, np.cumsum(begun, dtype=np.int32)
 
-    from tokenizers import AddedToken, Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(m, normalized=False) for m in (START, SEP, END)])
-    return t
+@lru_cache(maxsize=2)
+def encoder(path: str) -> OffsetTokenizer:
+    return OffsetTokenizer(path)
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -110,7 +152,7 @@ def stream(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
 def format_conversations(turns: DataFrame, path: str, trained: tuple[str, ...] = TRAINED, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each block of each conversation: conv_id, block, text, ids, starts, ends, mask. starts and ends are code points of text."""
     t = narrowed(turns, conv_id=conv, turn=turn, role=role, text=text).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 40))).cast("long"))
+    t = t.withColumn("block", blocks(t, "turn", block))
     t = t.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))])
 
@@ -123,9 +165,8 @@ def format_conversations(turns: DataFrame, path: str, trained: tuple[str, ...] =
 
         for (conv_id, k), group in groupby(stream(batches, "conv_id", "block", "role", "text"), key=lambda r: r[:2]):
             whole, spans = render([r[2:] for r in group], trained)
-            got = e.encode(whole, add_special_tokens=False)
-            starts, ends = np.asarray(got.offsets, np.int32).reshape(-1, 2).T
-            rows.append((conv_id, k, whole, np.asarray(got.ids, np.int32), starts, ends, loss_mask(starts, ends, spans)))
+            ids, starts, ends = e.encode(whole)
+            rows.append((conv_id, k, whole, ids, starts, ends, loss_mask(starts, ends, spans)))
             size += len(whole)
             if size > 1 << 20:
                 yield out()
@@ -136,10 +177,29 @@ def format_conversations(turns: DataFrame, path: str, trained: tuple[str, ...] =
     return t.mapInArrow(run, ROWS)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output rows as a sorted stream."""
+def blocks(turns: DataFrame, turn: str, block: int) -> Column:
+    return F.coalesce(F.floor(F.col(turn) / block), F.lit(-(1 << 40))).cast("long")
+
+
+def conversation_digests(turns: DataFrame, path: str, trained: tuple[str, ...] = TRAINED, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """digests() of format_conversations(): conversations of one block are formatted and read back in the same task; only rows of others are
+    shuffled once more."""
+    t = narrowed(turns, conv_id=conv, turn=turn, role=role, text=text)
+    several = cut(t.where(blocks(t, "turn", block) != 0).select("conv_id").distinct().withColumnRenamed("conv_id", "long_id"), "long-conversations")
+    if several.isEmpty():
+        return digests(format_conversations(t, path, trained, block=block), True)
+    same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    one, more = t.join(several, same, "left_anti"), t.join(several, same, "left_semi")
+    return digests(format_conversations(one, path, trained, block=block), True).unionByName(digests(format_conversations(more, path, trained, block=block)))
+
+
+def digests(formatted: DataFrame, together: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output rows as a sorted stream. together: the
+    rows of a conversation already follow each other in one partition."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    d = formatted.select("conv_id", "block", "text", "starts", "ends", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    d = formatted.select("conv_id", "block", "text", "starts", "ends", "mask")
+    if not together:
+        d = d.repartition("conv_id").sortWithinPartitions("conv_id", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []

@@ -16,6 +16,7 @@ empty results; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections import Counter
@@ -36,6 +37,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def check_rules(path: str) -> None:
+    """Raises where the vocabulary file names other rules than PATTERN stands for: they would give other ids."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    splitter, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+    if rules.get("normalizer") or not plain or model.get("type") != "BPE" or model.get("dropout") or any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in rules.get("added_tokens", [])):
+        raise ValueError(f"{path}: this normaliser or splitting rule isn't supported")
+
+
 class PieceTokenizer(dict):
     """Packed ids by piece of the pattern: each new piece goes through the library's merges once."""
 
@@ -44,8 +55,9 @@ class PieceTokenizer(dict):
 
         from tokenizers import Tokenizer
 
+        check_rules(path)
         library = Tokenizer.from_file(path)
-        self.merge = library.model.tokenize
+        self.merge, self.last_id = library.model.tokenize, library.get_vocab_size(with_added_tokens=True) - 1
         self.signs = byte_signs()
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -68,12 +80,14 @@ class PieceTokenizer(dict):
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
             elif part:
-                words = (self.ascii if part.isascii() and not self.odd.search(part) else self.pattern).findall(part)
                 if len(self) > MEMO:
                     self.clear()
-                out.append(b"".join(map(self.__getitem__, words)))
+                out.append(b"".join(map(self.__getitem__, self.pieces(part))))
         return b"".join(out)
 
+    def pieces(self, part: str) -> list[str]:
+        return (self.ascii if part.isascii() and not self.odd.search(part) else self.pattern).findall(part)
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> PieceTokenizer:

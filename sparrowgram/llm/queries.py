@@ -38,7 +38,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    return chat.digests(chat.format_conversations(turns.unionByName(planted), vocabulary("byte_bpe_50k.json")))
+    return chat.conversation_digests(turns.unionByName(planted), vocabulary("byte_bpe_50k.json"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

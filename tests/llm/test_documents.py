@@ -34,14 +34,42 @@ def test_chat(spark):
     out = chat.format_conversations(d, BYTE)
     for r in out.collect():
         assert not any(r.mask) or all(a <= b for a, b in zip(r.starts, r.ends, strict=True))
-    got = {r.conv_id: r for r in chat.digests(out).collect()}
+    assert out.count() == len(convs)
+    got = {r.conv_id: r for r in chat.conversation_digests(d, BYTE).collect()}
     assert set(got) == set(convs)
+    in_blocks = chat.conversation_digests(d, BYTE, block=64)
+    assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, got.values())) == sorted(map(tuple, chat.digests(chat.format_conversations(d, BYTE, block=16)).collect()))
     for c, ts in convs.items():
         turns = "".join(f"{r or ''}\n{t or ''}\n" for r, t in ts)
         loss = "".join(t or "" for r, t in ts if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(ts), hashlib.sha256(turns.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.digests(chat.format_conversations(d.limit(0), BYTE)).count() == 0
+    assert chat.conversation_digests(d.limit(0), BYTE).count() == 0
+
+
+def test_chat_of_odd_rows(spark):
+    """Null ids and turns, equal turns, negative turns, very long texts."""
+    long = "word é " * 60_000
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, None, "assistant", "first"), (1, 0, "user", "x"), (1, -3, "user", "before"), (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (2, 0, None, None), (3, 0, "assistant", long), (4, 5000, "assistant", "far"), (4, 9000, "assistant", "off")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.conversation_digests(d, BYTE).collect()}
+    for c in (None, 1, 2, 3, 4):
+        ts = sorted((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c)
+        want = hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in ts).encode()).hexdigest(), hashlib.sha256("".join(x for *_, r, x in ts if r == "assistant").encode()).hexdigest()
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_sha256) == (len(ts), *want)
+
+
+def test_offsets_like_the_library():
+    from tokenizers import AddedToken, Tokenizer
+
+    lib = Tokenizer.from_file(BYTE)
+    lib.add_special_tokens([AddedToken(m, normalized=False) for m in (chat.START, chat.SEP, chat.END)])
+    e, r = chat.encoder(BYTE), random.Random(2)
+    signs = ["the", " ", "word", "é", "中文字", "👍🏽", "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|endoftext|>", "\n", "  ", "e\u0301", "12", "!?", "'ll", "\x1c", "ß", "ᚠ", "\U00013000"]
+    for _ in range(400):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 30)))
+        got, want = e.encode(text), lib.encode(text, add_special_tokens=False)
+        assert got[0].tolist() == want.ids and list(zip(got[1].tolist(), got[2].tolist(), strict=True)) == want.offsets
 
 
 def brute_similar(rows, num=80, den=100):
