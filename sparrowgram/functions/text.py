@@ -33,13 +33,19 @@ def ranker_tokens(text: Column) -> Column:
 def stem(w: Column) -> Column:
     """A light stemmer: words of up to 3 signs stay, and so does a word that would become shorter than 3."""
     s = replaced(w, (r"ies\z", "y"), (r"(ss|sh|ch|x|z)es\z", "$1"), (r"([^s])s\z", "$1"), (r"izations?\z", "ize"), (rf"({SUFFIXES})\z", ""))
-    return F.when(F.length(w) <= 3, w).when(F.length(s) >= 3, s).otherwise(w)
+    # of the stem and the word the first that is long enough: the chain is evaluated once
+    return F.when(F.length(w) <= 3, w).otherwise(F.get(F.filter(F.array(s, w), lambda x: F.length(x) >= 3), F.lit(0)))
+
+
+def index_words(text: Column) -> Column:
+    """The words of index_tokens before they are stemmed."""
+    c = replaced(F.coalesce(text, F.lit("")), ("[^A-Za-z0-9]+", " "), ("([a-z0-9])([A-Z])", "$1 $2"), CAMEL[1])
+    return words(F.lower(c), INDEX_STOP, 2)
 
 
 def index_tokens(text: Column) -> Column:
     """Stemmed words, repeats kept, for postings."""
-    c = replaced(F.coalesce(text, F.lit("")), ("[^A-Za-z0-9]+", " "), ("([a-z0-9])([A-Z])", "$1 $2"), CAMEL[1])
-    return F.transform(words(F.lower(c), INDEX_STOP, 2), stem)
+    return F.transform(index_words(text), stem)
 
 
 def judge_tokens(text: Column) -> Column:

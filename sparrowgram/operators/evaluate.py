@@ -41,6 +41,17 @@ def groundedness(answer: Column, context: Column) -> Column:
     return F.when(F.size(a) > 0, T.half_up(F.size(F.filter(a, lambda t: F.array_contains(c, t))) / F.size(a), 3)).otherwise(0.0)
 
 
+def grounded_scores(answers: DataFrame, contexts: DataFrame, key: str, keep: list[str], text: str = "text") -> DataFrame:
+    """keep, score of each row of answers (key, text): groundedness in the words of all rows of contexts (key, text) of the same key. Words
+    meet words, so no context is gathered and a key of any size spreads over its words."""
+    a = answers.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), *keep, T.judge_tokens(F.col(text)).alias("_words"))
+    a = a.select("_row", "_key", *keep, F.explode_outer("_words").alias("_word"))
+    a = a.groupBy("_row", "_key", *keep, "_word").agg(F.count("_word").alias("_n"))
+    known = contexts.select(F.col(key).alias("_key"), F.explode(T.judge_tokens(F.col(text))).alias("_word")).distinct().withColumn("_known", F.lit(True))
+    g = a.join(known, ["_key", "_word"], "left").groupBy("_row", *keep).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_known"), F.col("_n")).otherwise(0)).alias("_hit"))
+    return g.select(*keep, F.when(F.col("_n") > 0, T.half_up(F.col("_hit") / F.col("_n"), 3)).otherwise(0.0).alias("score"))
+
+
 GENERIC = ["as an ai", "generally speaking", "in general", "it depends", "there are many ways", "typically you would"]
 
 

@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def greedy(items: DataFrame, key: str, order: Column, cost: str, item: str, budget: int) -> DataFrame:
-    """key, item, cost of what fits a budget, best first: one too dear is skipped, later ones may still fit; the first always stays.
-    items must already be cut to the few best of each key."""
-    a = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(item).alias("item"), F.col(cost).cast("long").alias("cost")))).alias("xs"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.expr("CAST(array() AS array<int>)").alias("at"), F.lit(0).alias("i"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["i"] == 0) | (s["used"] + x["cost"] <= budget)
-        return F.struct((s["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"))
-
-    kept = F.aggregate("xs", zero, step, lambda s: s["at"])
-    return a.select(key, "xs", F.explode(kept).alias("i")).select(key, F.col("xs")[F.col("i")]["item"].alias(item), F.col("xs")[F.col("i")]["cost"].alias(cost))
+    """key, item, cost of what fits a budget, best first, ties by item: one too dear is skipped, later ones may still fit; the first always
+    stays. Costs are whole numbers, a null or negative one is 0.
+
+    What is left of a budget never grows, so of a key's items of equal cost those that are taken come first: of cost c only the first
+    budget / c can be. All others go before anything is brought together, within each task first. At most budget * (1 + ln budget) rows a
+    key are left to walk in order, however many it has, with a running sum."""
+    f = items.select(F.col(key).alias("k"), order.alias("o"), F.col(item).alias("x"), F.greatest(F.coalesce(F.col(cost), F.lit(0)), F.lit(0)).cast("long").alias("c"))
+    lead = f.groupBy("k").agg(F.min(F.struct("o", "x", "c")).alias("f"))
+    # with a first one beyond the budget nothing else fits, not even what costs nothing
+    free = f.where("c = 0").join(lead.where(F.col("f.c") > budget).select("k"), "k", "left_anti")
+    w = Window.partitionBy("k", "c").orderBy("o", "x")
+    dear = f.where(F.col("c") > 0).where(F.col("c") <= budget).withColumn("n", F.row_number().over(w)).where(F.col("n") <= budget).where(F.col("n") * F.col("c") <= budget).drop("n")
+    over = lead.where(F.col("f.c") > budget).select("k", "f.*")
+    rows = dear.unionByName(over.select("k", "o", "x", "c"))
+    kept = rows.repartition("k").sortWithinPartitions("k", "o", "x").select("k", "x", "c").mapInArrow(_filled(budget), rows.select("k", "x", "c").schema)
+    return kept.unionByName(free.select("k", "x", "c")).select(F.col("k").alias(key), F.col("x").alias(item), F.col("c").alias(cost))
+
+
+def _filled(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for b in batches:
+            keep = []
+            for i, (k, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                first = (k,) != now
+                if first:
+                    now, used = (k,), 0
+                if first or used + c <= budget:
+                    used += c
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return run
 
 
 def related_tests(files: DataFrame, path: str = "path") -> DataFrame:
@@ -34,8 +59,12 @@ def missing_tests(changed: DataFrame) -> DataFrame:
     """Changed sources (path) with no changed test whose base name has their stem."""
     f = changed.select("path", T.risk_factors(F.col("path"))[0].alias("risk"))
     src = f.where("risk = 'source'").select("path", F.lower(T.file_stem(F.col("path"))).alias("stem"))
-    tests = f.where("risk = 'test'").select(F.lower(T.base_name(F.col("path"))).alias("base"))
-    return src.join(tests, F.contains(F.col("base"), F.col("stem")), "left_anti").select("path")
+    tests = f.where("risk = 'test'").select(F.lower(T.base_name(F.col("path"))).alias("base")).distinct()
+    # a base name that has the stem has its first three signs: both meet by those
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("base")), lambda i: F.array(*[F.substr("base", i, F.lit(n)) for n in (1, 2, 3)])))
+    tests = tests.select("base", F.explode(F.array_distinct(grams)).alias("gram"))
+    src = src.where("stem <> ''").withColumn("begin", F.substring("stem", 1, 3)).unionByName(src.where("stem = ''").withColumn("begin", F.lit(None).cast("string")))
+    return src.join(tests, (F.col("begin") == F.col("gram")) & F.contains(F.col("base"), F.col("stem")), "left_anti").select("path")
 
 
 SECURITY_PATH = r"(?i)(^|/)(\.env|\.github/workflows|auth|crypto|dockerfile|permissions?|secrets?|security)([./]|\z)"
@@ -69,16 +98,19 @@ def check_plan(steps: DataFrame, files: DataFrame, names: DataFrame, blast: Data
     return e.union(s).union(b).union(n)
 
 
-def pack(ranked: DataFrame, key: str, sigs: DataFrame, files: DataFrame, budget: int, k: int = 25) -> DataFrame:
-    """key, path, tokens, sigs (redacted), risk, tests, confidence, digest of the row's canonical JSON. ranked: key, path, score; sigs: path, sigs."""
-    r = ranked.where("score > 0").join(sigs, "path").withColumn("tokens", T.token_estimate(F.col("sigs")))
-    top = F.max("score").over(__import__("pyspark").sql.Window.partitionBy(key))
-    r = r.withColumn("confidence", T.half_up(F.col("score") / top, 2))
-    kept = greedy(r, key, -F.col("score"), "tokens", "path", budget)
+def pack(ranked: DataFrame, key: str, sigs: DataFrame, files: DataFrame, budget: int, k: int = 12) -> DataFrame:
+    """key, path, tokens, sigs (redacted), risk, tests, confidence, dropped, digest of the row's canonical JSON. ranked: key, path, score; sigs:
+    path, sigs. The k best files of a key with a score are considered; those that the budget leaves out have dropped set and no sigs."""
+    best = Window.partitionBy(key).orderBy(F.col("score").desc(), "path")
+    r = ranked.where("score > 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    r = r.join(sigs, "path").withColumn("tokens", T.token_estimate(F.col("sigs")))
+    r = r.withColumn("confidence", T.half_up(F.col("score") / F.max("score").over(Window.partitionBy(key)), 2))
+    kept = greedy(r, key, -F.col("score"), "tokens", "path", budget).select(key, "path", F.lit(False).alias("dropped"))
     tests = related_tests(files).groupBy("path").agg(F.array_sort(F.collect_set("test")).alias("tests"))
-    out = kept.join(r.select(key, "path", "sigs", "confidence"), [key, "path"]).join(tests, "path", "left")
-    out = out.select(key, "path", "tokens", F.transform("sigs", T.redacted).alias("sigs"), T.risk_factors(F.col("path")).alias("risk"), F.coalesce("tests", F.expr("CAST(array() AS array<string>)")).alias("tests"), "confidence")
-    fields = sorted(["path", "tokens", "sigs", "risk", "tests", "confidence"])
+    out = r.select(key, "path", "tokens", "sigs", "confidence").join(kept, [key, "path"], "left").join(tests, "path", "left").withColumn("dropped", F.coalesce("dropped", F.lit(True)))
+    none = F.expr("CAST(array() AS array<string>)")
+    out = out.select(key, "path", "tokens", F.when(F.col("dropped"), none).otherwise(F.transform("sigs", T.redacted)).alias("sigs"), T.risk_factors(F.col("path")).alias("risk"), F.coalesce("tests", none).alias("tests"), "confidence", "dropped")
+    fields = sorted(["path", "tokens", "sigs", "risk", "tests", "confidence", "dropped"])
     return out.withColumn("digest", F.sha2(F.to_json(F.struct(*fields)), 256))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.durable import cut
+from ..sources.durable import cut, spent
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -65,43 +67,68 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFram
     return all_.withColumn("score", score).withColumn("tier", T.blast_tier(score))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, every: int = 1) -> DataFrame:
-    """node, rank divided by the largest; the rank of nodes without edges out goes to all alike. A round reads the ranks three times, so each is
-    cut from the one before, else plans would triple every round."""
-    e = cut(edges.select("src", "dst").distinct())
-    n = cut(nodes_of(e, nodes))
-    count = n.count()
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
+    """node, rank divided by the largest; the rank of nodes without edges out goes to all alike. Nodes are numbered. As ranks sum up to 1, what nodes
+    without edges out lose is 1 less all that flows: one aggregate of the flow, whose exchange is used again. Every few rounds the ranks
+    are written."""
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    names = cut(nodes_of(e, nodes).select("node", F.monotonically_increasing_id().alias("id")))
+    count = names.count()
     if not count:
-        return n.withColumn("rank", F.lit(0.0))
+        return names.select("node", F.lit(0.0).alias("rank"))
+    a, b = names.select(F.col("node").alias("src"), F.col("id").alias("s")), names.select(F.col("node").alias("dst"), F.col("id").alias("d"))
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    e = cut(e.join(out, "src"))
-    r = n.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / count).alias("rank"))
-    r = cut(r)
+    links = cut(e.join(out, "src").join(a, "src").join(b, "dst").select("s", "d", (F.lit(damping) / F.col("out")).alias("part")))
+    n = names.select("id")
+    r = n.withColumn("rank", F.lit(1.0 / count))
     for k in range(rounds):
-        flow = e.join(r, e.src == r.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
-        lost = r.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        r = r.join(flow, r.node == flow.dst, "left").join(F.broadcast(lost)).select("node", "dangling", ((1 - damping) / count + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / count)).alias("rank"))
+        flow = links.join(r, links["s"] == r["id"]).groupBy("d").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
+        base = flow.agg(((1 - F.coalesce(F.sum("flow"), F.lit(0.0))) / count).alias("base"))
+        last, r = r, n.join(flow, n["id"] == flow["d"], "left").join(F.broadcast(base)).select("id", (F.coalesce("flow", F.lit(0.0)) + F.col("base")).alias("rank"))
         if k % every == every - 1:
             r = cut(r)
     top = r.agg(F.max("rank").alias("top"))
-    return r.join(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("rank"))
+    return r.join(names, "id").join(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("rank"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """node, component of the nodes that lie on a cycle: nodes that reach each other, named by the least of them.
 
-    Nodes without edges in or out among those left are peeled off first, round by round; reach is only taken of the rest."""
-    e = cut(edges.select("src", "dst").distinct())
-    before = -1
-    while (now := e.count()) != before:
-        before = now
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-    r = cut(reach(e, e.select(F.col("src").alias("seed"))).select("seed", "node"))
-    # a node reaches itself only along a cycle; reach leaves the start out, so ask whether a successor reaches back or is it
-    back = r.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    mutual = r.join(back, ["seed", "node"])
-    loops = e.where("src = dst").select(F.col("src").alias("seed"), F.col("src").alias("node"))
-    return mutual.unionByName(loops).groupBy(F.col("seed").alias("node")).agg(F.least(F.col("seed"), F.min("node")).alias("component"))
+    Each round every node takes the least node that reaches it as its colour; of a colour, those that reach its name backwards along edges of
+    that colour are one component, and leave the graph. Only a colour a node is kept, never what each reaches."""
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found = []
+    rest = cut(e.where("src <> dst"))
+    while True:
+        # what nothing points to, or what points to nothing, lies on no cycle
+        rest, last = cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")), rest
+        spent(last)
+        if rest.isEmpty():
+            break
+        colour = cut(nodes_of(rest).select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
+        while not colour.where("moved").isEmpty():
+            step = rest.join(colour.where("moved").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            less = F.col("new") < F.col("colour")
+            colour, last = cut(colour.join(step, "node", "left").select("node", F.when(less, F.col("new")).otherwise(F.col("colour")).alias("colour"), F.coalesce(less, F.lit(False)).alias("moved"))), colour
+            spent(last)
+        a, b = colour.select(F.col("node").alias("src"), "colour"), colour.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
+        inside = cut(rest.join(a, "src").join(b, "dst").where("colour = other").select("src", "dst", "colour"))
+        front = cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
+        parts, member = [front], front
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component").distinct()
+            front = cut(back.join(member, "node", "left_anti"))
+            parts.append(front)
+            member = reduce(DataFrame.unionByName, parts)
+        member = cut(member)
+        several = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        found.append(member.join(several, "component", "left_semi").select("node", "component"))
+        gone = member.select("node")
+        rest, last = cut(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")), rest
+        spent(last, inside, colour, *parts)
+    out = reduce(DataFrame.unionByName, found, loops)
+    return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def graph_boosts(scores: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, hop1: float = 0.40, hop2: float = 0.15) -> DataFrame:

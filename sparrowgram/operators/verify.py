@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import builtins
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.durable import cut
 
 EXTENSIONS = "c cc cpp cs css dart go h html java js json jsx kt md mjs php py r rb rs scala sh sql svelte swift toml ts tsx vue xml yaml yml".split()
 PATH = rf"(?<![\w/.-])((?:[\w.-]+/)*[\w.-]+\.(?:{'|'.join(EXTENSIONS)}))(?![\w/-])"
@@ -30,12 +34,13 @@ def lines(answers: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def claims(ls: DataFrame, key: str) -> DataFrame:
-    """key, kind (file, symbol, script, import), value, line: each value where it is first claimed."""
+    """key, kind (file, symbol, script, import, python-import), value, line: each value where it is first claimed."""
     found = lambda kind, pattern, i=1: ls.select(key, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(pattern), i)).alias("value"), "line")
+    # a Python import can't be checked without its installed library: it is a claim of its own kind, which issues() never flags
     out = found("file", PATH).where(~F.col("value").rlike(PLACEHOLDER)).unionByName(found("symbol", SYMBOL)).unionByName(found("script", SCRIPT))
     code = ls.where("fenced")
     js = code.select(key, F.lit("import").alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(IMPORT_JS), 1)).alias("value"), "line")
-    py = code.select(key, F.lit("import").alias("kind"), F.concat(F.regexp_extract("content", IMPORT_PY, 1), F.regexp_extract("content", IMPORT_PY, 2)).alias("value"), "line")
+    py = code.select(key, F.lit("python-import").alias("kind"), F.concat(F.regexp_extract("content", IMPORT_PY, 1), F.regexp_extract("content", IMPORT_PY, 2)).alias("value"), "line")
     return out.unionByName(js).unionByName(py).where("value <> ''").groupBy(key, "kind", "value").agg(F.min("line").alias("line"))
 
 
@@ -44,42 +49,73 @@ def symbols_of(sigs: DataFrame, sig: str = "sig") -> DataFrame:
     return sigs.select(F.explode(F.regexp_extract_all(sig, F.lit(r"[A-Za-z_$][\w$]*"), 0)).alias("name")).distinct()
 
 
-def closest(wanted: DataFrame, names: DataFrame, value: str = "value", name: str = "name", least: int = 3) -> DataFrame:
+def shorter(c: Column, deletions: int) -> Column:
+    """c and all that is left of it after at most 1 or 2 deletions."""
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.length(x))))
+    first = F.array_distinct(one(c))
+    return F.array_distinct(F.concat(F.array(c), first)) if deletions == 1 else F.array_distinct(F.concat(F.array(c), first, F.flatten(F.transform(first, one))))
+
+
+def closest(wanted: DataFrame, names: DataFrame, value: str = "value", name: str = "name", least: int = 3, salts: int = 16) -> DataFrame:
     """value, suggestion, distance, confidence: the known name nearest by edits, at most half the value's length and at least 1; ties go
-    to the shorter, then the first. Names are matched by length first: a value meets only those within its bound."""
-    w = wanted.select(value).where(F.length(value) >= least).distinct().withColumn("cap", F.greatest(F.lit(1), F.ceil(F.length(value) * 0.5)).cast("int"))
-    w = w.withColumn("len", F.explode(F.sequence(F.length(value) - F.col("cap"), F.length(value) + F.col("cap"))))
-    n = names.select(name).where(F.length(name) >= least).distinct().withColumn("len", F.length(name))
-    p = w.join(n, "len").where(F.lower(value) != F.lower(name))
-    p = p.withColumn("distance", F.levenshtein(F.lower(value), F.lower(name))).where(F.col("distance") <= F.col("cap"))
-    best = p.groupBy(value).agg(F.min(F.struct("distance", "len", F.col(name).alias("n"))).alias("b"))
-    return best.select(value, F.col("b.n").alias("suggestion"), F.col("b.distance").alias("distance"), T.suggestion_confidence(F.col("b.distance"), F.length(value)).alias("confidence"))
+    to the shorter, then the first. Names one edit, then two edits away share what is left after as many deletions, and are met by that alone.
+    Only values without any such name meet the names of each length within their bound; each length is spread over salts."""
+    w = cut(wanted.select(F.col(value).alias("v")).where(F.length("v") >= least).distinct().withColumn("cap", F.greatest(F.lit(1), F.ceil(F.length("v") * 0.5)).cast("int")))
+    n = cut(names.select(F.col(name).alias("n")).where(F.length("n") >= least).distinct())
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        p = pairs.where(F.lower("v") != F.lower("n")).withColumn("distance", F.levenshtein(F.lower("v"), F.lower("n"))).where(F.col("distance") <= F.col("cap"))
+        return p.groupBy("v").agg(F.min(F.struct("distance", F.length("n").alias("len"), "n")).alias("b"))
+
+    parts = []
+    for edits in (1, 2):
+        a, b = w.withColumn("left", F.explode(shorter(F.lower("v"), edits))), n.withColumn("left", F.explode(shorter(F.lower("n"), edits)))
+        got = cut(nearest(a.join(b, "left").select("v", "cap", "n")).where(F.col("b.distance") <= edits))
+        parts.append(got)
+        w = cut(w.join(got.select("v"), "v", "left_anti"))
+    w = w.withColumn("len", F.explode(F.sequence(F.length("v") - F.col("cap"), F.length("v") + F.col("cap")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    far = n.withColumn("len", F.length("n")).withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(salts)).cast("int"))
+    best = parts[0].unionByName(parts[1]).unionByName(nearest(w.join(far, ["len", "salt"]).select("v", "cap", "n")))
+    return best.select(F.col("v").alias(value), F.col("b.n").alias("suggestion"), F.col("b.distance").alias("distance"), T.suggestion_confidence(F.col("b.distance"), F.length("v")).alias("confidence"))
 
 
 ISSUE = {"file": "fake-file", "symbol": "fake-symbol", "script": "fake-script", "import": "fake-import"}
 
 
+#: Names that any program has.
+GLOBALS = sorted({x for x in dir(builtins) if not x.startswith("_")} | set("Array BigInt Boolean Date Error Function Infinity JSON Map Math NaN Number Object Promise Proxy Reflect RegExp Set String Symbol WeakMap WeakSet alert clearInterval clearTimeout console document fetch globalThis module parseFloat parseInt process require setImmediate setInterval setTimeout super this undefined window".split()))
+NODE_MODULES = "assert async_hooks buffer child_process cluster crypto dgram dns events fs http http2 https net os path perf_hooks process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
+TEST_PATH = r"(^|/)(__tests__|specs?|tests?)/|\.(spec|test)\.[a-z]+\z|(^|/)test_[^/]*\z|_test\.[a-z]+\z"
+
+
 def issues(c: DataFrame, key: str, files: DataFrame, names: DataFrame, scripts: DataFrame, modules: DataFrame) -> DataFrame:
-    """Claims with no match, with the nearest known value. files: path; names, scripts, modules: name."""
+    """Claims with no match, with the nearest known value: key, type, value, line, suggestion, confidence. files: path; names, scripts,
+    modules: name. Packages are only checked where a manifest names any, symbols where any are known; built-in ones always pass, as Python
+    imports do. A relative import resolves by the base name of a file."""
     base = F.element_at(F.split("value", "[.]"), -1)
-    parts = []
     file_names = files.select(F.explode(F.array_distinct(F.array("path", T.base_name(F.col("path"))))).alias("name")).distinct()
-    for kind, known, on in (("file", file_names, F.col("value")), ("symbol", names, base), ("script", scripts, F.col("value")), ("import", modules, F.regexp_extract("value", r"^(@[^/]+/[^/]+|[^/.]+)", 1))):
-        part = c.where(F.col("kind") == kind).withColumn("probe", on)
-        if kind == "import":
-            part = part.where(~F.col("value").startswith("."))
+    stems = files.select(F.explode(F.array_distinct(F.array(T.base_name(F.col("path")), T.file_stem(F.col("path"))))).alias("name")).distinct()
+    relative = F.col("value").startswith(".")
+    package = F.regexp_extract("value", r"^(?:node:)?(@[^/]+/[^/]+|[^/]+)", 1)
+    kinds = [
+        ("file", file_names, F.col("value"), F.lit(True)), ("symbol", names, base, ~base.isin(GLOBALS)), ("script", scripts, F.col("value"), F.lit(True)),
+        ("import", modules, package, ~relative & ~package.isin(NODE_MODULES)), ("import", stems, F.regexp_replace(T.base_name(F.col("value")), r"\.[cm]?[jt]sx?\z", ""), relative),
+    ]
+    parts = []
+    for kind, known, on, when in kinds:
+        part = c.where((F.col("kind") == kind) & when).withColumn("probe", on)
+        if kind in ("symbol", "import") and known is not stems:  # nothing to check against
+            part = part.join(F.broadcast(known.select(F.lit(True).alias("any")).limit(1)))
         miss = part.join(known.select(F.col("name").alias("probe")), "probe", "left_anti")
         near = closest(miss.select(F.col("probe").alias("value")), known).withColumnRenamed("value", "probe")
-        parts.append(miss.join(near, "probe", "left").select(key, F.lit(ISSUE[kind]).alias("type"), "value", "line", "suggestion", "confidence"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        type_ = F.when(F.col("value").rlike(TEST_PATH), "fake-test-file").otherwise("fake-file") if kind == "file" else F.lit(ISSUE[kind])
+        parts.append(miss.join(near, "probe", "left").select(key, type_.alias("type"), "value", "line", "suggestion", "confidence"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(i: DataFrame, key: str) -> DataFrame:
     """Issues per answer by type, zero where there are none."""
-    return i.groupBy(key).agg(*[F.sum((F.col("type") == t).cast("int")).alias(t.replace("-", "_")) for t in ISSUE.values()])
+    return i.groupBy(key).agg(*[F.sum((F.col("type") == t).cast("int")).alias(t.replace("-", "_")) for t in [*ISSUE.values(), "fake-test-file"]])
 
 
 def grounded(c: DataFrame, contexts: DataFrame, key: str, context: str) -> DataFrame:

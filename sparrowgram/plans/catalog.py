@@ -156,9 +156,7 @@ _tok = "regexp_extract_all(lower(coalesce({0}, '')), '\\b[a-z][a-z0-9_]{{2,}}\\b
 j AS (SELECT conv_id, turn, a, {_tok.format('context')} AS c FROM a LEFT JOIN u USING (conv_id)) SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN floor(len(list_filter(a, lambda t: list_contains(c, t))) / len(a) * 1000 + 0.5) / 1000 ELSE 0.0 END AS score FROM j""")
 def groundedness(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    u = c.where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("context"))
-    a = c.where("role = 'assistant'").join(u, "conv_id", "left")
-    return a.select("conv_id", "turn", evaluate.groundedness(F.col("text"), F.col("context")).alias("score"))
+    return evaluate.grounded_scores(c.where("role = 'assistant'"), c.where("role = 'user'"), "conv_id", ["conv_id", "turn"])
 
 
 SCAN = [(k, p) for k, p in T.SECRETS]
@@ -230,6 +228,18 @@ def cycle_members(spark: SparkSession, d: str) -> DataFrame:
     return graph.cycles(spark.createDataFrame(corpus.EDGES, "src int, dst int"))
 
 
+PART_RING = "e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part)"
+
+
+@query(f"WITH RECURSIVE {PART_RING}, up(n, l) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT e.dst, up.l FROM up JOIN e ON e.src = up.n) SELECT a.n AS node, min(b.n) AS component FROM up a JOIN up b ON b.n = a.l AND b.l = a.n GROUP BY a.n HAVING count(*) > 1 OR a.n IN (SELECT src FROM e WHERE src = dst)")
+def cycle_members_part(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of a graph over all parts."""
+    p = read(spark, d, "part").select("p_partkey")
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    e = p.join(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst")).unionByName(p.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")))
+    return graph.cycles(e)
+
+
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {corpus.EDGES_SQL}), n AS (SELECT src AS seed FROM e UNION SELECT dst FROM e), r(seed, node, depth) AS (SELECT dst, src, 1 FROM e WHERE src <> dst UNION SELECT seed, src, depth + 1 FROM r JOIN e ON dst = node WHERE depth < 12 AND src <> seed), m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL), s AS (SELECT seed, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive FROM n LEFT JOIN m USING (seed) GROUP BY seed) SELECT seed, direct, transitive, least(100, 4 * direct + transitive) AS score, CASE WHEN least(100, 4 * direct + transitive) >= 60 THEN 'critical' WHEN 4 * direct + transitive >= 30 THEN 'high' WHEN 4 * direct + transitive >= 10 THEN 'medium' WHEN 4 * direct + transitive >= 1 THEN 'low' ELSE 'none' END AS tier FROM s")
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     e = spark.createDataFrame(corpus.EDGES, "src int, dst int")
@@ -378,14 +388,13 @@ def missing_tests(spark: SparkSession, d: str) -> DataFrame:
     return evidence.missing_tests(corpus.files(spark).select("path"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT source, doc_id, ceil(n_chars / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY -n_chars, doc_id) AS r FROM documents), k AS (SELECT * FROM c WHERE r <= 40),
+@query("""WITH RECURSIVE c AS (SELECT source, doc_id, ceil(n_chars / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY -n_chars, doc_id) AS r FROM documents), k AS MATERIALIZED (SELECT * FROM c),
 f(source, r, used, kept) AS (SELECT source, 1::BIGINT, tokens, true FROM k WHERE r = 1 UNION ALL SELECT k.source, k.r, used + CASE WHEN used + tokens <= 9000 THEN tokens ELSE 0 END, used + tokens <= 9000 FROM f JOIN k ON k.source = f.source AND k.r = f.r + 1)
 SELECT k.source, k.doc_id, k.tokens FROM f JOIN k USING (source, r) WHERE kept""")
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The forty longest of each source, packed into a budget."""
+    """All documents of each source, the longest first, packed into a budget."""
     docs = read(spark, d, "documents").select("source", "doc_id", "n_chars", F.ceil(F.col("n_chars") / 4).alias("tokens"))
-    best = docs.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))).where("r <= 40")
-    return evidence.greedy(best, "source", F.col("r"), "tokens", "doc_id", 9000)
+    return evidence.greedy(docs, "source", -F.col("n_chars"), "tokens", "doc_id", 9000)
 
 
 # texts
@@ -404,18 +413,42 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return ls.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("c")).groupBy("line").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs")).where("n > 1")
 
 
-@query()
+def _re(p: str) -> str:
+    return p.replace("\\z", "$").replace("'", "''")
+
+
+_KV = r'^\s*"[^"]+"\s*:.*\S|^\s*[\]}],?\s*$'
+_SAMPLES = [
+    (-1, "Traceback (most recent call last):\n  File \"a.py\", line 3\nValueError: x"), (-2, "x\n  at f (a.js:1:2)\n  at g (b.js:3:4)\n  at h (c.js:5:6)"), (-3, "\n".join(f"12:00:0{i} step {i}" for i in range(9))),
+    (-4, "\n".join(["same line 1"] * 5 + [f"other {c}" for c in "abcde"])), (-5, '{"a": [1, 2], "b": {"c": null}}'), (-6, '{\n"a": 1,\n"b": 2,\n"c": 3,\n'), (-7, "   "), (-8, "plain words\nof prose"), (-9, "[1, 2"), (-10, "goroutine 7 [running]:\nmain.f(0x1)\n  main.go(a.go:12)"),
+]
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {corpus.text(t)})" for i, t in _SAMPLES)}) v(doc_id, t)), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls, string_split(trim(t), chr(10)) AS tl FROM d),
+n AS (SELECT *, list_filter(list_transform(ls, lambda x: trim(regexp_replace(x, '[0-9]+', '#', 'g'))), lambda x: x <> '') AS norm FROM l),
+f AS (SELECT doc_id, trim(t) = '' AS blank, len(list_filter(ls, lambda x: regexp_matches(x, '{_re("|".join(f"(?:{p})" for p in squeeze.FRAMES))}'))) AS fr, regexp_matches(t, '{_re(squeeze.HEADERS)}') AS hd, len(ls) AS n,
+greatest(len(list_filter(ls, lambda x: regexp_matches(x, '{_re(squeeze.CLOCK + "|" + squeeze.PROGRESS)}'))) / len(ls), (len(norm) - len(list_distinct(norm))) / len(ls)) AS ci, regexp_matches(trim(t), '^[\\[{{]') AND json_valid(trim(t)) AS js, len(tl) AS tn, len(list_filter(tl, lambda x: regexp_matches(x, '{_re(_KV)}'))) / len(tl) AS kv FROM n),
+c AS (SELECT CASE WHEN blank THEN NULL WHEN hd OR fr >= 2 THEN 'stacktrace' WHEN n >= 8 AND ci >= 0.4 THEN 'cilog' WHEN js OR (tn >= 4 AND kv >= 0.6) THEN 'json' END AS category, round(CASE WHEN blank THEN 0 WHEN hd THEN greatest(least(0.97, 0.15 * fr), 0.6 + least(0.3, 0.05 * fr)) WHEN fr >= 2 THEN least(0.97, 0.15 * fr) WHEN n >= 8 AND ci >= 0.4 THEN least(0.95, ci + 0.15) WHEN js THEN 0.95 WHEN tn >= 4 AND kv >= 0.6 THEN least(0.9, kv) ELSE 0 END, 2) AS confidence FROM f)
+SELECT category, count(*) AS n, round(avg(confidence), 4) AS confidence FROM c GROUP BY category""")
 def text_classes(spark: SparkSession, d: str) -> DataFrame:
-    c = squeeze.classified(read(spark, d, "documents"), "doc_id", F.col("text"))
+    """All documents, and a sample of each class."""
+    x = read(spark, d, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_SAMPLES, "doc_id long, text string"))
+    c = squeeze.classified(x, "doc_id", F.col("text"))
     return c.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
-_terse = sub("text", ("\\bfunction\\b", "fn"), ("\\s+→\\s+", "→"), (",\\s+", ","), ("\\s+=\\s+", "="), ("\\{\\s+", "{"), ("\\s+\\}", "}"))
+_terse = sub("head", ("\\bfunction\\b", "fn"), ("\\s+→\\s+", "→"), (",\\s+", ","), ("\\s+=\\s+", "="), ("\\{\\s+", "{"), ("\\s+\\}", "}"))
+_LINES = f"x AS (SELECT text FROM documents UNION ALL SELECT sig FROM {corpus.LINES_SQL} UNION ALL SELECT sig FROM {corpus.NEW_SQL})"
 
 
-@query(f"SELECT sum(ceil(length(text) / 4))::BIGINT AS before_tokens, sum(ceil(length({_terse}) / 4))::BIGINT AS after_tokens FROM documents WHERE NOT regexp_matches(text, '\\s:[0-9]+-[0-9]+(\\s+#.*)?\\s*$') AND NOT regexp_matches(text, '\\S\\s{{2,}}\\S') AND NOT starts_with(text, 'module.exports=')")
+@query(f"""WITH {_LINES}, a AS (SELECT text, regexp_extract(text, '(\\s+:[0-9]+-[0-9]+(\\s+#.*)?\\s*)$', 1) AS tail FROM x), h AS (SELECT text, tail, left(text, length(text) - length(tail)) AS head FROM a),
+s AS (SELECT text, tail, {_terse} AS s FROM h), t AS (SELECT text, tail, s, regexp_extract(s, '^\\s*') AS lead, CASE WHEN trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN '' ELSE regexp_extract(s, '\\s*$') END AS trail FROM s),
+m AS (SELECT text, tail, lead, trail, regexp_replace(substr(s, length(lead) + 1, length(s) - length(lead) - length(trail)), '\\s{{2,}}', ' ', 'g') AS mid FROM t)
+SELECT sum(ceil(length(text) / 4))::BIGINT AS before_tokens, sum(ceil(length(regexp_replace(lead || mid || trail, '^module\\.exports=', 'exports=') || tail) / 4))::BIGINT AS after_tokens FROM m""")
 def terse_reduction(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "documents").where(r"text NOT RLIKE '\\s:[0-9]+-[0-9]+(\\s+#.*)?\\s*$' AND text NOT RLIKE '\\S\\s{2,}\\S' AND NOT startswith(text, 'module.exports=')")
+    """All documents, and the signatures of the small code base."""
+    lines = corpus.lines(spark).unionByName(corpus.lines(spark, corpus.NEW)).select(F.col("sig").alias("text"))
+    x = read(spark, d, "documents").select("text").unionByName(lines)
     return x.agg(F.sum(F.ceil(F.length("text") / 4)).alias("before_tokens"), F.sum(F.ceil(F.length(T.terse(F.col("text"))) / 4)).alias("after_tokens"))
 
 
@@ -424,8 +457,13 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(T.token_estimate(F.array(F.coalesce("text", F.lit(""))))).alias("tokens"))
 
 
-@query("""WITH e AS (SELECT user_id, list(CASE WHEN event_type = 'purchase' THEN 0.15 WHEN event_type = 'error' THEN -0.10 ELSE 0.0 END ORDER BY event_id) AS ds FROM events GROUP BY user_id)
-SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, ds::DOUBLE[]), lambda s, x: least(3.0::DOUBLE, greatest(0.3::DOUBLE, floor((s * 0.95::DOUBLE + x) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE))), 3) AS weight FROM e""")
+@query("""WITH RECURSIVE u AS (SELECT user_id, row_number() OVER (ORDER BY event_id, user_id) AS pos, CASE event_type WHEN 'purchase' THEN 0.15::DOUBLE ELSE -0.10::DOUBLE END AS d FROM events WHERE event_type IN ('purchase', 'error')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k, coalesce(pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos), 0) AS gap FROM u),
+f(user_id, k, pos, w) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM (SELECT DISTINCT user_id FROM o) UNION ALL
+SELECT o.user_id, o.k, o.pos, CASE WHEN x > 3 THEN 3.0::DOUBLE WHEN x < 0.3 THEN 0.3::DOUBLE ELSE floor(x * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE END FROM (SELECT o.*, o.d + list_reduce(list_prepend(f.w, [0.95::DOUBLE for i in range(least(o.gap, 64))]), lambda s, x: CASE WHEN s = 1 THEN s WHEN s * x < 0.3 THEN 0.3::DOUBLE ELSE floor(s * x * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE END) AS x FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) o),
+l AS (SELECT user_id, arg_max(pos, k) AS pos, arg_max(w, k) AS w FROM f GROUP BY user_id),
+e AS (SELECT user_id, list_reduce(list_prepend(w, [0.95::DOUBLE for i in range(least((SELECT count(*) FROM u) - pos, 64))]), lambda s, x: CASE WHEN s = 1 THEN s WHEN s * x < 0.3 THEN 0.3::DOUBLE ELSE floor(s * x * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE END) AS w FROM l)
+SELECT user_id, round(w, 5) AS weight FROM e WHERE w <> 1""")
 def weights_fold(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", 0.15).when(F.col("event_type") == "error", -0.10).otherwise(0.0).alias("delta"))
-    return stateful.folded_weights(e, "user_id", "event_id", "delta").select("user_id", F.round("weight", 3).alias("weight"))
+    e = read(spark, d, "events").where("event_type IN ('purchase', 'error')").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", 0.15).otherwise(-0.10).alias("delta"))
+    return stateful.folded_weights(e, "user_id", "event_id", "delta").select("user_id", F.round("weight", 5).alias("weight"))

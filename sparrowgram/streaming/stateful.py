@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..sources.durable import cut
+
 
 def latest(changes: DataFrame) -> DataFrame:
     """path, seq, sigs of the last change of each path in (path, seq, op, sigs); paths whose last change is a delete are left out. append adds
@@ -54,8 +60,59 @@ def session_boost(ranked: DataFrame, session: DataFrame) -> DataFrame:
     return ranked.join(s, "path", "left").withColumn("score", F.col("score") + boost).drop("session_intent")
 
 
-def folded_weights(events: DataFrame, key: str, order: str, delta: str, decay: float = 0.95, low: float = 0.30, high: float = 3.0) -> DataFrame:
-    """key, weight after its events in order: each multiplies the weight by decay, adds delta, and keeps it within bounds; 6 digits."""
-    a = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(delta).cast("double").alias("d")))).alias("xs"))
-    w = F.aggregate("xs", F.lit(1.0), lambda s, x: F.least(F.lit(high), F.greatest(F.lit(low), F.floor((s * decay + x["d"]) * 1e6 + 0.5) / 1e6)))
-    return a.select(key, w.alias("weight"))
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with at: their number from 0 in order, over all rows, without bringing them together: ranges are numbered within, and begin after
+    those before them."""
+    r = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    r = cut(r.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_id", 33)).withColumn("_n", F.col("_id").bitwiseAND((1 << 33) - 1)))
+    size = r.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row for each partition
+    before = size.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return r.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("at", F.col("_before") + F.col("_n")).drop("_id", "_part", "_n", "_before")
+
+
+def folded_weights(updates: DataFrame, key: str, order: str, delta: str, decay: float = 0.95, low: float = 0.30, high: float = 3.0) -> DataFrame:
+    """key, weight after all updates (key, order, delta) in order. Each update multiplies the weights that are there by decay, whosever it is, then adds
+    delta to that of its key, which is 1 where it isn't there; weights stay within bounds, have 6 digits, and one of 1 is dropped.
+
+    The updates of others only count by their number, so each key is a stream of its own updates with their numbers among all, and holds one
+    weight. A weight reaches the lower bound after few decays, so a long silence costs no more than a short one."""
+    schema = f"{key} {dict(updates.dtypes)[key]}, weight double"
+    all_ = numbered(updates.select(F.col(key), F.col(order), F.col(delta).cast("double").alias("_delta")), order, key)
+    total = all_.count()
+    names = [key, "at", "_delta"]
+
+    def within(w: float) -> float:
+        return high if w > high else low if w < low else math.floor(w * 1e6 + 0.5) / 1e6
+
+    def faded(w: float, times: int) -> float:
+        for _ in range(times):
+            if w == 1.0 or w == low:  # not there, or at the bound
+                break
+            w = within(w * decay)
+        return w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, w, last = None, 1.0, 0
+
+        def done(rows: list) -> pa.RecordBatch:
+            k, ws = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(k, kind), pa.array(ws, pa.float64())], [key, "weight"])
+
+        kind, rows = None, []
+        for b in batches:
+            kind = b.column(0).type
+            for k, at, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (k,) != now:
+                    if now is not None and (w := faded(w, total - 1 - last)) != 1.0:
+                        rows.append((now[0], w))
+                    now, w, last = (k,), 1.0, at
+                w, last = within(faded(w, at - last) + d), at
+            if len(rows) > 4096:
+                yield done(rows)
+                rows = []
+        if now is not None and (w := faded(w, total - 1 - last)) != 1.0:
+            rows.append((now[0], w))
+        if rows:
+            yield done(rows)
+
+    return all_.select(*names).repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, schema)
