@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import languages
+
 MEMBERS = 8
 
 
@@ -72,49 +74,6 @@ def anchored(sig: str, src: str, a: int, b: int) -> str:
     return f"{sig}  :{src.count(chr(10), 0, a) + 1}-{src.count(chr(10), 0, max(a, b)) + 1}"
 
 
-@dataclass(frozen=True)
-class Braces:
-    """A language of braces: types with members, and functions outside types."""
-
-    types: str
-    members: str = ""
-    functions: str = ""
-    cap: int = 25
-    anchors: bool = True
-    line: str = "//"
-    block: tuple[str, str] | None = ("/*", "*/")
-    quotes: str = "\"'`"
-
-    def __call__(self, src: str) -> list[str]:
-        m = masked(src, self.line, self.block, self.quotes)
-        note = (lambda s, a, b: anchored(s, src, a, b)) if self.anchors else (lambda s, a, b: s)
-        found, inside = [], []
-        for t in re.finditer(self.types, m, re.M):
-            head = m.find("{", t.start())
-            ends = [x for x in (m.find(";", t.end()),) if x >= 0]
-            end = closing(m, t.start()) if head >= 0 and not (ends and ends[0] < head) else t.end()
-            lines = [note(tidy(src[t.start() : t.end()]), t.start(), end)]
-            if self.members and end > t.end():
-                inside.append((t.start(), end))
-                depth, at, kept = 0, head + 1, 0
-                spots = {x.start(): x for x in re.finditer(self.members, m[: end + 1], re.M) if x.start() > head}
-                for k in range(head + 1, end):
-                    if (x := spots.get(k)) is not None and depth == 0 and k >= at:
-                        if kept < MEMBERS:
-                            stop = closing(m, x.end() - 1) if m[x.end() - 1 : x.end()] == "{" else x.end()
-                            lines.append("  " + note(tidy(src[x.start() : x.end()].rstrip("{;=")), x.start(), stop))
-                        kept += 1
-                        at = x.end() - 1
-                    depth += (m[k] == "{") - (m[k] == "}")
-            found.append((t.start(), lines))
-        if self.functions:
-            for f in re.finditer(self.functions, m, re.M):
-                if not any(a < f.start() < b for a, b in inside):
-                    end = closing(m, f.end() - 1) if m.find("{", f.start(), f.end() + 200) >= 0 else f.end()
-                    found.append((f.start(), [note(tidy(src[f.start() : f.end()].rstrip("{=;")), f.start(), end)]))
-        return [s for _, ls in sorted(found, key=lambda x: x[0]) for s in ls][: self.cap]
-
-
 @dataclass(frozen=True)
 class Lines:
     """Patterns whose groups fill a template, in page order."""
@@ -136,7 +95,7 @@ class Lines:
         return sigs[: self.cap] if self.cap else sigs
 
 
-def python(src: str) -> list[str]:
+def python_ast(src: str) -> list[str]:
     """Classes with fields and methods, functions and route decorators, from the syntax tree."""
     out: list[str] = []
 
@@ -173,37 +132,6 @@ def python(src: str) -> list[str]:
     return out[:30]
 
 
-def yaml(src: str) -> list[str]:
-    top = [m[1] for m in re.finditer(r"^([A-Za-z_][\w.-]*):", src, re.M)]
-    out = ["keys: " + ", ".join(top[:12])] if top else []
-    for section, label in (("jobs", "job"), ("services", "service"), ("paths", "path")):
-        if m := re.search(rf"^{section}:[^\n]*\n((?:[ \t]+[^\n]*(?:\n|\Z)|\s*\n)*)", src, re.M):
-            out += [f"{label}: {x}" for x in re.findall(r"^ {2}([^\s#:][^:\n]*):", m[1], re.M)]
-    return out[:25]
-
-
-def css(src: str) -> list[str]:
-    s = re.sub(r"/\*.*?\*/", " ", src, flags=re.S)
-    out = [f":root --{x}" for b in re.findall(r":root\s*\{([^}]*)\}", s) for x in re.findall(r"--([\w-]+)\s*:", b)]
-    out += [f"${x}" for x in re.findall(r"^\s*\$([\w-]+)\s*:", s, re.M)] + [f"@{k} {n}" for k, n in re.findall(r"@(function|mixin)\s+([\w-]+(?:\([^)]*\))?)", s)]
-    classes = list(dict.fromkeys(re.findall(r"\.([A-Za-z][\w-]*)(?=[^{}]*\{)", s)))
-    plain = [c for c in classes if "-" not in c or re.search(r"-\d|-(?:2xl|lg|md|sm|xl|xs)\Z", c)]
-    if not (len(classes) >= 5 and len(plain) >= 0.7 * len(classes)):
-        out += ["." + c for c in sorted(classes, key=lambda c: ("-" not in c and "__" not in c))[:8]]
-    return out[:25]
-
-
-def html(src: str) -> list[str]:
-    out = [f"title: {m[1].strip()}" for m in re.finditer(r"<title[^>]*>(.*?)</title>", src, re.S | re.I) if m[1].strip()][:1]
-    for m in re.finditer(r"<form\b([^>]*)>", src, re.I):
-        i, a = re.search(r"""\bid=["']([^"']+)""", m[1]), re.search(r"""\baction=["']([^"']+)""", m[1])
-        if i:
-            out.append(f"form#{i[1]}" + (f" → {a[1]}" if a else ""))
-    out += [f"{t.lower()}#{i}" for t, i in re.findall(r"""<([a-zA-Z][\w-]*)\b[^>]*?\bid=["']([^"']+)["']""", src)]
-    out += [f"data-{k}: {v}" for k, v in re.findall(r"""\bdata-(component|controller|page|view)=["']([^"']+)["']""", src)]
-    return out[:25]
-
-
 def sql(src: str) -> list[str]:
     s = re.sub(r"--[^\n]*|/\*.*?\*/", " ", src, flags=re.S)
     name = r"(?:IF\s+NOT\s+EXISTS\s+)?([\w.\"`\[\]]+)"
@@ -220,11 +148,7 @@ def script(src: str) -> str:
     return m[1] if m else ""
 
 
-def svelte(src: str) -> list[str]:
-    return Lines(((r"\bexport\s+let\s+(\w+)", "prop {1}"), (r"\b(?:async\s+)?function\s+(\w+\([^)]*\))", "function {1}"), (r"^\s*\$:\s*(\w+)", "$: {1}")), 25)(script(src))
-
-
-def vue(src: str) -> list[str]:
+def vue_sfc(src: str) -> list[str]:
     s = script(src)
     out = [f"component {m[1]}" for m in re.finditer(r"""\bname:\s*['"]([\w-]+)""", s)][:1]
     for m in re.finditer(r"\b(?:defineProps(?:<)?|props:)\s*[(]?\s*\{([^}]*)\}", s):
@@ -237,11 +161,6 @@ def vue(src: str) -> list[str]:
     return (out + [f"slot {x}" for x in re.findall(r"""<slot\s+name=["']([\w-]+)""", src)])[:50]
 
 
-def shell(src: str) -> list[str]:
-    out = [f"# {m[1].strip()}" for m in re.finditer(r"^#(?!!)\s*(\S[^\n]*)", src, re.M)][:1]
-    return (out + Lines(((r"^(?:function\s+)?([A-Za-z][\w-]*)\s*\(\)", "{1}()"), (r"^function\s+([A-Za-z][\w-]*)\s*\{", "{1}()"), (r"^export\s+([A-Za-z_]\w*)=", "export {1}")), 25, distinct=True)(src))[:25]
-
-
 def docker(src: str) -> list[str]:
     out = [tidy(f"FROM {a}" + (f" AS {b}" if b else "")) for a, b in re.findall(r"^FROM\s+(\S+)(?:\s+AS\s+(\S+))?", src, re.M | re.I)]
     ports = [p for x in re.findall(r"^EXPOSE\s+([^\n]+)", src, re.M | re.I) for p in x.split()]
@@ -271,39 +190,13 @@ def xml(src: str) -> list[str]:
     return out[:50]
 
 
-def r_lang(src: str) -> list[str]:
-    m = masked(src, "#", None, "\"'")
-    out = []
-    for f in re.finditer(r"^([A-Za-z][\w.]*)\s*(?:<-|=)\s*function\s*\(([^)]*)\)", m, re.M):
-        out.append(anchored(f"{f[1]}({tidy(f[2])})", src, f.start(), closing(m, f.end()) if m[f.end() :].lstrip()[:1] == "{" else f.end()))
-    out += [f"{k} {n}" for k, n in re.findall(r"\b(R6Class|new_class|new_generic|setClass|setGeneric|setMethod)\(\s*[\"'](\w+)", src)]
-    return out[:30]
-
-
 def todos(src: str) -> list[str]:
     return [f"{m[1]}: {tidy(m[2])[:70]}  :{src.count(chr(10), 0, m.start()) + 1}" for m in re.finditer(r"\b(TODO|FIXME|HACK|XXX)\b[:\s(]*([^\n]*)", src)]
 
 
-JS_MEMBERS = r"^[ \t]*(?:(?:async|get|private|protected|public|readonly|set|static)\s+)*(?!(?:catch|for|if|return|switch|while)\b)[A-Za-z_$#][\w$]*\s*\([^)]*\)(?:\s*:\s*[^{;\n]+)?\s*\{"
-JS_FUNCTIONS = r"^(?:export\s+(?:default\s+)?)?(?:async\s+)?function\*?\s+[\w$]+\s*\([^)]*\)(?:\s*:\s*[^{\n]+)?|^export\s+const\s+[\w$]+\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=\n]+)?=>|^module\.exports\s*=\s*\{[^}]*\}"
-JVM_MEMBERS = r"^[ \t]*(?:(?:abstract|final|internal|override|protected|public|static|suspend|synchronized|virtual|async)\s+)+[\w<>\[\],.? ]+\s*\([^)]*\)\s*(?:throws\s+[\w, ]+)?\s*[{;]"
 REGISTRY: dict[str, Callable[[str], list[str]]] = {
-    "javascript": Braces(r"^(?:export\s+(?:default\s+)?)?class\s+[\w$]+(?:\s+extends\s+[\w$.]+)?", JS_MEMBERS, JS_FUNCTIONS),
-    "typescript": Braces(r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:class|enum|interface)\s+[\w$]+(?:<[^>{]*>)?(?:\s+(?:extends|implements)\s+[^{]+)?|^(?:export\s+)?type\s+\w+(?:<[^>]*>)?\s*=", JS_MEMBERS.replace(r"\s*\{", r"\s*[{;]"), JS_FUNCTIONS, 35),
     "typescript_react": Lines(((r"\b(?:export\s+)?(?:default\s+)?function\s+([A-Z]\w*)\s*\(", "component {1}"), (r"\bconst\s+([A-Z]\w*)\s*(?::[^=\n]+)?=\s*(?:React\.memo\()?\(", "component {1}"), (r"\b(?:interface|type)\s+(\w*Props)\b", "props {1}"), (r"\b(use[A-Z]\w*)\(", "hook {1}"), (r"\b(?:const|function)\s+(handle[A-Z]\w*)", "handler {1}"), (r"^export\s+(?:default\s+)?(?:const|function|class)\s+(\w+)", "export {1}")), 50, distinct=True),
-    "python": python,
-    "go": Braces(r"^type\s+\w+\s+struct", "", r"^func\s+(?:\([^)]*\)\s*)?\w+\s*\([^)]*\)(?:\s*\([^)]*\)|\s*[\w.*\[\]]+)?|^type\s+\w+\s+interface"),
-    "rust": Braces(r"^\s*pub(?:\([^)]*\))?\s+(?:enum|struct|trait|union)\s+\w+(?:<[^>{]*>)?|^impl(?:<[^>]*>)?\s+[^{]+?(?=\s*\{)", r"^[ \t]*pub(?:\([^)]*\))?\s+(?:async\s+)?(?:unsafe\s+)?fn\s+\w+(?:<[^>]*>)?\([^)]*\)(?:\s*->\s*[^{;]+)?", r"^pub(?:\([^)]*\))?\s+(?:async\s+)?(?:unsafe\s+)?fn\s+\w+(?:<[^>]*>)?\([^)]*\)(?:\s*->\s*[^{;]+)?", quotes='"'),
-    "java": Braces(r"^[ \t]*(?:(?:abstract|final|private|protected|public|static)\s+)*(?:class|enum|interface|record)\s+\w+[^{;]*?(?=\s*\{)", JVM_MEMBERS),
-    "kotlin": Braces(r"^[ \t]*(?:(?:abstract|data|inner|internal|open|sealed)\s+)*(?:class|interface|object)\s+\w+[^{\n]*?(?=\s*[{\n])", r"^[ \t]*(?:(?:internal|open|override|suspend)\s+)*fun\s+(?:<[^>]*>\s*)?[\w.]+\s*\([^)]*\)(?:\s*:\s*[\w<>?., ]+)?", r"^(?:suspend\s+)?fun\s+(?:<[^>]*>\s*)?[\w.]+\s*\([^)]*\)(?:\s*:\s*[\w<>?., ]+)?"),
-    "csharp": Braces(r"^[ \t]*(?:(?:abstract|internal|partial|private|protected|public|sealed|static)\s+)*(?:class|enum|interface|record|struct)\s+\w+[^{;]*?(?=\s*[{;])", JVM_MEMBERS),
-    "scala": Braces(r"^[ \t]*(?:(?:abstract|case|final|implicit|sealed)\s+)*(?:class|object|trait)\s+\w+[^{\n]*?(?=\s*[{\n])", r"^[ \t]*(?:(?:final|implicit|override)\s+)*def\s+\w+(?:\[[^\]]*\])?(?:\([^)]*\))*(?:\s*:\s*[\w\[\], .]+)?"),
-    "swift": Braces(r"^[ \t]*(?:(?:final|open|private|public)\s+)*(?:actor|class|enum|extension|protocol|struct)\s+\w+[^{\n]*?(?=\s*\{)", r"^[ \t]*(?:(?:class|mutating|open|override|public|static)\s+)*func\s+\w+[^{\n]*?(?=\s*[{\n])", r"^(?:public\s+)?func\s+\w+[^{\n]*?(?=\s*\{)"),
-    "dart": Braces(r"^(?:abstract\s+)?(?:class|enum|mixin|extension)\s+\w+[^{\n]*?(?=\s*\{)", r"^[ \t]+(?:static\s+)?[\w<>?,]+\s+\w+\([^)]*\)(?:\s*async)?\s*(?:\{|=>)", r"^[\w<>?]+\s+\w+\([^)]*\)(?:\s*async)?\s*\{"),
-    "php": Braces(r"^[ \t]*(?:(?:abstract|final)\s+)*(?:class|interface|trait|enum)\s+\w+[^{\n]*?(?=\s*[{\n])", r"^[ \t]*(?:(?:abstract|final|protected|public|static)\s+)+function\s+\w+\([^)]*\)(?:\s*:\s*\??\w+)?", r"^function\s+\w+\([^)]*\)(?:\s*:\s*\??\w+)?"),
-    "cpp": Braces(r"^(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+\w+(?:\s*:\s*[^{;]+)?(?=\s*\{)", r"^[ \t]+(?:(?:explicit|inline|static|virtual)\s+)*[\w:<>&*]+[\s&*]+\w+\([^)]*\)(?:\s*(?:const|noexcept|override))*\s*[{;]", r"^(?:(?:inline|static)\s+)?[A-Za-z_][\w:<>&*]*[\s&*]+[\w:]+\([^)]*\)\s*(?:const\s*)?\{", anchors=False, quotes='"'),
-    "ruby": Lines(((r"^((?:class|module)\s+[\w:]+(?:\s*<\s*[\w:]+)?)", "{1}"), (r"^[ \t]+(def\s+(?:self\.)?[\w?!=]+(?:\([^)]*\))?)", "  {1}"), (r"^(def\s+[\w?!=]+(?:\([^)]*\))?)", "{1}")), 25),
-    "gdscript": Lines(((r"^(class_name\s+\w+|extends\s+\w+)", "{1}"), (r"^(signal\s+\w+(?:\([^)]*\))?)", "{1}"), (r"^enum\s+(\w+)", "enum {1}"), (r"^const\s+(\w+)", "const {1}"), (r"^@export[^\n]*\bvar\s+(\w+)", "export {1}"), (r"^(?:static\s+)?(func\s+\w+\([^)]*\)(?:\s*->\s*\w+)?)", "{1}"), (r"^class\s+(\w+)", "class {1}")), 25),
+    "python_ast": python_ast,
     "graphql": Lines(((r"^\s*(?:extend\s+)?(type|interface|input|enum|scalar|union)\s+(\w+)", "{1} {2}"), (r"^\s*extend\s+type\s+(\w+)", "extend {1}"), (r"^\s*(query|mutation|subscription)\s+(\w+)", "{1} {2}"), (r"^\s*fragment\s+(\w+)\s+on\s+(\w+)", "fragment {1} on {2}"), (r"^\s*(schema)\s*\{", "{1}")), 0, r"#[^\n]*"),
     "protobuf": Lines(((r'^\s*syntax\s*=\s*"(\w+)"', "syntax {1}"), (r"^\s*package\s+([\w.]+)", "package {1}"), (r"^\s*(message|enum|service|oneof|extend)\s+([\w.]+)", "{1} {2}"), (r"^\s*rpc\s+(\w+)\s*\(([^)]*)\)\s*returns\s*\(([^)]*)\)", "  rpc {1}({2}) → {3}")), 0, r"//[^\n]*|/\*.*?\*/"),
     "terraform": Lines(((r'^(resource|data)\s+"([^"]+)"\s+"([^"]+)"', "{1} {2}.{3}"), (r'^(module|variable|output|provider)\s+"([^"]+)"', "{1} {2}"), (r"^(locals|terraform|moved|import)\s*\{", "{1}")), 0, r"#[^\n]*|//[^\n]*|/\*.*?\*/"),
@@ -311,7 +204,8 @@ REGISTRY: dict[str, Callable[[str], list[str]]] = {
     "dataclass": Lines(((r"^@dataclass[^\n]*\n\s*class\s+(\w+)", "dataclass {1}"), (r"^class\s+(\w+)\(.*BaseModel.*\)", "model {1}"), (r"^\s+(\w+)\s*=\s*(?:db\.)?(?:Column|mapped_column)\(", "column {1}"), (r"^\s+(\w+)\s*=\s*relationship\(", "relation {1}"), (r"^\s+@(?:field_)?validator\(([^)]*)\)", "validator {1}"), (r"^\s+(\w+)\s*:\s*[\w\[\]., |]+(?:\s*=|$)", "field {1}")), 50),
     "patterns": Lines(((r"class\s+(\w*Repository)\b", "repository {1}"), (r"class\s+(\w*Service)\b", "service {1}"), (r"class\s+(\w*Controller)\b", "controller {1}"), (r"\b(?:app|router)\.use\((\w+)", "middleware {1}"), (r"@(Inject\w*)", "injection {1}"), (r"catch\s*\([^)]*\)\s*\{\s*(\})", "empty catch"), (r"(\bany\b)", "untyped any")), 60),
     "generic": Lines(((r"^((?:export\s+|pub(?:lic)?\s+)?(?:class|def|enum|fn|func|function|interface|module|struct|trait|type)\s+\w[^\n{]{0,90})", "{1}"),), 15),
-    "yaml": yaml, "css": css, "html": html, "sql": sql, "svelte": svelte, "vue_sfc": vue, "vue": vue, "shell": shell, "dockerfile": docker, "properties": properties, "toml": toml, "xml": xml, "r": r_lang, "todos": todos,
+    **{k: getattr(languages, k) for k in "javascript typescript python go rust java kotlin csharp scala swift dart php cpp ruby gdscript yaml css html svelte vue shell".split()},
+    "vue_sfc": vue_sfc, "r": languages.r_lang, "sql": sql, "dockerfile": docker, "properties": properties, "toml": toml, "xml": xml, "todos": todos,
 }
 BY_EXTENSION = {
     e: k
@@ -336,7 +230,7 @@ def extract(src: str | None, language: str | None) -> list[str]:
     try:
         return f(src)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return Braces(r"^class\s+\w+[^:\n]*", "", r"^def\s+\w+\([^)]*\)", line="#", block=None, quotes="")(src) if language == "python" else []
+        return languages.python(src) if language == "python_ast" else []
 
 
 def signatures(files: DataFrame, path: str = "path", content: str = "content", language: str | None = None) -> DataFrame:

@@ -36,11 +36,12 @@ def lines(answers: DataFrame, key: str, text: Column) -> DataFrame:
 def claims(ls: DataFrame, key: str) -> DataFrame:
     """key, kind (file, symbol, script, import, python-import), value, line: each value where it is first claimed."""
     found = lambda kind, pattern, i=1: ls.select(key, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(pattern), i)).alias("value"), "line")
-    # a Python import can't be checked without its installed library: it is a claim of its own kind, which issues() never flags
+    # a Python import of a library can't be checked without it: it is a claim of its own kind, which issues() never flags
     out = found("file", PATH).where(~F.col("value").rlike(PLACEHOLDER)).unionByName(found("symbol", SYMBOL)).unionByName(found("script", SCRIPT))
     code = ls.where("fenced")
     js = code.select(key, F.lit("import").alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(IMPORT_JS), 1)).alias("value"), "line")
-    py = code.select(key, F.lit("python-import").alias("kind"), F.concat(F.regexp_extract("content", IMPORT_PY, 1), F.regexp_extract("content", IMPORT_PY, 2)).alias("value"), "line")
+    module = F.concat(F.regexp_extract("content", IMPORT_PY, 1), F.regexp_extract("content", IMPORT_PY, 2))
+    py = code.select(key, F.when(module.startswith("."), "import").otherwise("python-import").alias("kind"), module.alias("value"), "line")
     return out.unionByName(js).unionByName(py).where("value <> ''").groupBy(key, "kind", "value").agg(F.min("line").alias("line"))
 
 
@@ -99,7 +100,7 @@ def issues(c: DataFrame, key: str, files: DataFrame, names: DataFrame, scripts:
     package = F.regexp_extract("value", r"^(?:node:)?(@[^/]+/[^/]+|[^/]+)", 1)
     kinds = [
         ("file", file_names, F.col("value"), F.lit(True)), ("symbol", names, base, ~base.isin(GLOBALS)), ("script", scripts, F.col("value"), F.lit(True)),
-        ("import", modules, package, ~relative & ~package.isin(NODE_MODULES)), ("import", stems, F.regexp_replace(T.base_name(F.col("value")), r"\.[cm]?[jt]sx?\z", ""), relative),
+        ("import", modules, package, ~relative & ~package.isin(NODE_MODULES)), ("import", stems, F.when(F.contains("value", F.lit("/")), F.regexp_replace(T.base_name(F.col("value")), r"\.[cm]?[jt]sx?\z", "")).otherwise(F.element_at(F.split("value", "[.]"), -1)), relative & (F.regexp_replace("value", "[./]", "") != "")),
     ]
     parts = []
     for kind, known, on, when in kinds:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import conventions, evaluate, evidence, graph, retrieval, squeeze, usage, verify
 from ..streaming import stateful
-from . import corpus
+from . import corpus, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,6 +186,17 @@ def html_signatures(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("path").cast("long").alias("page_id"), "sig")
 
 
+_sample_lines = corpus.values([(p, i, x) for p, (_, want) in samples.SAMPLES.items() for i, x in enumerate(want.split("\n"))])
+
+
+@query(f"SELECT * FROM {_sample_lines} s(path, pos, sig)")
+def language_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The signatures of one file of each language; the SQL has the lines as they must be."""
+    from ..operators import extract
+
+    return extract.signatures(spark.createDataFrame([(p, src) for p, (src, _) in samples.SAMPLES.items()], "path string, content string"))
+
+
 # graphs
 TRADE_SQL = "edge AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 

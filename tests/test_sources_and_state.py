@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowgram.operators import conventions, evidence, extract, squeeze, verify
+from sparrowgram.operators import conventions, evidence, extract, graph, squeeze, verify
 from sparrowgram.sources import readers
 from sparrowgram.streaming import stateful
 
@@ -109,15 +109,76 @@ def test_context_index(spark):
 
 
 def test_verify(spark):
-    text = "Use `login(user)` in src/auth.py and src/missing.py.\nRun npm run build\n```py\nimport requests\nfrom .x import y\n```\nThen `logni(u)`.\n```js\nimport a from 'left-pad'\n"
+    text = "Use `login(user)` in src/auth.py and src/missing.py.\nRun npm run build\n```py\nimport requests\nfrom .x import y\n```\nThen `logni(u)`.\n```js\nimport a from 'left-pad'\nimport b from 'numpi'\nimport 'fs'\n```\nIt is `print(x)`.\n"
     a = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
     c = verify.claims(verify.lines(a, "id", F.col("text")), "id")
-    assert {(r.kind, r.value, r.line) for r in c.collect()} == {("symbol", "login", 1), ("symbol", "logni", 7), ("file", "src/auth.py", 1), ("file", "src/missing.py", 1), ("script", "build", 2), ("import", "requests", 4), ("import", ".x", 5)}
+    assert {(r.kind, r.value, r.line) for r in c.collect()} == {("symbol", "login", 1), ("symbol", "logni", 7), ("file", "src/auth.py", 1), ("file", "src/missing.py", 1), ("script", "build", 2), ("python-import", "requests", 4), ("import", ".x", 5), ("import", "left-pad", 9), ("python-import", "a", 9), ("python-import", "b", 10), ("import", "numpi", 10), ("import", "fs", 11), ("symbol", "print", 13)}
     name = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
-    i = verify.issues(c, "id", spark.createDataFrame([("src/auth.py",)], "path string"), name("login"), name("test"), name("numpy"))
+    i = verify.issues(c, "id", spark.createDataFrame([("src/auth.py",)], "path string"), name("login"), name("test"), name("numpy", "left-pad"))
     got = {(r.type, r.value, r.suggestion) for r in i.collect()}
-    assert ("fake-symbol", "logni", "login") in got and ("fake-file", "src/missing.py", "src/auth.py") in got and ("fake-script", "build", None) in got and ("fake-import", "requests", None) in got and len(got) == 4
+    assert ("fake-symbol", "logni", "login") in got and ("fake-file", "src/missing.py", "src/auth.py") in got and ("fake-script", "build", None) in got and ("fake-import", "numpi", "numpy") in got and ("fake-import", ".x", None) in got and len(got) == 5
     assert verify.summary(i, "id").first().fake_file == 1
+    nothing = spark.createDataFrame([], "name string")
+    i = verify.issues(c, "id", spark.createDataFrame([("src/auth.py",), ("x.py",)], "path string"), nothing, name("build"), nothing)
+    assert {(r.type, r.value) for r in i.collect()} == {("fake-file", "src/missing.py")}
+
+
+def test_nearest_names_like_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    names = {"".join(r.choice("abcXy") for _ in range(r.randint(2, 9))) for _ in range(300)}
+    values = {"".join(r.choice("abcXyz") for _ in range(r.randint(2, 12))) for _ in range(120)} | {"", "ab"}
+    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for v in values:
+        near = [(d, len(n), n) for n in names if len(v) >= 3 and len(n) >= 3 and v.lower() != n.lower() and (d := edits(v.lower(), n.lower())) <= max(1, -(-len(v) // 2))]
+        if near:
+            want[v] = min(near)
+    got = {x.value: (x.distance, len(x.suggestion), x.suggestion) for x in verify.closest(one(values, "value"), one(names, "name")).collect()}
+    assert got == want
+
+
+def test_budget_like_one_walk(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, r.random(), r.choice([None, 0, 1, 2, 5, 30, 99, 100, 101, 200]) if r.random() < 0.7 else r.randint(1, 100), i) for i, k in enumerate(r.choice("aaaaabc") for _ in range(3000))]
+    rows += [("over", -1.0, 500, 9001), ("over", 0.0, 0, 9002), ("over", 0.1, 1, 9003), (None, 0.0, 100, 9004), (None, 0.5, 1, 9005), ("zero", 0.0, 0, 9006), ("zero", 1.0, 0, 9007)]
+    d = spark.createDataFrame(rows, "k string, o double, c long, item long").repartition(5)
+    got = sorted((str(x.k), x.item) for x in evidence.greedy(d, "k", F.col("o"), "c", "item", 100).collect())
+    want = []
+    for k in {x[0] for x in rows}:
+        used = 0
+        for n, (_, _, c, i) in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[3]))):
+            if not n or used + (c or 0) <= 100:
+                used += c or 0
+                want.append((str(k), i))
+    assert got == sorted(want)
+    assert evidence.greedy(d.limit(0), "k", F.col("o"), "c", "item", 100).count() == 0
+
+
+def test_cycles_like_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    for n, m in ((12, 20), (30, 34), (6, 0)):
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(None, 1)}
+        reach = {a: {b for x, b in edges if x == a and b is not None} for a in range(n)}
+        for _ in range(n):
+            reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+        want = {a: min(b for b in bs if a in reach[b]) for a, bs in reach.items() if a in bs}
+        got = dict(map(tuple, graph.cycles(spark.createDataFrame(list(edges), "src int, dst int")).collect()))
+        assert got == want
 
 
 def test_diff(spark):
@@ -146,8 +207,11 @@ def test_review_and_pack(spark):
     assert {("src/pay.py", "missing-tests"), ("src/auth/login.py", "security-file"), ("src/pay.py", "secret-detected: AWS Access Key"), ("src/pay.py", "god-node")} <= got
     r = spark.createDataFrame([(1, "src/auth/login.py", 2.0), (1, "src/pay.py", 1.0), (1, "tests/test_login.py", 0.0)], "q int, path string, score double")
     s = spark.createDataFrame([("src/auth/login.py", ["def login(u)"]), ("src/pay.py", ["x" * 400])], "path string, sigs array<string>")
-    p = evidence.pack(r, "q", s, f, 50).collect()
-    assert [(x.path, x.tests, x.confidence) for x in p] == [("src/auth/login.py", ["tests/test_login.py"], 1.0)] and len(p[0].digest) == 64
+    p = {x.path: x for x in evidence.pack(r, "q", s, f, 50).collect()}
+    assert set(p) == {"src/auth/login.py", "src/pay.py"} and not p["src/auth/login.py"].dropped and p["src/pay.py"].dropped and not p["src/pay.py"].sigs
+    x = p["src/auth/login.py"]
+    assert (x.tests, x.confidence, len(x.digest)) == (["tests/test_login.py"], 1.0, 64)
+    assert [x.path for x in evidence.pack(r, "q", s, f, 500, k=1).collect()] == ["src/auth/login.py"]
 
 
 def test_conventions(spark):
@@ -192,5 +256,15 @@ def test_sessions(spark, tmp_path):
 
 
 def test_weights(spark):
-    d = spark.createDataFrame([("p", 0, 0.0), ("p", 1, 0.0), ("q", 0, -9.0)], "k string, o int, d double")
-    assert {r.k: r.weight for r in stateful.folded_weights(d, "k", "o", "d").collect()} == {"p": 0.9025, "q": 0.3}
+    """Every update fades all weights that are there; a new one begins at 1; one of 1 is dropped."""
+    d = spark.createDataFrame([("p", 0, 0.15), ("q", 1, -9.0), ("r", 2, 9.0), ("s", 3, -0.05), ("s", 4, 0.05)], "k string, o int, d double").repartition(3)
+    got = {r.k: r.weight for r in stateful.folded_weights(d, "k", "o", "d").collect()}
+    assert got == {"p": round(1.15 * 0.95**4, 6), "q": 0.3, "r": round(3 * 0.95**2, 6), "s": round(0.95 * 0.95 + 0.05, 6)}
+    rows = [(f"k{i * 7 % 5}", i, 0.15 if i % 3 else -0.1) for i in range(400)]
+    w = {}
+    for k, _, x in rows:
+        w = {a: max(0.3, min(3.0, int(b * 0.95 * 1e6 + 0.5) / 1e6)) for a, b in w.items()}
+        w[k] = max(0.3, min(3.0, int((w.get(k, 1.0) + x) * 1e6 + 0.5) / 1e6))
+        w = {a: b for a, b in w.items() if b != 1}
+    got = {r.k: r.weight for r in stateful.folded_weights(spark.createDataFrame(rows, "k string, o int, d double").repartition(7), "k", "o", "d").collect()}
+    assert got == w
