@@ -157,15 +157,20 @@ def call_files(calls: DataFrame, defs: DataFrame) -> DataFrame:
     return e.unionByName(reverse(e)).distinct()
 
 
-def resolve_calls(uses: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
-    """uses: caller, file, name; defs: sym_id, file, name; imports: file, target, priority. Each use goes to the definitions of its own file,
-    else to those of the first import that has any. Returns caller, callee without self edges."""
+def resolve_calls(uses: DataFrame, defs: DataFrame, imports: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """uses: caller, file, name; defs: sym_id, file, name; imports: file, target, priority; packages: file, package of files that share names. Each
+    use goes to the definitions of its own file, else to those of the first import that has any, else to those of its package.
+    Returns caller, callee without self edges."""
     own = uses.join(defs, ["file", "name"]).select("caller", "name", F.col("sym_id").alias("callee"))
     rest = uses.join(defs.select("file", "name").distinct(), ["file", "name"], "left_anti")
     far = rest.join(imports, "file").join(defs.select(F.col("file").alias("target"), "name", "sym_id"), ["target", "name"])
     first = far.groupBy("caller", "name").agg(F.min("priority").alias("priority"))
     far = far.join(first, ["caller", "name", "priority"]).select("caller", "name", F.col("sym_id").alias("callee"))
-    return own.unionByName(far).where("caller <> callee").select("caller", "callee").distinct()
+    out = own.unionByName(far)
+    if packages is not None:
+        near = rest.join(first.select("caller", "name"), ["caller", "name"], "left_anti").join(packages, "file").join(defs.join(packages, "file").select("package", "name", "sym_id"), ["package", "name"])
+        out = out.unionByName(near.select("caller", "name", F.col("sym_id").alias("callee")))
+    return out.where("caller <> callee").select("caller", "callee").distinct()
 
 
 def routes_into_signatures(sig_index: DataFrame, routes: DataFrame) -> DataFrame:

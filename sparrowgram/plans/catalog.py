@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conventions, evaluate, evidence, graph, retrieval, squeeze, usage, verify
+from ..sources import readers
 from ..streaming import stateful
 from . import corpus, samples
 
@@ -197,6 +198,22 @@ def language_signatures(spark: SparkSession, d: str) -> DataFrame:
     return extract.signatures(spark.createDataFrame([(p, src) for p, (src, _) in samples.SAMPLES.items()], "path string, content string"))
 
 
+@query(f"SELECT * FROM {corpus.values(samples.EDGES)} e(src, dst)")
+def language_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports in eight languages; the SQL has the edges as they must be."""
+    return readers.import_edges(spark.createDataFrame(samples.LINKED, "path string, content string"), "shop")
+
+
+@query(f"SELECT * FROM {corpus.values(samples.CALLS)} c(caller, callee)")
+def package_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls through imports, and within a package of Go or Java."""
+    from ..operators import extract
+
+    f = spark.createDataFrame(samples.LINKED, "path string, content string")
+    defs, uses = extract.call_table(f)
+    return graph.resolve_calls(uses, defs, readers.import_targets(f), readers.packages(f))
+
+
 # graphs
 TRADE_SQL = "edge AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 

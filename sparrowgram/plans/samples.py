@@ -478,3 +478,22 @@ class Purse
     ),
     "Dockerfile": ("FROM shop:1 AS base\nENV MODE=on\nEXPOSE 80 443\nCMD [\"run\"]\n", "FROM shop:1 AS base\nEXPOSE 80 443\nCMD [\"run\"]\nENV MODE"),
 }
+
+#: Files that import each other, and the edges that they have.
+LINKED: list[tuple[str, str]] = [
+    ("tsconfig.json", '{ // aliases\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["web/*"], "store": ["web/store/main"],}}}'),
+    ("web/app.ts", "import {a} from './lib/a'\nimport b from '@/lib/b'\nimport s from 'store'\nimport r from 'react'\nexport * from 'web/lib/c'\nconst d = require('../tools/d')\n"),
+    ("web/lib/a.ts", "import './b'\n"), ("web/lib/b.tsx", ""), ("web/lib/c/index.ts", ""), ("web/store/main.ts", ""), ("tools/d.js", ""),
+    ("py/run.py", "from .deep import x\nfrom pkg.mod import y\nimport os\n"), ("py/deep/__init__.py", "from ..run import z\n"), ("py/pkg/mod.py", ""),
+    ("go/main.go", 'package main\n\nimport (\n\t"fmt"\n\t"example.com/shop/store"\n)\n\nfunc main() {\n\thelp()\n\tOpen()\n}\n'), ("go/util.go", "package main\n\nfunc help() {\n}\n"), ("go/store/open.go", "package store\n\nfunc Open() {\n}\n"),
+    ("rs/main.rs", "mod tree;\npub mod deep;\nuse std::fmt;\n"), ("rs/tree.rs", ""), ("rs/deep/mod.rs", ""),
+    ("jvm/src/shop/Main.java", "package shop;\nimport shop.cart.Cart;\nimport java.util.List;\npublic class Main {\n    public void run() {\n        pay();\n    }\n}\n"), ("jvm/src/shop/Pay.java", "package shop;\nclass Pay {\n    public void pay() {\n    }\n}\n"), ("jvm/src/shop/cart/Cart.kt", "import shop.Main\n"),
+    ("rb/a.rb", "require_relative 'lib/b'\nrequire 'json'\n"), ("rb/lib/b.rb", "require_relative '../a.rb'\n"),
+    ("R/a.R", "source('b.R') # source('c.R')\nx <- shop::total(1)\n"), ("R/b.R", "total <- function(x) x\n"), ("R/c.R", "source(\"R/a.R\")\n"),
+]
+EDGES = [
+    ("web/app.ts", "web/lib/a.ts"), ("web/app.ts", "web/lib/b.tsx"), ("web/app.ts", "web/store/main.ts"), ("web/app.ts", "web/lib/c/index.ts"), ("web/app.ts", "tools/d.js"), ("web/lib/a.ts", "web/lib/b.tsx"),
+    ("py/run.py", "py/deep/__init__.py"), ("py/run.py", "py/pkg/mod.py"), ("py/deep/__init__.py", "py/run.py"), ("go/main.go", "go/store/open.go"), ("rs/main.rs", "rs/tree.rs"), ("rs/main.rs", "rs/deep/mod.rs"),
+    ("jvm/src/shop/Main.java", "jvm/src/shop/cart/Cart.kt"), ("jvm/src/shop/cart/Cart.kt", "jvm/src/shop/Main.java"), ("rb/a.rb", "rb/lib/b.rb"), ("rb/lib/b.rb", "rb/a.rb"), ("R/a.R", "R/b.R"), ("R/c.R", "R/a.R"),
+]
+CALLS = [("go/main.go#main", "go/util.go#help"), ("go/main.go#main", "go/store/open.go#Open"), ("jvm/src/shop/Main.java#run", "jvm/src/shop/Pay.java#pay")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from dataclasses import dataclass, field
 
@@ -44,7 +45,9 @@ class Index:
 
 
 def rows(df: DataFrame, most: int = MOST) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    """The first rows, as an answer is for a reader; where there are more, a last row says how many."""
+    got = [r.asDict(recursive=True) for r in df.limit(most + 1).collect()]
+    return got if len(got) <= most else [*got[:most], {"note": f"the first {most} of {df.count()} rows"}]
 
 
 def ranked(ix: Index, query: str) -> DataFrame:
@@ -60,8 +63,7 @@ def _seed(ix: Index, value: str) -> DataFrame:
 
 def _calls(ix: Index) -> tuple[DataFrame, DataFrame]:
     defs, uses = extract.call_table(ix.files)
-    imports = ix.edges.select(F.col("src").alias("file"), F.col("dst").alias("target"), F.lit(0).alias("priority"))
-    return defs, graph.resolve_calls(uses, defs, imports)
+    return defs, graph.resolve_calls(uses, defs, readers.import_targets(ix.files), readers.packages(ix.files))
 
 
 def read_context(ix: Index, module: str = "") -> list[dict]:
@@ -179,17 +181,48 @@ def squeeze_output(ix: Index, text: str) -> dict:
 TOOLS = {f.__name__: f for f in (read_context, search_signatures, get_map, create_checkpoint, get_routing, explain_file, list_modules, query_context, get_method_impact, get_impact, get_lines, read_memory, get_callee_signatures, notify_file_created, notify_symbol_added, notify_file_deleted, get_diff_context, get_architecture_overview, verify_suggestion, squeeze_output)}
 
 
-def dispatch(ix: Index, request: str) -> str:
-    """One JSON-RPC request line as its response line: unknown methods -32601, failures -32603."""
-    r = json.loads(request)
-    answer = {"jsonrpc": "2.0", "id": r.get("id")}
-    params = r.get("params") or {}
-    if r.get("method") == "tools/list":
-        return json.dumps(answer | {"result": {"tools": [{"name": n} for n in TOOLS]}})
-    tool = TOOLS.get(params.get("name", "")) if r.get("method") == "tools/call" else None
+PROTOCOL = "2024-11-05"
+SAYS = {
+    "read_context": "Signatures of all files, or of those below a module's path.", "search_signatures": "Signatures that hold a text, whatever its case.", "get_map": "Imports, routes, classes, environment names, migrations, cycles and modules.",
+    "create_checkpoint": "Counts of files and signatures, with a note.", "get_routing": "The model tier that work on each file needs.", "explain_file": "Signatures of a file, what it imports and what imports it.", "list_modules": "Modules by tokens.",
+    "query_context": "The files that answer a question best.", "get_method_impact": "What calls a method, directly or through others.", "get_impact": "What depends on a file.", "get_lines": "Lines of a file, secrets left out.", "read_memory": "The latest notes and the session.",
+    "get_callee_signatures": "Signatures of named functions, and the nearest names of unknown ones.", "notify_file_created": "Takes a new file into the index.", "notify_symbol_added": "Takes a new signature into the index.", "notify_file_deleted": "Takes a file out of the index.",
+    "get_diff_context": "Signatures, risks and reach of changed files.", "get_architecture_overview": "Modules, hubs, entry points and cycles.", "verify_suggestion": "Names and files in an answer that aren't there.", "squeeze_output": "A log, stack trace or JSON text made short.",
+}
+KINDS = {"str": {"type": "string"}, "int": {"type": "integer"}, "list[str]": {"type": "array", "items": {"type": "string"}}}
+
+
+def schema(name: str) -> dict:
+    """A tool as tools/list shows it, its arguments read from the function."""
+    args = list(inspect.signature(TOOLS[name]).parameters.values())[1:]
+    return {"name": name, "description": SAYS[name], "inputSchema": {"type": "object", "properties": {a.name: KINDS[a.annotation] for a in args}, "required": [a.name for a in args if a.default is a.empty]}}
+
+
+def dispatch(ix: Index, request: str) -> str | None:
+    """One JSON-RPC request line as its response line: unknown methods and tools -32601, failures -32603. Notifications and what isn't JSON have no
+    response. A tool's answer is a content of one text, which holds JSON."""
+    try:
+        r = json.loads(request)
+    except ValueError:
+        return None
+    if not isinstance(r, dict):
+        return None
+    method, params = r.get("method"), r.get("params") or {}
+    if r.get("id") is None:  # a notification
+        return None
+    answer = {"jsonrpc": "2.0", "id": r["id"]}
+    fail = lambda code, message: json.dumps(answer | {"error": {"code": code, "message": message}})
+    if method == "initialize":
+        return json.dumps(answer | {"result": {"protocolVersion": params.get("protocolVersion") or PROTOCOL, "serverInfo": {"name": "sparrowgram", "version": "1"}, "capabilities": {"tools": {}}}})
+    if method == "tools/list":
+        return json.dumps(answer | {"result": {"tools": [schema(n) for n in TOOLS]}})
+    if method != "tools/call":
+        return fail(-32601, f"Method not found: {method}")
+    tool = TOOLS.get(params.get("name", ""))
     if tool is None:
-        return json.dumps(answer | {"error": {"code": -32601, "message": "unknown method or tool"}})
+        return fail(-32601, f"Unknown tool: {params.get('name')}")
     try:
-        return json.dumps(answer | {"result": tool(ix, **(params.get("arguments") or {}))}, default=str)
+        text = json.dumps(tool(ix, **(params.get("arguments") or {})), default=str, ensure_ascii=False)
+        return json.dumps(answer | {"result": {"content": [{"type": "text", "text": text}]}})
     except Exception as e:  # the answer carries the failure
-        return json.dumps(answer | {"error": {"code": -32603, "message": f"{type(e).__name__}: {e}"}})
+        return fail(-32603, f"Tool error: {type(e).__name__}: {e}")

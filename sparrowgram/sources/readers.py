@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .imports import import_edges, import_targets, packages
+
 SKIPPED = (".git", "__pycache__", "build", "dist", "node_modules", "target", "venv")
 
 
@@ -111,30 +113,6 @@ def manifest(name: str, text: str) -> dict:
     return {}
 
 
-def import_edges(f: DataFrame) -> DataFrame:
-    """src, dst: imports between files (path, content). Every specifier yields candidate paths in order; the first that exists wins, by an
-    equi-join on the path."""
-    js = r"""(?:\bfrom\s+|\bimport\s+|\brequire\(\s*|\bimport\(\s*)['"](\.{1,2}/[^'"]+)['"]"""
-    folder = F.regexp_extract("path", r"^(.*/)?[^/]*\z", 1)
-    raw = f.where(F.col("path").rlike(r"\.([cm]?jsx?|tsx?|vue|svelte)\z")).select("path", folder.alias("folder"), F.explode(F.regexp_extract_all("content", F.lit(js), 1)).alias("spec"))
-    ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js"]
-    joined = F.concat("folder", "spec")
-    cand = raw.select("path", "spec", F.posexplode(F.array(*[F.concat(joined, F.lit(e)) for e in ends])).alias("priority", "c"))
-    py = r"(?m)^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))"
-    p = f.where(F.col("path").endswith(".py")).select("path", folder.alias("folder"), F.explode(F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(py), 1).alias("a"), F.regexp_extract_all("content", F.lit(py), 2).alias("b")), lambda z: F.concat(z["a"], z["b"]))).alias("spec"))
-    dots = F.length(F.regexp_extract("spec", r"^\.*", 0))
-    mod = F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/")
-    up = F.concat("folder", F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
-    p = p.select("path", "spec", F.posexplode(F.array(*[F.concat(F.when(dots > 0, up).otherwise(b), mod, F.lit(e)) for b in (F.lit(""), F.col("folder")) for e in (".py", "/__init__.py")])).alias("priority", "c"))
-    c = cand.unionByName(p)
-    # a/b/../c and ./ are resolved by folding over the parts
-    parts = F.split(F.coalesce("c", F.lit("")), "/")
-    empty = F.expr("CAST(array() AS array<string>)")
-    norm = F.array_join(F.aggregate(parts, empty, lambda s, x: F.when(x.isin(".", ""), s).when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array_append(s, x))), "/")
-    hit = c.withColumn("dst_key", F.lower(norm)).join(f.select(F.lower("path").alias("dst_key"), F.col("path").alias("dst")), "dst_key")
-    return hit.groupBy("path", "spec").agg(F.min_by("dst", "priority").alias("dst")).where("dst <> path").select(F.col("path").alias("src"), "dst").distinct()
-
-
 def ranked_roots(f: DataFrame, most: int = 6) -> DataFrame:
     """folder, score of the likely source roots: top folders by their share of code, known names first, tests and docs last."""
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(".")

@@ -22,7 +22,8 @@ CALLS = {
 @pytest.mark.parametrize("name", CALLS)
 def test_every_tool_answers(ix, name):
     out = json.loads(tools.dispatch(ix, json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": CALLS[name]}})))
-    assert "result" in out, out
+    (content,) = out["result"]["content"]
+    assert content["type"] == "text" and json.loads(content["text"]) is not None
 
 
 def test_answers(ix):
@@ -35,6 +36,20 @@ def test_answers(ix):
     assert json.loads(tools.dispatch(ix, '{"id": 1, "method": "tools/call", "params": {"name": "get_lines", "arguments": {}}}'))["error"]["code"] == -32603
 
 
+def test_protocol(ix, spark):
+    say = lambda **m: tools.dispatch(ix, json.dumps({"jsonrpc": "2.0"} | m))
+    hello = json.loads(say(id=0, method="initialize", params={"protocolVersion": "2025-03-26"}))["result"]
+    assert hello["protocolVersion"] == "2025-03-26" and hello["capabilities"] == {"tools": {}} and hello["serverInfo"]["name"]
+    assert json.loads(say(id=0, method="initialize"))["result"]["protocolVersion"] == "2024-11-05"
+    assert say(method="notifications/initialized") is None and tools.dispatch(ix, "not json") is None and tools.dispatch(ix, "[]") is None
+    listed = {t["name"]: t for t in json.loads(say(id="x", method="tools/list"))["result"]["tools"]}
+    assert set(listed) == set(CALLS) and all(t["description"] and t["inputSchema"]["type"] == "object" for t in listed.values())
+    assert listed["get_lines"]["inputSchema"]["required"] == ["path", "start", "end"] and listed["get_diff_context"]["inputSchema"]["properties"]["paths"]["type"] == "array"
+    assert json.loads(say(id=2, method="tools/call", params={"name": "nope"}))["error"]["code"] == -32601
+    cut = tools.rows(spark.range(500), 200)
+    assert len(cut) == 201 and cut[-1] == {"note": "the first 200 of 500 rows"} and len(tools.rows(spark.range(200), 200)) == 200
+
+
 def test_render(spark, tmp_path):
     p = str(tmp_path / "c.md")
     render.write_after_marker(p, "x")
