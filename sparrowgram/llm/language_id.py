@@ -178,10 +178,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
     schema = pa.schema([("lang", pa.string()), ("piece", pa.bool_()), ("at", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
 
+    def sparse(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(c)
+        return at.astype(np.int16), c[at].astype(np.int32)
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(k, i > 0, c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in enumerate([t, *pieces(t or "")]) if (c := counts(x)) is not None]
-        at = [np.flatnonzero(c).astype(np.int16) for *_, c in rows]
-        return batch(schema, [k for k, *_ in rows], [p for _, p, _ in rows], at, [c[i].astype(np.int32) for (*_, c), i in zip(rows, at, strict=True)])
+        # counts go to their sparse form one by one: a dense row is 64 kB, and a batch may have thousands
+        rows = [(k, i > 0, *sparse(c)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in enumerate([t, *pieces(t or "")]) if (c := counts(x)) is not None]
+        return batch(schema, *(list(x) for x in zip(*rows, strict=True))) if rows else batch(schema, [], [], [], [])
 
     texts = d.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # per_lang ids a language
     # one row of each id, else repeated rows would have no bound; the limit works within each task before the shuffle as well

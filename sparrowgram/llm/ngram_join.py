@@ -153,6 +153,15 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SETS)
 
 
+def distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (u, v) once."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    keep = np.ones(len(u), bool)
+    keep[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[keep], v[keep]
+
+
 def stars(sets: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:
     """u, v: representatives that share a signature, each joined to the least of its signature. sets: doc_id, hashes and, for a level above
     0, cluster: then the sets are scattered anew for that level and only those of one cluster share signatures."""
@@ -166,7 +175,7 @@ def stars(sets: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:
         first = np.concatenate([[True], key[1:] != key[:-1]])
         least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
         k = np.flatnonzero(least != doc)
-        u, v = np.unique(np.stack([least[k], doc[k]]), axis=1) if len(k) else (least[:0], doc[:0])
+        u, v = distinct(least[k], doc[k])
         spread = mix(u.view(U) ^ mix(v.view(U))).view(np.int64)
         none = np.zeros(int(first.sum()), np.int64)
         mask = np.concatenate([np.ones(len(none), bool), np.zeros(len(v), bool)])
@@ -184,7 +193,7 @@ def stars(sets: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:
                 keys.append(s)
                 ids.append(np.full(len(s), doc, np.int64))
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield combined(np.concatenate(keys).view(np.int64), np.concatenate(ids))
                     keys, ids, size = [], [], 0
         if keys:
@@ -204,10 +213,9 @@ def stars(sets: DataFrame, num: int, den: int, level: int = 0) -> DataFrame:
                 last, head = key[-1], int(least[-1])
                 k = np.flatnonzero(least != doc)
                 parts.append(np.stack([least[k], doc[k]]))
-            pairs = np.concatenate(parts, axis=1)
-            if pairs.shape[1]:
-                pairs = np.unique(pairs, axis=1)
-                yield batch(out, pa.array(pairs[0]), pa.array(pairs[1]))
+            u, v = distinct(*np.concatenate(parts, axis=1))
+            if len(u):
+                yield batch(out, pa.array(u), pa.array(v))
 
     rows = sets.select("doc_id", "hashes", *(["cluster"] if level else [])).mapInArrow(make, "key long, u long, v long")
     return rows.repartition("key").sortWithinPartitions("key", "u").mapInArrow(run, "u long, v long")
