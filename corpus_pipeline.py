@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and is written as Parquet before the next reads it.
 All but the last return the columns of documents. sf_dir is only for stages that need further tables; none does.
+
+Defined results: a null text, and one without letters, has no language and goes in the first stage; repeated rows are documents of their own until
+exact dedup keeps one of each text, whatever their ids; ids that differing texts share are told apart by their texts; a null id loses to any other;
+an empty table gives an empty result at each stage; further columns, whatever their names, are kept until packing.
 """
 
 from __future__ import annotations
