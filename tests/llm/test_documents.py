@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparrowgram.llm import chat, components, exact_dedup, html_text, language_id, media, ngram_join, partenum, queries, url_rules
@@ -219,8 +220,6 @@ def test_components(spark):
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_groups(spark, odd, empty, weak):
     """A weak digest puts different texts under one value; groups stay those of equal texts."""
-    from pyspark.sql import functions as F
-
     extra = {"digest": lambda c: F.length(c).cast("string")} if weak else {}
     rows = [(r.doc_id, r.text) for r in odd.collect()] + [(1000 + i, "Hot" if i % 2 else "hOT") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -251,8 +250,6 @@ def test_one_row_of_each_text(spark):
 
 
 def test_exact_hash(spark, odd):
-    from pyspark.sql import functions as F
-
     got = {(r[0], r[1]) for r in exact_dedup.exact_groups(odd).select("doc_id", F.lower(F.hex("digest"))).collect()}
     assert got == {(r.doc_id, hashlib.sha256((r.text or "").encode().lower()).hexdigest()) for r in odd.collect()}
 
@@ -672,3 +669,32 @@ def test_pipeline(spark, tmp_path):
             assert set(now) == {c for _, _, c in brute_similar(kept.items()).values()}
         kept = now
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == out.count()
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, repeated and null ids, clashing columns; then no row at all."""
+    base = "It was the best of times and it was the worst of times, and nobody in the town could say which of the two it was going to be this year"
+    rows = [(200, base, "k", 1), (201, base.upper(), "k", 1), (201, base.upper(), "k", 1), (202, base + " again", "k", 1), (203, None, "k", 1), (203, "The other text of this id stays as long as nobody else in the table has one like it", "k", 1), (None, base, "k", 1), (None, "A text without any id is a document like the others, and so it stays where it is", "k", 1), (204, "Why 204 has this text nobody knows, but it has it all the same", "k", 1), (204, "And this one too, which has nothing in common with the first of the two", "k", 1)]
+    docs = odd.unionByName(spark.createDataFrame(rows, odd.schema)).selectExpr("doc_id", "text", "CASE WHEN crc32(text) % 2 = 0 THEN 'en' ELSE 'xx' END AS lang", "keep_id", "N_TOKENS", "1L AS gone_id", "'s' AS component_id").withColumn("lang", F.lit("en"))
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = stage(spark, docs, "")
+        if k < 3:
+            assert docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        texts = [r.text for r in docs.collect()] if k < 3 else []
+        if k == 0:
+            assert None not in texts and "" not in texts and texts.count(base) == 2 and texts.count(base.upper()) == 2
+        elif k == 1:
+            low = [t.encode().lower() for t in texts]
+            assert len(low) == len(set(low)) == len({r.text.encode().lower() for r in before.collect()})
+        elif k == 2:
+            assert sum(t.lower().startswith(base.lower()) for t in texts) == 1
+            assert sum("204" in t or "first of the two" in t for t in texts) == 2 and sum("without any id" in t or "other text of this id" in t for t in texts) == 2
+        else:
+            assert docs.select("doc_id", "piece").where("piece = 0").count() == before.count()
+    nothing = odd.limit(0).withColumn("lang", F.lit("en"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, "").count() == 0
