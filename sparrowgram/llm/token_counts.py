@@ -39,7 +39,9 @@ from .merge_pairs import Neighbours
 
 END = "</w>"
 MEMO = 500_000
-#: Longer pieces are counted by themselves.
+#: Signs at a word's beginning whose rows are kept.
+HEAD = 6
+#: Longer stretches of odd signs go by clusters.
 SHARED = 64
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
@@ -55,12 +57,19 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def reach(tokens: set[str]) -> dict[str, tuple[int, ...]]:
-    """By the two signs that tokens end in: their lengths, the longest first, and 1."""
-    out: dict[str, set[int]] = {}
+def reach(tokens: set[str]) -> tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]:
+    """By the three, and by the two signs that a text ends in: the lengths of tokens that end so, the longest first, and 1."""
+    three: dict[str, set[int]] = {}
+    two: dict[str, tuple[int, ...]] = {}
     for t in tokens:
-        out.setdefault(t[-2:], {1}).add(len(t))
-    return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
+        if len(t) > 2:
+            three.setdefault(t[-3:], {1}).add(len(t))
+        elif len(t) == 2:
+            two[t] = (2, 1)
+    for k, v in three.items():
+        if k[1:] in two:
+            v.add(2)
+    return {k: tuple(sorted(v, reverse=True)) for k, v in three.items()}, two
 
 
 ONE = (1,)
@@ -77,119 +86,110 @@ class PrefixTable:
         self.rank: dict[tuple[str, str], int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
         self.inner: set[str] = set()
-        self.final: set[str] = set()
+        self.final: dict[str, str] = {}
         for i, m in enumerate(model["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[(a, b)] = i
             t = a + b
             self.parts.setdefault(t, (a, b))
-            self.final.add(t[: -len(END)]) if t.endswith(END) else self.inner.add(t)
-        self.inner_reach, self.final_reach = reach(self.inner), reach(self.final)
-        self.longest = max(map(len, self.inner | self.final), default=1)
+            if t.endswith(END):
+                self.final[t[: -len(END)]] = t
+            else:
+                self.inner.add(t)
+        self.inner_reach, self.final_reach = reach(self.inner), reach(set(self.final))
+        self.longest = max(map(len, self.inner | set(self.final)), default=1)
         self.signs = byte_signs()
-        self.apart = Neighbours(lambda a, b: self.rank.get((a, b)), self.parts.get).apart
+        neighbours = Neighbours(lambda a, b: self.rank.get((a, b)), self.parts.get)
+        self.apart, self.known = neighbours.apart, neighbours.known
         self.pieces = regex.compile(WORDS)
         self.ascii_pieces = re.compile(ASCII_WORDS, re.ASCII)
         # all signs of a text: pieces and the white space between
         self.all = regex.compile(rf"\s+|{WORDS}")
         self.ascii_all = re.compile(rf"\s+|{ASCII_WORDS}", re.ASCII)
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
-        self.rows: dict[str, tuple[str, int, int]] = {}
+        self.rows: dict[str, tuple[list[str], list[int], list[int]]] = {}
         self.memo: Memo = Memo(self)
         self.steps: Steps = Steps(self)
 
-    def chain(self, s: str) -> tuple[list[str], list[int]]:
-        """Of each prefix of s, as the beginning of a longer word: its last token and its number of tokens."""
-        inner, apart, reach = self.inner, self.apart, self.inner_reach
-        last, count = [""], [0]
-        for i in range(1, len(s) + 1):
-            for m in reach.get(s[i - 2 : i], ONE) if i > 1 else ONE:
-                if m > i:
-                    continue
-                t = s[i - m : i]
-                if (m == 1 or t in inner) and (m == i or apart(last[i - m], t)):
-                    last.append(t)
-                    count.append(count[i - m] + 1)
-                    break
+    def chain(self, s: str, ends: list[int] | None = None, begun: tuple | None = None) -> tuple[list[str], list[int]]:
+        """Of each prefix of s, as the beginning of a longer word: its last token and its number of tokens; into ends the number of tokens of each
+        as a word. begun: the three of a prefix that is known."""
+        inner, final, apart, known, three, two = self.inner, self.final, self.apart, self.known, *self.inner_reach
+        final_three, final_two = self.final_reach
+        last, count = (["", *begun[0]], [0, *begun[1]]) if begun else ([""], [0])
+        if begun and ends is not None:
+            ends += begun[2]
+        for i in range(len(last), len(s) + 1):
+            back = s[i - 3 : i] if i > 2 else ""
+            near = s[i - 2 : i] if i > 1 else ""
+            for m in three.get(back) or two.get(near, ONE):
+                if m <= i:
+                    t = s[i - m : i]
+                    if m == 1 or t in inner:
+                        if m == i:
+                            break
+                        pair = (last[i - m], t)
+                        ok = known.get(pair)
+                        if apart(*pair) if ok is None else ok:
+                            break
+            last.append(t)
+            count.append(count[i - m] + 1)
+            if ends is not None:
+                for m in final_three.get(back) or final_two.get(near, ONE):
+                    if m <= i:
+                        t = s[i - m : i]
+                        word = final.get(t) if m > 1 else t + END
+                        if word is not None:
+                            if m == i:
+                                break
+                            pair = (last[i - m], word)
+                            ok = known.get(pair)
+                            if apart(*pair) if ok is None else ok:
+                                break
+                ends.append(count[i - m] + 1)
         return last, count
 
     def ended(self, s: str, i: int, last: list[str], count: list[int]) -> int:
         """Tokens of the word s[:i]; last and count reach to i - 1 at least."""
-        final, apart = self.final, self.apart
-        for m in self.final_reach.get(s[i - 2 : i], ONE) if i > 1 else ONE:
+        three, two = self.final_reach
+        for m in (three.get(s[i - 3 : i]) if i > 2 else None) or (two.get(s[i - 2 : i], ONE) if i > 1 else ONE):
             if m > i:
                 continue
             t = s[i - m : i]
-            if (m == 1 or t in final) and (m == i or apart(last[i - m], t + END)):
+            word = self.final.get(t) if m > 1 else t + END
+            if word is not None and (m == i or self.apart(last[i - m], word)):
                 return count[i - m] + 1
         raise ValueError(s)
 
-    def sign_string(self, piece: str) -> str:
-        return "".join(map(self.signs.__getitem__, piece.encode()))
+    def word_counts(self, s: str) -> list[int]:
+        """Tokens of the words s[:1], s[:2] and so on to s. Words that begin alike share the rows of their first signs."""
+        head = s[:HEAD]
+        begun = self.rows.get(head)
+        if begun is None:
+            ends: list[int] = []
+            last, count = self.chain(head, ends)
+            if len(self.rows) > MEMO:
+                self.rows.clear()
+            begun = self.rows[head] = (last[1:], count[1:], ends)
+        if len(s) <= HEAD:
+            return begun[2]
+        ends = []
+        self.chain(s, ends, begun)
+        return ends
 
     def prefixes(self, piece: str) -> list[int]:
         """Of one piece: [tokens of the word piece[:i] for i in 1..len]."""
-        if len(piece) <= SHARED:
-            if piece.isascii():
-                self.row(piece)
-                rows = self.rows
-                return [rows[piece[:i]][2] for i in range(1, len(piece) + 1)]
-            s = self.sign_string(piece)
-            self.row(s)
-            return [self.rows[s[:i]][2] for i in accumulate(len(c.encode()) for c in piece)]
-        s = self.sign_string(piece)
-        last, count = self.chain(s)
-        return [self.ended(s, i, last, count) for i in accumulate(len(c.encode()) for c in piece)]
-
-    def row(self, s: str) -> tuple[str, int, int]:
-        """Of s: the last token and the number of tokens as the beginning of a longer word, and the number of tokens as a word. Words that
-        begin alike share the rows of their prefixes, and with a row those of all its prefixes are kept."""
-        rows = self.rows
-        got = rows.get(s)
-        if got is not None:
-            return got
-        if len(rows) > MEMO:
-            rows.clear()
-        k = len(s) - 1
-        while k and s[:k] not in rows:
-            k -= 1
-        inner, final, apart, inner_reach, final_reach = self.inner, self.final, self.apart, self.inner_reach, self.final_reach
-        for i in range(k + 1, len(s) + 1):
-            ending = s[i - 2 : i] if i > 1 else s[:1]
-            for m in inner_reach.get(ending, ONE):
-                if m > i:
-                    continue
-                last = s[i - m : i]
-                if m == 1 or last in inner:
-                    if m == i:
-                        n = 1
-                        break
-                    before = rows[s[: i - m]]
-                    if apart(before[0], last):
-                        n = before[1] + 1
-                        break
-            for m in final_reach.get(ending, ONE):
-                if m > i:
-                    continue
-                t = s[i - m : i]
-                if m == 1 or t in final:
-                    if m == i:
-                        e = 1
-                        break
-                    before = rows[s[: i - m]]
-                    if apart(before[0], t + END):
-                        e = before[1] + 1
-                        break
-            rows[s[:i]] = got = (last, n, e)
-        return got
+        if piece.isascii():
+            return self.word_counts(piece)
+        ends = self.word_counts(self.sign_string(piece))
+        return [ends[i - 1] for i in accumulate(len(c.encode()) for c in piece)]
 
     def piece_count(self, piece: str) -> int:
         s = piece if piece.isascii() else self.sign_string(piece)
-        if s in self.final or len(s) == 1:
-            return 1
-        if len(s) > SHARED:
-            return self.ended(s, len(s), *self.chain(s[:-1]))
-        return self.row(s)[2]
+        return 1 if s in self.final or len(s) == 1 else self.word_counts(s)[-1]
+
+    def sign_string(self, piece: str) -> str:
+        return "".join(map(self.signs.__getitem__, piece.encode()))
 
     def whole(self, stretch: str) -> int:
         """Tokens of a text by its pieces; any text, special strings included."""
@@ -215,15 +215,14 @@ class PrefixTable:
             row = [self.whole(piece[:i]) for i in range(1, len(piece))] + row[-1:]
         return [b - a for a, b in zip([0, *row], row)]
 
-    def plain_steps(self, text: str) -> bytes | np.ndarray:
+    def plain_steps(self, text: str) -> np.ndarray:
         """Of a text that lower-casing and NFC leave sign for sign: the step of each sign."""
         low = text.lower()
-        found = self.ascii_all.findall(low) if low.isascii() else self.all.findall(low)
+        found = (self.ascii_all if low.isascii() else self.all).findall(low)
         try:
-            steps = b"".join(map(self.steps.__getitem__, found))
+            return np.frombuffer(b"".join(map(self.steps.__getitem__, found)), np.int8)
         except OverflowError:  # a step that no byte holds
-            steps = np.array([x for f in found for x in self.piece_steps(f)], np.int64)
-        return steps
+            return np.array([x for f in found for x in self.piece_steps(f)], np.int64)
 
     def odd_steps(self, segment: str) -> np.ndarray:
         """Of a text that nothing before or after can reach, with signs that normalising joins or adds. A prefix that ends before a sign that
@@ -266,45 +265,34 @@ class PrefixTable:
         base = max(0, q - self.longest)
         near = s[base:q] + more
         last, count = last[base : q + 1], count[base : q + 1]
-        for i in range(q + 1 - base, len(near) + 1):
-            if i == len(near):
-                break
-            for m in self.inner_reach.get(near[i - 2 : i], ONE) if i > 1 else ONE:
+        lengths = lambda reach, i: (reach[0].get(near[i - 3 : i]) if i > 2 else None) or (reach[1].get(near[i - 2 : i], ONE) if i > 1 else ONE)
+        for i in range(q + 1 - base, len(near)):
+            for m in lengths(self.inner_reach, i):
                 t = near[i - m : i]
                 if m <= i and (m == 1 or t in self.inner) and (m == i and not base or self.apart(last[i - m], t)):
                     last.append(t)
                     count.append(count[i - m] + 1)
                     break
         i = len(near)
-        for m in self.final_reach.get(near[i - 2 : i], ONE) if i > 1 else ONE:
+        for m in lengths(self.final_reach, i):
             t = near[i - m : i]
-            if m <= i and (m == 1 or t in self.final) and (m == i and not base or self.apart(last[i - m], t + END)):
+            word = self.final.get(t) if m > 1 else t + END
+            if m <= i and word is not None and (m == i and not base or self.apart(last[i - m], word)):
                 return count[i - m] + 1
         raise ValueError(near)
 
     def part_steps(self, part: str) -> np.ndarray:
         """Of a text without special strings: the step of each sign."""
-        out = np.zeros(len(part), np.int64)
         if part.isascii():
-            got = self.plain_steps(part)
-        else:
-            part = part.replace("Σ", "σ")  # as the library does, wherever it stands
-            if unicodedata.is_normalized("NFC", part) and len(part.lower()) == len(part):
-                got = self.plain_steps(part)
-            else:
-                at = 0
-                for segment in self.segments(part):
-                    end = at + len(segment)
-                    if segment.isascii() or unicodedata.is_normalized("NFC", segment) and len(segment.lower()) == len(segment):
-                        got = self.plain_steps(segment)
-                        got = np.frombuffer(got, np.int8) if isinstance(got, bytes) else got
-                        out[at:end] = got
-                    else:
-                        out[at:end] = self.odd_steps(segment)
-                    at = end
-                return out
-        out[:] = np.frombuffer(got, np.int8) if isinstance(got, bytes) else got
-        return out
+            return self.plain_steps(part)
+        part = part.replace("Σ", "σ")  # as the library does, wherever it stands
+        if unicodedata.is_normalized("NFC", part) and len(part.lower()) == len(part):
+            return self.plain_steps(part)
+        out = []
+        for segment in self.segments(part):
+            even = segment.isascii() or unicodedata.is_normalized("NFC", segment) and len(segment.lower()) == len(segment)
+            out.append(self.plain_steps(segment) if even else self.odd_steps(segment))
+        return np.concatenate(out)
 
     def segments(self, text: str) -> list[str]:
         """A text cut where pieces part for good: at white space, and between plain signs of two pieces."""
@@ -391,7 +379,11 @@ class Steps(dict):
 
 @lru_cache(maxsize=4)
 def prefix_table(path: str) -> PrefixTable:
-    return PrefixTable(path)
+    import gc
+
+    table = PrefixTable(path)
+    gc.freeze()  # the vocabulary stays: no need to walk it again and again
+    return table
 
 
 class Prefixes:
