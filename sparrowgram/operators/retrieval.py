@@ -93,6 +93,13 @@ def bm25(docs: DataFrame, doc_key: str, text: Column, queries: DataFrame, query_
     return s.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 
 
+def without_words(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, doc_key: str, size: Column, k: int) -> DataFrame:
+    """query_key, doc_key, score for queries that have no word to look for: the k documents with the largest size, ties by key; size is the score."""
+    empty = queries.where(F.size(T.ranker_tokens(query_text)) == 0).select(query_key)
+    best = docs.select(doc_key, size.cast("double").alias("score")).orderBy(F.col("score").desc(), doc_key).limit(k)
+    return empty.join(F.broadcast(best)).select(query_key, doc_key, "score")  # k rows
+
+
 def top_k(scores: DataFrame, query_key: str, doc_key: str, k: int, score: str = "score", digits: int = 6) -> DataFrame:
     """The k best of each query with their rank; ties by document."""
     w = Window.partitionBy(query_key).orderBy(F.round(F.col(score), digits).desc(), doc_key)

@@ -97,7 +97,11 @@ def list_modules(ix: Index) -> list[dict]:
 
 
 def query_context(ix: Index, query: str, topK: int = 10) -> list[dict]:  # noqa: N803
-    return rows(ranked(ix, query).orderBy(F.col("score").desc(), "path"), max(1, min(25, int(topK) or 10)))
+    k = max(1, min(25, int(topK) or 10))
+    q = ix.spark.createDataFrame([(0, query)], "q long, query string")
+    if q.where(F.size(T.ranker_tokens(F.col("query"))) > 0).isEmpty():
+        return rows(retrieval.without_words(q, "q", F.col("query"), ix.index, "path", F.size("sigs"), k).orderBy(F.col("score").desc(), "path"), k)
+    return rows(ranked(ix, query).orderBy(F.col("score").desc(), "path").limit(k), k)
 
 
 def get_method_impact(ix: Index, symbol: str, depth: int = 0) -> dict:
