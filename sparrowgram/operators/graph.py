@@ -67,7 +67,7 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFram
     return all_.withColumn("score", score).withColumn("tier", T.blast_tier(score))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, every: int = 2) -> DataFrame:
     """node, rank divided by the largest; the rank of nodes without edges out goes to all alike. Nodes are numbered. As ranks sum up to 1, what nodes
     without edges out lose is 1 less all that flows: one aggregate of the flow, whose exchange is used again. Every few rounds the ranks
     are written."""
