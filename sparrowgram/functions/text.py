@@ -16,8 +16,17 @@ SUFFIXES = "able|al|ation|ations|ed|edly|er|ers|ible|ing|ise|ity|ive|ize|ment|ne
 CAMEL = [("([a-z])([A-Z])", "$1 $2"), ("([A-Z]+)([A-Z][a-z])", "$1 $2")]
 
 
+#: Java's own word bound knows letters beyond ASCII: it sees none in "testä".
+BOUND = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern for Java, with word bounds at ASCII words only, as SQL and JavaScript have them."""
+    return pattern.replace(r"\b", BOUND)
+
+
 def replaced(c: Column, *steps: tuple[str, str]) -> Column:
-    return reduce(lambda x, s: F.regexp_replace(x, F.lit(s[0]), F.lit(s[1])), steps, c)
+    return reduce(lambda x, s: F.regexp_replace(x, F.lit(java(s[0])), F.lit(s[1])), steps, c)
 
 
 def words(c: Column, stop: list[str], least: int) -> Column:
@@ -73,7 +82,9 @@ def first_label(c: Column, rules: list[tuple[str, str]], default) -> Column:
 
 
 def intent(query: Column) -> Column:
-    return F.coalesce(first_label(F.lower(query), INTENTS, "search"), F.lit("search"))
+    # a dotted capital I becomes one sign, as in SQL; the other signs beyond ASCII bound words: one pass is cheaper than seven patterns that look around
+    plain = F.regexp_replace(F.lower(F.translate(query, "\u0130", "i")), r"[^\x00-\x7F]", "\x01")
+    return F.coalesce(first_label(plain, INTENTS, "search"), F.lit("search"))
 
 
 PENALTIES = [
@@ -156,7 +167,7 @@ def restyled(name: Column, style: str) -> Column:
 
 def export_style(src: Column) -> Column:
     named = r"\bexport\s+(async\s+function|class|const|enum|function|interface|let|type|var)\b|\bexport\s+\{|\bmodule\.exports\s*=\s*\{|\bexports\.[A-Za-z_$]"
-    return F.when(src.rlike(r"\bexport\s+default\b"), "default").when(src.rlike(r"\bmodule\.exports\s*=\s*\{"), "named").when(src.rlike(r"\bmodule\.exports\s*=\s*(class|function|[A-Za-z_$])"), "default").when(src.rlike(named), "named").otherwise("other")
+    return F.when(src.rlike(java(r"\bexport\s+default\b")), "default").when(src.rlike(java(r"\bmodule\.exports\s*=\s*\{")), "named").when(src.rlike(java(r"\bmodule\.exports\s*=\s*(class|function|[A-Za-z_$])")), "default").when(src.rlike(java(named)), "named").otherwise("other")
 
 
 def _whole(names: str) -> str:
@@ -232,7 +243,7 @@ SECRETS = [
 
 
 def secret_name(sig: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
-    return first_label(sig, [*SECRETS, *extra], None)
+    return first_label(sig, [(k, java(p)) for k, p in (*SECRETS, *extra)], None)
 
 
 def redacted(sig: Column) -> Column:
@@ -274,7 +285,7 @@ def capped(items: Column, most: int, label: str) -> Column:
 
 def defined_symbol(sig: Column) -> Column:
     """The name that a signature defines: after a keyword, before a call, or its first word."""
-    keyword = F.regexp_extract(sig, r"\b(?:class|const|def|enum|fn|fun|func|function|interface|let|object|struct|trait|type|var)\s+([A-Za-z_$][\w$]*)", 1)
+    keyword = F.regexp_extract(sig, java(r"\b(?:class|const|def|enum|fn|fun|func|function|interface|let|object|struct|trait|type|var)\s+([A-Za-z_$][\w$]*)"), 1)
     call = F.regexp_extract(sig, r"([A-Za-z_$][\w$]*)\s*\(", 1)
     first = F.regexp_extract(sig, r"[A-Za-z_$][\w$]*", 0)
     return F.coalesce(F.nullif(keyword, F.lit("")), F.nullif(call, F.lit("")), F.nullif(first, F.lit("")))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SPOT, HMS, YMD = r"(?::\d+){2}", r"\d{1,2}(?::\d\d){2}", r"\d{4}(?:-\d\d){2}"
 AT, FRACTION = r"^\s*at\s+", r"(?:[,.]\d+)?"
 FRAMES = [
@@ -35,10 +37,10 @@ def classified(docs: DataFrame, key: str, text: Column) -> DataFrame:
     whole = F.coalesce(text, F.lit(""))
     d = docs.select(key, whole.alias("t"), F.split(whole, "\n").alias("ls"))
     frames = F.size(F.filter("ls", lambda x: x.rlike("|".join(f"(?:{p})" for p in FRAMES))))
-    header = F.col("t").rlike(HEADERS)
+    header = F.col("t").rlike(T.java(HEADERS))
     norm = F.filter(F.transform("ls", lambda x: F.trim(F.regexp_replace(x, r"\d+", "#"))), lambda x: x != "")
     n = F.size("ls")
-    logish = F.size(F.filter("ls", lambda x: x.rlike(f"{CLOCK}|{PROGRESS}"))) / n
+    logish = F.size(F.filter("ls", lambda x: x.rlike(T.java(f"{CLOCK}|{PROGRESS}")))) / n
     repeats = (F.size(norm) - F.size(F.array_distinct(norm))) / n
     trimmed = F.trim(F.col("t"))
     parsed = trimmed.rlike(r"\A[\[{]") & F.expr("try_parse_json(trim(t)) IS NOT NULL")
@@ -58,7 +60,7 @@ def error_context(docs: DataFrame, key: str, text: Column, around: int = 2, patt
     """key, pos (from 0), line of the lines within `around` of an error, clock prefixes removed. The array of lines is the state, so a long
     log needs no window."""
     d = docs.select(key, F.split(F.coalesce(text, F.lit("")), "\n").alias("ls"))
-    e = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(pattern), i)), lambda x: x.isNotNull())
+    e = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(T.java(pattern)), i)), lambda x: x.isNotNull())
     near = F.array_distinct(F.flatten(F.transform(e, lambda i: F.sequence(F.greatest(F.lit(0), i - around), F.least(F.size("ls") - 1, i + around)))))
     return d.select(key, "ls", F.explode(near).alias("pos")).select(key, "pos", F.regexp_replace(F.element_at("ls", F.col("pos") + 1), CLOCK_PREFIX, "").alias("line"))
 

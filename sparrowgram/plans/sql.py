@@ -21,13 +21,13 @@ def quoted(s: str) -> str:
 def cases(value: str, rules: list[tuple], default: str) -> str:
     """The first rule (label, pattern) that matches."""
     label = lambda k: quoted(k) if isinstance(k, str) else f"{k}D"
-    return "CASE " + " ".join(f"WHEN {value} RLIKE {quoted(p)} THEN {label(k)}" for k, p in rules) + f" ELSE {default} END"
+    return "CASE " + " ".join(f"WHEN {value} RLIKE {quoted(T.java(p))} THEN {label(k)}" for k, p in rules) + f" ELSE {default} END"
 
 
 FUNCTIONS = {
     "path_penalty": ("path STRING", "DOUBLE", cases("lower(coalesce(path, ''))", T.PENALTIES, "1.0D")),
     "risk_label": ("path STRING", "STRING", cases("coalesce(path, '')", T.RISKS, "'source'")),
-    "query_intent": ("query STRING", "STRING", cases("lower(coalesce(query, ''))", T.INTENTS, "'search'")),
+    "query_intent": ("query STRING", "STRING", cases("lower(translate(coalesce(query, ''), '\u0130', 'i'))", T.INTENTS, "'search'")),
     "secret_name": ("sig STRING", "STRING", cases("sig", T.SECRETS, "NULL")),
     "token_estimate": ("words STRING", "BIGINT", "CAST(ceil(length(coalesce(words, '')) / 4) AS BIGINT)"),
 }

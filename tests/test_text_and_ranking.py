@@ -36,6 +36,23 @@ def test_labels(spark):
     assert one(spark, T.capped(F.col("t"), 2, "names"), t=["a", "b", "c"]) == ["a", "b", "… +1 more names"]
 
 
+def test_word_bounds_are_those_of_ascii(spark):
+    import duckdb
+
+    from sparrowgram.plans import catalog
+
+    texts = ["testä eins", "ein äfix", "ütest", "bug", "debug", "Üöung der testß", "\u0130mport", "ein fix_it", "(fix)", "wire\u0301", "", None]
+    conversations = spark.createDataFrame([("user", t, i) for i, t in enumerate(texts)], "role string, text string, i int")
+    got = {r.i: r.x for r in conversations.select("i", T.intent(F.col("text")).alias("x")).collect()}
+    con = duckdb.connect()
+    con.execute("create table conversations (role varchar, text varchar)")
+    for i, t in enumerate(texts):
+        con.execute("delete from conversations")
+        con.execute("insert into conversations values ('user', ?)", [t])
+        assert got[i] == con.execute(catalog.ORACLE_SQL["intent_classify"]).fetchall()[0][1], t
+    assert one(spark, T.intent(F.col("t")), t="testä eins") == "test" and one(spark, T.intent(F.col("t")), t="debug") == "search"
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("lib/parser.py", "def parse(text)"), ("lib/lexer.py", "def token(stream) def peek(stream)"), ("lib/io.py", "def read(path)")], "path string, sigs string")
     q = spark.createDataFrame([(1, "parse token")], "q int, text string")
