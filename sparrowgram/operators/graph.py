@@ -67,28 +67,45 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFram
     return all_.withColumn("score", score).withColumn("tier", T.blast_tier(score))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, every: int = 2) -> DataFrame:
-    """node, rank divided by the largest; the rank of nodes without edges out goes to all alike. Nodes are numbered. As ranks sum up to 1, what nodes
-    without edges out lose is 1 less all that flows: one aggregate of the flow, whose exchange is used again. Every few rounds the ranks
-    are written."""
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """node, rank divided by the largest; the rank of nodes without edges out goes to all alike. As ranks sum up to 1, what each node gets as
+    its base is 1 less all that flows, shared by all.
+
+    Only nodes with edges in and out, the core, need rounds: what no edge leads to has the base as its rank, and what no edge leaves gives
+    nothing on, so that its rank is reckoned once, at the end. The driver keeps two numbers a round; a round's plan is one join of the core's
+    links with its ranks, and without a core no round touches a table."""
     e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    names = cut(nodes_of(e, nodes).select("node", F.monotonically_increasing_id().alias("id")))
-    count = names.count()
-    if not count:
-        return names.select("node", F.lit(0.0).alias("rank"))
-    a, b = names.select(F.col("node").alias("src"), F.col("id").alias("s")), names.select(F.col("node").alias("dst"), F.col("id").alias("d"))
-    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(e.join(out, "src").join(a, "src").join(b, "dst").select("s", "d", (F.lit(damping) / F.col("out")).alias("part")))
-    n = names.select("id")
-    r = n.withColumn("rank", F.lit(1.0 / count))
+    ends = [e.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")).select(F.col("src").alias("node"), F.lit(0).alias("i"), "n_out"), e.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).cast("long").alias("n_out"))]
+    if nodes is not None:
+        ends.append(nodes.select("node", F.lit(0).alias("i"), F.lit(0).cast("long").alias("n_out")))
+    n = cut(reduce(DataFrame.union, ends).groupBy("node").agg(F.max("i").alias("i"), F.max("n_out").alias("n_out")))
+    count, n_givers, n_core = n.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n_out") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum(((F.col("n_out") > 0) & (F.col("i") > 0)).cast("long")), F.lit(0))).first()
+    if not count or not rounds:
+        return n.select("node", F.lit(1.0).alias("rank"))
+    links = e.join(n.where("n_out > 0").select(F.col("node").alias("src"), "i", (F.lit(damping) / F.col("n_out")).alias("part")), "src")
+    # what a base of 1 at all nodes that no edge leads to sends on
+    steady = links.where("i = 0").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("steady"))
+    if n_core:
+        core = cut(n.where("n_out > 0 AND i > 0").select("node", F.monotonically_increasing_id().alias("id")).join(steady, "node", "left").select("node", "id", F.coalesce("steady", F.lit(0.0)).alias("steady")))
+        out = links.where("i > 0").join(core.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").select("s", "dst", "part")
+        inner = cut(out.join(core.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst").select("s", "d", "part"))
+        r = core.select("id", F.lit(1.0 / count).alias("rank"))
+    first = last = 1.0 / count  # of the nodes that no edge leads to
+    held = n_core / count
     for k in range(rounds):
-        flow = links.join(r, links["s"] == r["id"]).groupBy("d").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
-        base = flow.agg(((1 - F.coalesce(F.sum("flow"), F.lit(0.0))) / count).alias("base"))
-        last, r = r, n.join(flow, n["id"] == flow["d"], "left").join(F.broadcast(base)).select("id", (F.coalesce("flow", F.lit(0.0)) + F.col("base")).alias("rank"))
-        if k % every == every - 1:
-            r = cut(r)
-    top = r.agg(F.max("rank").alias("top"))
-    return r.join(names, "id").join(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("rank"))
+        last, first = first, (1 - damping * ((n_givers - n_core) * first + held)) / count
+        if n_core and k < rounds - 1:
+            flow = inner.join(r, inner["s"] == r["id"]).groupBy("d").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
+            r, old = cut(core.join(flow, core["id"] == flow["d"], "left").select("id", (F.lit(first) + F.lit(last) * F.col("steady") + F.coalesce("flow", F.lit(0.0))).alias("rank"))), r
+            spent(old)
+            held = r.agg(F.sum("rank")).first()[0]
+    got = n.select("node").join(steady, "node", "left").select("node", (F.lit(first) + F.lit(last) * F.coalesce("steady", F.lit(0.0))).alias("rank"))
+    if n_core:
+        moving = out.join(r, out["s"] == r["id"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
+        got = got.join(moving, "node", "left").select("node", (F.col("rank") + F.coalesce("flow", F.lit(0.0))).alias("rank"))
+    got = cut(got)
+    top = got.agg(F.max("rank").alias("top")).first().top
+    return got.select("node", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:

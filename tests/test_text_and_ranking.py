@@ -74,6 +74,34 @@ def test_pagerank(spark):
     assert {r.node: round(r.rank, 6) for r in graph.pagerank(e).collect()} == {"a": 0.370375, "b": 1.0, "c": 0.370375}
 
 
+def test_pagerank_like_brute_force(spark, monkeypatch):
+    import random
+
+    def brute(edges, extra, damping=0.85):
+        ns, out = {x for e in edges for x in e} | set(extra), {}
+        for a, b in edges:
+            out.setdefault(a, []).append(b)
+        r = {x: 1 / len(ns) for x in ns}
+        for _ in range(20):
+            lost, got = sum(r[x] for x in ns if x not in out), dict.fromkeys(ns, 0.0)
+            for a, bs in out.items():
+                for b in bs:
+                    got[b] += r[a] / len(bs)
+            r = {x: (1 - damping) / len(ns) + damping * (got[x] + lost / len(ns)) for x in ns}
+        return {x: round(v / max(r.values()), 9) for x, v in r.items()}
+
+    rnd = random.Random(3)
+    mixed = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(60)}
+    e = spark.createDataFrame([*mixed, *list(mixed)[:5], (None, "n1")], "src string, dst string")
+    assert {r.node: round(r.rank, 9) for r in graph.pagerank(e, spark.createDataFrame([("far",), ("n1",)], "node string")).collect()} == brute(mixed, ["far"])
+    # where no node has edges in and out, no round writes a table: the driver's plans don't grow with the rounds
+    cut, written = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    two = {(f"c{rnd.randrange(20)}", f"s{rnd.randrange(5)}") for _ in range(60)}
+    assert {r.node: round(r.rank, 9) for r in graph.pagerank(spark.createDataFrame(list(two), "src string, dst string")).collect()} == brute(two, [])
+    assert len(written) <= 4
+
+
 def test_impact_and_cycles(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("e", "e")], "src string, dst string")
     seed = spark.createDataFrame([("a",)], "seed string")
