@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.durable import cut
+from . import counted
 
-#: Beginnings of query terms that are looked for in the words before these are stemmed; with more, every word is stemmed.
-MOST_BEGINNINGS = 20_000
+#: Query terms that tasks look for themselves; with more, all postings are joined with them.
+MOST_TERMS = 20_000
 K1, B, PATH_WEIGHT, SYNONYM = 1.5, 0.75, 3, 0.15
 GROUPS = [
     "auth authenticate authentication credential login signin", "access authorization authorize permission", "config configuration options settings",
@@ -21,51 +22,20 @@ GROUPS = [
 ]
 
 
-def document_words(docs: DataFrame, key: str, text: Column, path: Column | None = None) -> DataFrame:
-    """key, words. Those of a path come PATH_WEIGHT times."""
-    ws = T.index_words(text)
-    if path is not None:
-        ws = F.concat(ws, F.flatten(F.array_repeat(T.index_words(path), PATH_WEIGHT)))
-    return docs.select(key, ws.alias("words"))
-
-
 def postings(docs: DataFrame, key: str, text: Column, path: Column | None = None) -> DataFrame:
-    """key, token, tf, doc_len. Tokens of a path count PATH_WEIGHT times. Equal words are counted before they are stemmed."""
-    d = document_words(docs, key, text, path).select(key, F.size("words").alias("doc_len"), F.explode("words").alias("word"))
-    d = d.groupBy(key, "word", "doc_len").agg(F.count(F.lit(1)).alias("n"))
-    return d.groupBy(key, T.stem(F.col("word")).alias("token"), "doc_len").agg(F.sum("n").alias("tf"))
-
-
-def beginning(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
-
-
-def asked_for(terms: DataFrame) -> Column | None:
-    """A condition that every word meets whose stem is one of the terms (token): a stem of n signs begins, but for its last sign, as the word
-    does, and one of 2 signs is the word. None where there are too many terms to list."""
-    begin = F.when(F.length("token") < 3, F.col("token")).otherwise(F.substr(F.col("token"), F.lit(1), F.least(F.length("token") - 1, F.lit(5))))
-    found = [r.b for r in terms.select(begin.alias("b")).distinct().limit(MOST_BEGINNINGS + 1).collect()]
-    if len(found) > MOST_BEGINNINGS:
-        return None
-    tests = [beginning(F.col("word"), n).isin([b for b in found if len(b) == n]) for n in sorted({len(b) for b in found})]
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    """key, token, tf, doc_len. Tokens of a path count PATH_WEIGHT times."""
+    return counted.postings(docs, key, text, path, PATH_WEIGHT).select(key, "token", "tf", "doc_len")
 
 
 def asked_postings(docs: DataFrame, key: str, text: Column, terms: DataFrame, path: Column | None = None) -> DataFrame:
-    """key, token, doc_len, tf of the tokens among terms (token), and a row of each document with a null token: a written table, made in one
-    scan. Words that can't be asked for are dropped before they are stemmed."""
-    wanted = asked_for(terms)
-    d = document_words(docs, key, text, path).select(key, F.size("words").alias("doc_len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word"))
-    if wanted is not None:
-        d = d.where(F.col("word").isNull() | wanted)
-    d = d.groupBy(key, "word", "doc_len").agg(F.count(F.lit(1)).alias("n"))
-    d = d.select(key, "doc_len", "n", T.stem(F.col("word")).alias("token"))
+    """key, token, doc_len, tf of the tokens among terms (token), and a row of each document with a null token, whose tf is the rows it had: a
+    written table, made in one scan."""
     known = terms.select(F.col("token").alias("asked")).distinct()
-    d = d.join(known, d["token"] == known["asked"], "left").where("token IS NULL OR asked IS NOT NULL")
-    return cut(d.groupBy(key, "token", "doc_len").agg(F.sum("n").alias("tf")))
+    asked = [r.asked for r in known.limit(MOST_TERMS + 1).collect()]
+    if len(asked) <= MOST_TERMS:
+        return cut(counted.postings(docs, key, text, path, PATH_WEIGHT, asked, True))
+    d = counted.postings(docs, key, text, path, PATH_WEIGHT, None, True)
+    return cut(d.join(known, d["token"] == known["asked"], "left").where("token IS NULL OR asked IS NOT NULL").drop("asked"))
 
 
 def query_terms(queries: DataFrame, key: str, text: Column, expand: bool = False) -> DataFrame:
@@ -84,10 +54,10 @@ def bm25(docs: DataFrame, doc_key: str, text: Column, queries: DataFrame, query_
     """query_key, doc_key, score for every document with a term of the query."""
     terms = cut(query_terms(queries, query_key, query_text, expand))
     post = asked_postings(docs, doc_key, text, terms, path)
-    stats = post.where("token IS NULL").agg(F.count(F.lit(1)).alias("N"), F.avg("doc_len").alias("avgdl"))
+    stats = post.where("token IS NULL").agg(F.sum("tf").alias("N"), (F.sum("doc_len") / F.sum("tf")).alias("avgdl"))
     post = post.where("token IS NOT NULL")
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    s = post.join(terms.join(df, "token"), "token").join(F.broadcast(stats))  # one row
+    s = post.where(F.col(doc_key).isNotNull()).join(terms.join(df, "token"), "token").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("w") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0))))
     return s.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import conventions, evaluate, evidence, graph, retrieval, squeeze, usage, verify
+from ..operators import conventions, counted, evaluate, evidence, graph, retrieval, squeeze, usage, verify
 from ..sources import readers
 from ..streaming import stateful
 from . import corpus, samples
@@ -108,8 +108,7 @@ def tokenize_ranker(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {tokens_sql('documents', 'doc_id', 'text')} SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY t")
 def tokenize_index(spark: SparkSession, d: str) -> DataFrame:
-    p = retrieval.postings(read(spark, d, "documents"), "doc_id", F.col("text"))
-    return p.groupBy("token").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    return counted.totals(read(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 @query(f"SELECT DISTINCT t AS word, {STEM} AS stem FROM (SELECT unnest({index_sql('text')}) AS t FROM documents) WHERE length(t) > 1 AND t NOT IN ({listed(T.INDEX_STOP)})")

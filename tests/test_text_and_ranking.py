@@ -53,6 +53,25 @@ def test_word_bounds_are_those_of_ascii(spark):
     assert one(spark, T.intent(F.col("t")), t="testä eins") == "test" and one(spark, T.intent(F.col("t")), t="debug") == "search"
 
 
+def test_tokens_counted_in_rows(spark):
+    import random
+    from collections import Counter
+
+    from sparrowgram.operators import counted
+
+    r = random.Random(5)
+    texts = ["getHTTPServerConfig für_user_ids v2Parser ABCd XYz9A aBCDe A1b2C3 HTTPs", "", None, "the Boxes addresses izations ies sses queries é\u0130x"] + ["".join(r.choice("abSTieszon19 _-ä") for _ in range(200)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for row in d.select("t", T.index_tokens(F.col("t")).alias("want")).collect():
+        assert counted.counts(row.t and row.t.encode()) == dict(Counter(row.want)), row.t
+    # rows of one key are one document, those without a key none, though their words count; words of a row never move by themselves
+    odd = spark.createDataFrame([(1, "bug bug"), (1, "bug log it"), (2, "bugs Log"), (None, "bug"), (None, "bug"), (3, None)], "id long, t string")
+    got = counted.totals(odd, "id", F.col("t"))
+    assert {r.token: (r.n, r.n_docs) for r in got.collect()} == {"bug": (6, 2), "log": (2, 2)}
+    got = {(r.id, r.token): (r.tf, r.doc_len) for r in counted.postings(odd, "id", F.col("t"), terms=["log"], ends=True).collect()}
+    assert got == {(1, "log"): (1, 4), (2, "log"): (1, 2), (1, None): (2, 4), (2, None): (1, 2), (3, None): (1, 0), (None, None): (2, 2)}
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("lib/parser.py", "def parse(text)"), ("lib/lexer.py", "def token(stream) def peek(stream)"), ("lib/io.py", "def read(path)")], "path string, sigs string")
     q = spark.createDataFrame([(1, "parse token")], "q int, text string")
