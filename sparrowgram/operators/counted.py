@@ -137,3 +137,21 @@ def postings(docs: DataFrame, key: str, text: Column, path: Column | None = None
 
     d = merged(docs, key, text, path)
     return d.mapInArrow(run, f"`{key}` {d.schema[key].dataType.simpleString()}, token string, doc_len int, tf long")
+
+
+def found(docs: DataFrame, key: str, text: Column, terms: dict[str, int], path: Column | None = None, weight: int = 1) -> DataFrame:
+    """key, at, tf, doc_len, n of each document: the numbers of the terms that it has in order, how often it has each, its length, the rows it had."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, tfs, sizes = [], [], []
+            for x, p, _ in rows(b):
+                c = counts(x, p, weight)
+                has = sorted((terms[t], c[t]) for t in c.keys() & terms.keys())
+                at.append([t for t, _ in has])
+                tfs.append([n for _, n in has])
+                sizes.append(sum(c.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), b.column(3)], names=[key, "at", "tf", "doc_len", "n"])
+
+    d = merged(docs, key, text, path)
+    return d.mapInArrow(run, f"`{key}` {d.schema[key].dataType.simpleString()}, at array<int>, tf array<int>, doc_len long, n long")

@@ -3,6 +3,12 @@ query, are the small side of a join, and Spark broadcasts them by their measured
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +18,8 @@ from . import counted
 
 #: Query terms that tasks look for themselves; with more, all postings are joined with them.
 MOST_TERMS = 20_000
+#: Terms x queries whose weights a task holds as numbers, and documents that it scores at once.
+MOST_CELLS, SCORED = 8_000_000, 512
 K1, B, PATH_WEIGHT, SYNONYM = 1.5, 0.75, 3, 0.15
 GROUPS = [
     "auth authenticate authentication credential login signin", "access authorization authorize permission", "config configuration options settings",
@@ -76,6 +84,65 @@ def top_k(scores: DataFrame, query_key: str, doc_key: str, k: int, score: str =
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rounded(x: float, digits: int) -> Decimal:
+    """As Spark's round."""
+    return Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)
+
+
+def best(docs: DataFrame, doc_key: str, text: Column, queries: DataFrame, query_key: str, query_text: Column, k: int, expand: bool = False, path: Column | None = None, digits: int = 6) -> DataFrame:
+    """top_k of bm25: query_key, doc_key, score, rank. Each task scores its documents against all queries and sends on the k best of each query,
+    so that pairs of document and query never become rows. With more than MOST_TERMS terms, or MOST_CELLS terms x queries, it is top_k of bm25."""
+    terms = cut(query_terms(queries, query_key, query_text, expand).where(F.col(query_key).isNotNull()).groupBy(query_key, "token").agg(F.max("w").alias("w")))
+    n_terms, n_queries = terms.agg(F.count_distinct("token"), F.count_distinct(query_key)).first()
+    if n_terms > MOST_TERMS or n_terms * n_queries > MOST_CELLS:
+        return top_k(bm25(docs, doc_key, text, queries, query_key, query_text, expand, path), query_key, doc_key, k, digits=digits)
+    asked = terms.collect()
+    names, ids = sorted({r.token for r in asked}), sorted({r[query_key] for r in asked})
+    at, of = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
+    weight = np.zeros((len(names), len(ids)))
+    for r in asked:
+        weight[at[r.token], of[r[query_key]]] = r.w
+    d = cut(counted.found(docs, doc_key, text, at, path, PATH_WEIGHT))
+    total, length = d.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    df = np.zeros(len(names))
+    for t, n in d.select(F.explode("at").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[t] = n
+    weight *= np.log(1 + (total - df + 0.5) / (df + 0.5))[:, None] * (K1 + 1)
+    scale = length / total if length else 1.0
+    place = docs.sparkSession.createDataFrame(list(enumerate(ids)), f"at int, `{query_key}` {queries.schema[query_key].dataType.simpleString()}")
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        kept: list[list[tuple]] = [[] for _ in range(w.shape[1])]  # of a query: (less the rounded score, key, score), sorted
+        least = np.zeros(w.shape[1])
+        key_type = None
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for start in range(0, b.num_rows, SCORED):
+                part = b.slice(start, SCORED)
+                keys = part.column(0).to_pylist()
+                scores = np.zeros((len(keys), w.shape[1]))
+                for i, (t, tf, size) in enumerate(zip(part.column(1), part.column(2), part.column(3).to_pylist(), strict=True)):
+                    if len(t.values) and keys[i] is not None:
+                        f = tf.values.to_numpy()
+                        scores[i] = (f / (f + K1 * (1 - B + B * size / scale))) @ w[t.values.to_numpy()]
+                floor = least if len(keys) < k else np.maximum(least, np.partition(scores, -k, axis=0)[-k])
+                for i, q in np.argwhere((scores > 0) & (scores >= floor - 3 * 10.0**-digits)):
+                    s = float(scores[i, q])
+                    insort(kept[q], (-rounded(s, digits), keys[i], s))
+                    if len(kept[q]) > k:
+                        kept[q].pop()
+                    if len(kept[q]) == k:
+                        least[q] = float(-kept[q][-1][0])
+        found = [(q, key, s) for q, xs in enumerate(kept) for _, key, s in xs]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], key_type), pa.array([x[2] for x in found], pa.float64())], names=["at", doc_key, "score"])
+
+    s = d.select(doc_key, "at", "tf", "doc_len").mapInArrow(run, f"at int, `{doc_key}` {d.schema[doc_key].dataType.simpleString()}, score double")
+    return top_k(s.join(F.broadcast(place), "at").select(query_key, doc_key, "score"), query_key, doc_key, k, digits=digits)
+
+
 def confident(scores: DataFrame, query_key: str, score: str = "score") -> DataFrame:
     """scores with confidence, by the position between the least and the largest score of all rows of the query."""
     w = Window.partitionBy(query_key)

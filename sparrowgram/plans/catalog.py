@@ -81,8 +81,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(bm25_sql(ITEM_TERMS) + TOP.format(q="q AS item_id, ", k=5))
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
-    s = retrieval.bm25(read(spark, d, "documents"), "doc_id", F.col("text"), read(spark, d, "benchmark"), "item_id", F.col("text"))
-    return retrieval.top_k(s, "item_id", "doc_id", 5).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    s = retrieval.best(read(spark, d, "documents"), "doc_id", F.col("text"), read(spark, d, "benchmark"), "item_id", F.col("text"), 5)
+    return s.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 _groups = corpus.values([(i, w) for i, ws in enumerate(retrieval.GROUPS) for w in ws.split()])

@@ -80,6 +80,26 @@ def test_bm25(spark):
     assert retrieval.query_terms(q, "q", F.col("text")).count() == 2
 
 
+def test_best_is_the_top_of_bm25(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    words = ["parser", "lexer", "tree", "nodes", "edges", "walks", "leaf"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(90)]
+    rows = [(f"d{i:03}", t) for i, t in enumerate(texts + texts[:40])] + [("d001", "tree leaf"), (None, "tree"), ("d900", None)]
+    docs = spark.createDataFrame(rows, "d string, t string").repartition(5)
+    q = spark.createDataFrame([(1, "parser lexer"), (2, "tree"), (3, "none such"), (4, "walks edge leaf"), (5, None)], "q int, t string")
+    ask = lambda: sorted((x.q, x["rank"], x.d, round(x.score, 6)) for x in retrieval.best(docs, "d", F.col("t"), q, "q", F.col("t"), 4).collect())
+    want = retrieval.top_k(retrieval.bm25(docs, "d", F.col("t"), q, "q", F.col("t")), "q", "d", 4)
+    want = sorted((x.q, x["rank"], x.d, round(x.score, 6)) for x in want.collect())
+    monkeypatch.setattr(retrieval, "SCORED", 7)
+    pairs, bm25 = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda *a: pairs.append(1) or bm25(*a))
+    assert ask() == want and {x[0] for x in want} == {1, 2, 4} and not pairs
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 3)
+    assert ask() == want and pairs
+
+
 def test_boosts(spark):
     s = spark.createDataFrame([("a", 2.0), ("b", 0.0)], "p string, score double")
     got = retrieval.boosted(s, "p", spark.createDataFrame([("a", 0.5)], "p string, mult double"), spark.createDataFrame([("a",), ("b",)], "p string"), spark.createDataFrame([("b", 0.1)], "p string, boost double"))
