@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.durable import cut, spent
 
+#: Edges of a graph whose cycles one task finds.
+IN_ONE_TASK = 1 << 24
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -108,16 +115,96 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     return got.select("node", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
+def strong(s: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 one that stands for all which it reaches and which reach it; by Tarjan's method without recursion."""
+
+    def ints(x: np.ndarray) -> array:
+        out = array("i")
+        out.frombytes(x.astype(np.int32).tobytes())
+        return out
+
+    ends = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))])
+    dst, at, end = ints(d[np.argsort(s, kind="stable")]), ints(ends[:-1]), ints(ends[1:])
+    index, low, of = ints(np.zeros(n)), ints(np.zeros(n)), ints(np.full(n, -1))
+    count, held = 0, array("i")
+    for root in range(n):
+        if index[root]:
+            continue
+        count += 1
+        index[root] = low[root] = count
+        held.append(root)
+        path = array("i", [root])
+        while path:
+            v = path[-1]
+            i = at[v]
+            if i < end[v]:
+                at[v] = i + 1
+                w = dst[i]
+                if not index[w]:
+                    count += 1
+                    index[w] = low[w] = count
+                    held.append(w)
+                    path.append(w)
+                elif of[w] < 0 and index[w] < low[v]:
+                    low[v] = index[w]
+                continue
+            path.pop()
+            if low[v] == index[v]:
+                w = -1
+                while w != v:
+                    w = held.pop()
+                    of[w] = v
+            elif low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+    return np.frombuffer(of, np.int32) if n else np.zeros(0, np.int32)
+
+
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """cycles() of edges without nulls and loops, by one task. Nodes that aren't whole numbers are numbered first."""
+    whole = {edges.schema[c].dataType.typeName() for c in ("src", "dst")} <= {"byte", "short", "integer", "long"}
+    if whole:
+        e = edges.select(F.col("src").cast("long").alias("s"), F.col("dst").cast("long").alias("d"))
+    else:
+        names = cut(nodes_of(edges).select("node", F.monotonically_increasing_id().alias("id")))
+        a, b = names.select(F.col("node").alias("src"), F.col("id").alias("s")), names.select(F.col("node").alias("dst"), F.col("id").alias("d"))
+        e = cut(edges.join(a, "src").join(b, "dst").select("s", "d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        s, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        ids = np.unique(np.concatenate([np.unique(s), np.unique(d)]))
+        s, d = np.searchsorted(ids, s).astype(np.int32), np.searchsorted(ids, d).astype(np.int32)
+        _, least, of, size = np.unique(strong(s, d, len(ids)), return_index=True, return_inverse=True, return_counts=True)
+        on = np.flatnonzero(size[of] > 1)
+        for i in range(0, len(on), 1 << 17):
+            x = on[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[least[of[x]]])], names=["node", "component"])
+
+    got = cut(e.coalesce(1).mapInArrow(run, "node long, component long"))
+    if whole:
+        kind = nodes_of(edges).schema["node"].dataType
+        return got.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
+    named = got.join(names.withColumnRenamed("node", "name"), got["node"] == names["id"]).select("name", "component")
+    return named.join(named.groupBy("component").agg(F.min("name").alias("least")), "component").select(F.col("name").alias("node"), F.col("least").alias("component"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """node, component of the nodes that lie on a cycle: nodes that reach each other, named by the least of them.
 
-    Each round every node takes the least node that reaches it as its colour; of a colour, those that reach its name backwards along edges of
-    that colour are one component, and leave the graph. Only a colour a node is kept, never what each reaches."""
+    What is left of the graph, all of it at first, is done by one task in linear time if it has no more than IN_ONE_TASK edges. Of a larger
+    one, each round every node takes the least node that reaches it as its colour; of a colour, those that reach its name backwards along edges
+    of that colour are one component, and leave the graph. Only a colour a node is kept, never what each reaches."""
     e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     found = []
     rest = cut(e.where("src <> dst"))
     while True:
+        if rest.count() <= IN_ONE_TASK:
+            found.append(in_one_task(rest))
+            break
         # what nothing points to, or what points to nothing, lies on no cycle
         rest, last = cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")), rest
         spent(last)

@@ -151,6 +151,32 @@ def test_impact_and_cycles(spark):
     assert graph.impact(e, seed.limit(0)).count() == 0
 
 
+def test_cycles_in_one_task_and_by_colours(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(48)} | {(100 + i, 100 + (i + 1) % 30) for i in range(30)} | {(7, 7), (90, 90), (91, 92)}
+    reach = {a: {a} for e in edges for a in e}
+    for a in reach:
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            todo += [d for s, d in edges if s == x and d not in reach[a]]
+            reach[a] |= {d for s, d in edges if s == x}
+    same = {a: [b for b in reach[a] if a in reach[b]] for a in reach}
+    want = {(a, min(bs)) for a, bs in same.items() if len(bs) > 1 or (a, a) in edges}
+    numbers = spark.createDataFrame([*edges, *list(edges)[:9], (None, 3)], "src int, dst int")
+    names = numbers.select(F.concat(F.lit("n"), F.lpad(F.col("src").cast("string"), 3, "0")).alias("src"), F.concat(F.lit("n"), F.lpad(F.col("dst").cast("string"), 3, "0")).alias("dst"))
+    cut, written = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    got = graph.cycles(numbers)
+    assert got.dtypes == [("node", "int"), ("component", "int")] and {tuple(x) for x in got.collect()} == want and len(written) <= 3
+    assert {(int(x.node[1:]), int(x.component[1:])) for x in graph.cycles(names).collect()} == want
+    monkeypatch.setattr(graph, "IN_ONE_TASK", -1)
+    short = numbers.where("src < 100")
+    assert {tuple(x) for x in graph.cycles(short).collect()} == {x for x in want if x[0] < 100}
+
+
 def test_graph_boosts(spark):
     nodes = [(f"n{i}",) for i in range(10)]
     e = spark.createDataFrame([("n0", "n1"), ("n1", "n2")], "src string, dst string")
